@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from bytelode.llm.chat import OP2_SQL, op2_chat_format
 from bytelode.llm.decontaminate import OP3_SQL, op3_decontaminate
+from bytelode.llm.embeddings import OP6_SQL, op6_embedding_dedup
+from bytelode.llm.language import op9_language_id
 from bytelode.llm.lines import OP10_SQL, op10_line_dedup
+from bytelode.llm.minhash import op1_minhash_forest
+from bytelode.llm.packing import op5_mixture_pack
 from bytelode.llm.ring import op4_hash_ring
+from bytelode.llm.suffixes import op7_suffix_dedup
+from bytelode.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_hash_ring": op4_hash_ring,
+    "op5_mixture_pack": op5_mixture_pack,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
     "op2_chat_format": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op6_embedding_dedup": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
 }
