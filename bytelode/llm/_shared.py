@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="bytelode-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not hasattr(sc, "_bytelode_shared"):
+        sc._bytelode_shared = "file://" + tempfile.mkdtemp(prefix="bytelode-shared-")
+    return sc._bytelode_shared
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelode.llm._shared import ASCII_LOWER, by_bytes, table
+from bytelode.llm._shared import by_bytes, materialize, table
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_KEY = 10
@@ -29,13 +29,14 @@ SEGMENT_BITS = 1 << 21
 PROBES = 4
 
 
-def line_key(line: str) -> str:
+def line_key(line: str, least: int) -> bytes | None:
+    """The key of a line, or None if it is shorter than ``least`` code points. ``bytes.lower`` touches A-Z only."""
     line = line.strip(BLANK)
-    return line.lower() if line.isascii() else line.translate(ASCII_LOWER)
+    return line.encode("utf-8", "surrogatepass").lower() if len(line) >= least else None
 
 
-def _hash(key: str) -> int:
-    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+def _hash(key: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(key)
 
 
 def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -44,9 +45,9 @@ def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(lo + np.uint64(i) * hi + np.uint64(i * i)) % np.uint64(bits) for i in range(PROBES)], axis=1)
 
 
-def _keys(texts: list[str | None], least: int) -> Iterator[tuple[int, dict[str, None]]]:
+def _keys(texts: list[str | None], least: int) -> Iterator[tuple[int, dict[bytes, None]]]:
     for i, t in enumerate(texts):
-        found = {k: None for line in (t or "").split("\n") if len(k := line_key(line)) >= least}
+        found = {k: None for line in (t or "").split("\n") if (k := line_key(line, least)) is not None}
         if found:
             yield i, found
 
@@ -154,11 +155,11 @@ def repeated_lines(docs: DataFrame, least: int = MIN_KEY, bits: int = FILTER_BIT
                 h = np.array(hashes, np.uint64)
                 keep = np.flatnonzero(~_surely_once(h, segments, bits))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[j] for j in keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array([keys[j] for j in keep], pa.string())],
+                    [pa.array([ids[j] for j in keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array([keys[j] for j in keep], pa.binary())],
                     ["doc_id", "h", "key"],
                 )
 
-    found = docs.select("doc_id", "text").mapInArrow(suspects, "doc_id long, h long, key string")
+    found = materialize(docs.select("doc_id", "text").mapInArrow(suspects, "doc_id long, h long, key binary"), "suspects")
     first = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     return found.join(first, "key").filter("doc_id > first").select("doc_id", "h").distinct()
 
@@ -190,8 +191,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = MIN_KEY, bits: int = FILTE
                 lines = (text or "").split("\n")
                 n.append(len(lines))
                 if cut:
-                    out = set(cut)
-                    left = [x for x in lines if len(k := line_key(x)) < least or np.uint64(_hash(k)).view(np.int64).item() not in out]
+                    out = {h & 0xFFFFFFFFFFFFFFFF for h in cut}
+                    left = [x for x in lines if (k := line_key(x, least)) is None or _hash(k) not in out]
                 else:
                     left = lines
                 gone.append(len(lines) - len(left))
