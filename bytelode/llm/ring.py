@@ -26,7 +26,7 @@ def _preferences(spark: SparkSession, used: DataFrame, shards: int, cells: int,
     """cell -> shards in clockwise order of their next point. Both sides are fixed-size parameter tables."""
     points = spark.range(shards * vnodes).select(
         (F.col("id") % shards).cast("int").alias("shard"),
-        F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(cells)).cast("int").alias("at"),
+        F.pmod(F.xxhash64(F.lit("vnode"), F.col("id") % shards, F.floor(F.col("id") / shards)), F.lit(cells)).cast("int").alias("at"),
     )
     ends = points.groupBy("shard").agg(F.min("at").alias("first_at"))
     asks = used.select("cell", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
