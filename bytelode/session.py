@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "bytelode", cpus: int | None = None) -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
+def local_session(app: str = "bytelode", cpus: int | None = None, **more: str) -> SparkSession:
+    """A local session with the settings the tests and the bench use; ``more`` holds further settings."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
         SparkSession.builder.master(f"local[{n}]")
@@ -20,6 +20,7 @@ def local_session(app: str = "bytelode", cpus: int | None = None) -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map=more)
         .getOrCreate()
     )
 
