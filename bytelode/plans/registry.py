@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bytelode.plans import kernels
-from bytelode.plans.kernels_sql import SQL
+from bytelode.plans import binaries, binaries_sql, kernels, kernels_sql
 
 FLAGSHIP = "adjacent_pair_having"
-QUERIES = {name: getattr(kernels, name) for name in SQL}
+QUERIES = {name: getattr(kernels, name) for name in kernels_sql.SQL} | {name: getattr(binaries, name) for name in binaries_sql.SQL}
+SQL = kernels_sql.SQL | binaries_sql.SQL
