@@ -7,7 +7,7 @@ values. Classes that share the first ``MIN_DEPTH`` values of a tree form a regio
   ``LEAF`` classes, it splits at the next value. In a leaf, each class proposes its nearest neighbours by longest common
   prefix and signature, and the leaf's hub (the class most others resemble).
 * Next passes: in every region, each pair that still lies in different components, resembles enough and hasn't been
-  confirmed yet is proposed, a few for each class at a time, until none is left. So dense regions cost little (their
+  confirmed yet is proposed, the closest few of each class first, then more, until none is left. So dense regions cost little (their
   classes are connected after the first pass) and no pair of a region is dropped.
 
 Proposals need a signature agreement ``MARGIN`` below the threshold; they are confirmed on the full shingle sets. With
@@ -31,7 +31,8 @@ TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
 LEAF = 64
 MARGIN = 0.12
-PROPOSALS = 4
+#: Proposals of a class in the second pass, and their growth from pass to pass, so that few passes remain.
+PROPOSALS, GROWTH = 4, 8
 #: Bound of an id list that is broadcast, counted before.
 BROADCAST_IDS = 500_000
 
@@ -170,8 +171,8 @@ def _near(ids: np.ndarray, sig: np.ndarray, tree: int, need: int) -> set[tuple[i
     return pairs
 
 
-def _across(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, tested: list, need: int) -> set[tuple[int, int]]:
-    """Close pairs of different components that haven't been confirmed, the closest few of each class."""
+def _across(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, tested: list, need: int, most: int) -> set[tuple[int, int]]:
+    """Close pairs of different components that haven't been tried, the closest ``most`` of each class."""
     names, counts = np.unique(comp, return_counts=True)
     minor = np.flatnonzero(comp != names[counts.argmax()])
     pairs: set[tuple[int, int]] = set()
@@ -182,7 +183,7 @@ def _across(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, tested: list, ne
         for k in np.flatnonzero(same.any(axis=1)):
             i, done, taken = rows[k], set(tested[rows[k]] or ()), 0
             for j in np.argsort(-same[k].astype(np.int16), kind="stable"):
-                if not same[k, j] or taken == PROPOSALS:
+                if not same[k, j] or taken == most:
                     break
                 a, b = int(ids[i]), int(ids[j])
                 if b not in done:
@@ -257,26 +258,30 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
             if pairs:
                 yield _pair_batch(pairs)
 
-    def next_pass(batches):
-        for t in runs(batches, ["tree", "key"]):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            pairs = _across(np.asarray(t.column("doc_id")), sig, np.asarray(t.column("comp")), t.column("tested").to_pylist(), need)
-            if pairs:
-                yield _pair_batch(pairs)
+    def next_pass(most):
+        def run(batches):
+            for t in runs(batches, ["tree", "key"]):
+                sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+                pairs = _across(np.asarray(t.column("doc_id")), sig, np.asarray(t.column("comp")), t.column("tested").to_pylist(), need, most)
+                if pairs:
+                    yield _pair_batch(pairs)
+
+        return run
 
     grouped = lambda df, f: df.repartition("tree", "key").sortWithinPartitions("tree", "key").mapInArrow(f, "a long, b long").distinct()
     proposed = materialize(grouped(regions.join(sigs, "doc_id"), first_pass), "pairs")
     confirmed = materialize(_confirm(proposed, sets, percent), "confirmed")
-    tried = proposed
+    tried, most = proposed, PROPOSALS
     while True:
         roots = materialize(components(confirmed.filter("link").select("a", "b")), "roots")
         placed = regions.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "tree", "key", F.coalesce("root", "doc_id").alias("comp"))
         split = placed.groupBy("tree", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("tree", "key")
         done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("tested"))
         open_ = placed.join(split, ["tree", "key"]).join(sigs, "doc_id").join(done.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-        proposed = materialize(grouped(open_, next_pass).join(tried, ["a", "b"], "left_anti"), "pairs")
+        proposed = materialize(grouped(open_, next_pass(most)).join(tried, ["a", "b"], "left_anti"), "pairs")
         if proposed.isEmpty():
             break
+        most *= GROWTH
         tried = materialize(tried.unionByName(proposed), "tried")
         confirmed = materialize(confirmed.unionByName(_confirm(proposed, sets, percent)), "confirmed")
     member = rows.select("doc_id", "n", "cls").join(classes.select("cls", F.col("doc_id").alias("rep")), "cls", "left")
