@@ -245,8 +245,61 @@ def verify(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
     one = lambda t, what: view(md, t).select("file_id", F.lit(what).alias("category"), N.clean_generic(F.col("Name")).alias("name"))
     wanted = one(2, "type").unionByName(one(6, "method")).unionByName(one(4, "field")).filter((F.col("name") != MODULE_TYPE) & ~skip).distinct()
     if exact:
-        words = sources.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"([\w<>$`]+)"), F.lit(1)))).alias("name"))
+        words = sources.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"(?U)([\w$]+)"), F.lit(1)))).alias("name"))
         return wanted.join(words, ["file_id", "name"], "left_anti")
     # one text a file: the join is on the file, the search on the joined row
     texts = sources.groupBy("file_id").agg(F.array_join(F.collect_list("source"), "\n").alias("source"))
     return wanted.join(texts, "file_id", "left").filter(~F.coalesce(F.col("source").contains(F.col("name")), F.lit(False))).select("file_id", "category", "name")
+
+
+def events(md: DataFrame) -> DataFrame:
+    """Events of types with the rows of their accessors; the last accessor of a kind counts."""
+    maps, rows, sem = view(md, 18), view(md, 20), view(md, 24).filter("Association_table = 20")
+    owner = owned(maps, "EventList", rows).join(maps.select("file_id", F.col("rid").alias("owner"), F.col("Parent").cast("int").alias("type_rid")), ["file_id", "owner"]).drop("owner")
+    role = lambda bit: F.max_by(F.when(F.col("Semantics").bitwiseAND(bit) != 0, F.col("Method").cast("int")), F.when(F.col("Semantics").bitwiseAND(bit) != 0, F.col("rid")))
+    access = sem.groupBy("file_id", "Association_rid").agg(role(8).alias("adder"), role(16).alias("remover")).withColumnRenamed("Association_rid", "rid")
+    known = type_names(md).select("file_id", F.col("table").alias("EventType_table"), F.col("rid").alias("EventType_rid"), F.col("name").alias("type"))
+    return rows.join(owner, ["file_id", "rid"]).join(access, ["file_id", "rid"], "left").join(known, ["file_id", "EventType_table", "EventType_rid"], "left").select("file_id", "rid", F.col("Name").alias("name"), "type", "type_rid", "adder", "remover")
+
+
+def explicit_implementations(md: DataFrame) -> DataFrame:
+    """Methods that implement another type's method under its name: file_id, rid, interface, name."""
+    defs, meth, refs = view(md, 2), view(md, 6), view(md, 10)
+    types = type_names(md).select("file_id", F.col("table").alias("t_table"), F.col("rid").alias("t_rid"), F.col("name").alias("interface"))
+    by_def = owned(defs, "MethodList", meth).join(meth.select("file_id", "rid", "Name"), ["file_id", "rid"]).select("file_id", F.lit(6).alias("d_table"), F.col("rid").alias("d_rid"), "Name", F.lit(2).alias("t_table"), F.col("owner").alias("t_rid"))
+    by_ref = refs.select("file_id", F.lit(10).alias("d_table"), F.col("rid").alias("d_rid"), "Name", F.col("Class_table").alias("t_table"), F.col("Class_rid").alias("t_rid"))
+    declared = by_def.unionByName(by_ref).join(types, ["file_id", "t_table", "t_rid"])
+    rows = view(md, 25).filter("MethodBody_table = 6").select("file_id", F.col("MethodBody_rid").alias("rid"), F.col("MethodDeclaration_table").alias("d_table"), F.col("MethodDeclaration_rid").alias("d_rid"))
+    return rows.join(declared, ["file_id", "d_table", "d_rid"]).select("file_id", "rid", "interface", F.col("Name").alias("name"))
+
+
+def source_fields(md: DataFrame) -> DataFrame:
+    """Fields a source listing shows: no backing fields, none named like an event of the type."""
+    shown = fields(md).filter(~F.col("name").endswith("k__BackingField"))
+    return shown.join(events(md).select("file_id", F.col("type_rid").alias("owner"), "name"), ["file_id", "owner", "name"], "left_anti")
+
+
+def source_methods(md: DataFrame) -> DataFrame:
+    """Methods a source listing shows: no accessors of properties and events."""
+    roles = view(md, 24).select("file_id", F.col("Method").cast("int").alias("rid")).distinct()
+    return methods(md).join(roles, ["file_id", "rid"], "left_anti")
+
+
+def declarations(md: DataFrame) -> DataFrame:
+    """file_id, rid, file_name, source: each top-level type's declaration with its members, bodies left out."""
+    access = lambda f: F.when(f.bitwiseAND(7) == 6, "public ").when(f.bitwiseAND(7) == 4, "protected ").when(f.bitwiseAND(7) == 3, "internal ").otherwise("private ")
+    static = F.when(F.col("flags").bitwiseAND(0x10) != 0, "static ").otherwise("")
+    f_line = F.concat(F.lit("    "), access(F.col("flags")), static, "type", F.lit(" "), "name", F.lit(";"))
+    m_line = F.concat(F.lit("    "), access(F.col("flags")), static, "return_type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(");"))
+    one = lambda rows, line, o: rows.select("file_id", F.col("owner").alias("rid"), F.struct(F.lit(o).alias("o"), F.col("rid").alias("m"), line.alias("line")).alias("l"))
+    lines = one(source_fields(md), f_line, 1).unionByName(one(source_methods(md), m_line, 2))
+    body = lines.groupBy("file_id", "rid").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
+    bases = interfaces(md)
+    generics = generic_params(md).filter("table = 2").select("file_id", "rid", F.concat(F.lit("<"), F.array_join("params", ", "), F.lit(">")).alias("generic"))
+    heads = kinds(md).select("file_id", "rid", "kind", "is_static").join(view(md, 2).select("file_id", "rid", "Name", "Namespace"), ["file_id", "rid"])
+    top = heads.filter(F.col("Name") != MODULE_TYPE).join(nested_in(md), ["file_id", "rid"], "left_anti").join(body, ["file_id", "rid"], "left").join(bases, ["file_id", "rid"], "left").join(generics, ["file_id", "rid"], "left")
+    head = F.concat(
+        F.when(F.col("Namespace") != "", F.concat(F.lit("namespace "), "Namespace", F.lit(";\n\n"))).otherwise(""), F.lit("public "), F.when(F.col("is_static"), "static ").otherwise(""),
+        "kind", F.lit(" "), N.clean_generic(F.col("Name")), F.coalesce("generic", F.lit("")), F.coalesce(F.concat(F.lit(" : "), F.array_join("interfaces", ", ")), F.lit("")), F.lit("\n{\n"),
+    )
+    return top.select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source"))

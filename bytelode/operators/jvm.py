@@ -155,3 +155,31 @@ def fused_comparisons(instr: DataFrame) -> DataFrame:
 def switch_sizes(instr: DataFrame) -> DataFrame:
     """Cases of the first switch of each method."""
     return instr.filter("name in ('tableswitch', 'lookupswitch', 'switch')").groupBy("class_id", "ord").agg(F.min_by(F.size("targets"), "pos").alias("n_targets"))
+
+
+def declarations(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """class_id, file_name, source: each class's declaration with the members a listing shows, bodies left out."""
+    constant = F.coalesce(F.concat(F.lit(" = "), "constant"), F.lit(""))
+    words = F.when(F.col("modifiers") != "", F.concat("modifiers", F.lit(" "))).otherwise("")
+    is_field = F.col("kind") == "field"
+    simple = N.simple_name(N.dotted(F.col("this_name")))
+    line = F.concat(
+        F.lit("    "), words,
+        F.when(is_field, F.concat("type", F.lit(" "), "name", constant, F.lit(";")))
+        .when(F.col("name") == "<init>", F.concat(simple, F.lit("("), F.array_join("params", ", "), F.lit(");")))
+        .when(F.col("name") == "<clinit>", F.lit("{ }"))
+        .otherwise(F.concat("type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(");"))),
+    )
+    lines = source_members(rows).join(named.select("class_id", "this_name"), "class_id").select("class_id", F.struct((~is_field).alias("o"), "ord", line.alias("line")).alias("l"))
+    body = lines.groupBy("class_id").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
+    bit = lambda m: F.col("access").bitwiseAND(m) != 0
+    kind = F.when(bit(0x2000), "@interface").when(bit(0x200), "interface").when(bit(0x4000), "enum").otherwise("class")
+    package = N.package_of(F.col("this_name"))
+    plain = F.col("super_name").isNull() | F.col("super_name").isin("java/lang/Object", "java/lang/Enum")
+    head = F.concat(
+        F.when(package != "", F.concat(F.lit("package "), package, F.lit(";\n\n"))).otherwise(""), F.when(bit(1), "public ").otherwise(""), F.when(bit(0x10) & ~bit(0x4000), "final ").otherwise(""),
+        F.when(bit(0x400) & ~bit(0x200), "abstract ").otherwise(""), kind, F.lit(" "), simple, F.when(plain, "").otherwise(F.concat(F.lit(" extends "), N.dotted(F.col("super_name")))), F.lit(" {\n"),
+    )
+    return named.join(body, "class_id", "left").select(
+        "class_id", N.file_name(package, F.translate(F.regexp_extract("this_name", "([^/]*)$", 1), "$", "_"), ".java").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source")
+    )

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelode.operators import dotnet, jvm
+from bytelode.operators import dotnet, flow, jvm
 from bytelode.sources import binaries, classfile, encode, pe
 from bytelode.session import table
 
@@ -124,6 +124,26 @@ def jvm_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jvm.disassemble(named, jvm.members(classes, resolved), resolved).select("name", "listing")
 
 
+def jvm_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source constructs that jumps stand for."""
+    classes, resolved, _ = _decoded(spark, sf_dir)
+    found = flow.constructs(jvm.method_instructions(jvm.members(classes, resolved)), ["class_id", "ord"])
+    return found.groupBy("kind", "start", "stop").agg(F.count("*").alias("n"))
+
+
+def jvm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic blocks, counted by shape."""
+    classes, resolved, _ = _decoded(spark, sf_dir)
+    found = flow.blocks(jvm.method_instructions(jvm.members(classes, resolved)), ["class_id", "ord"])
+    return found.groupBy("start", "stop", "n", "last").agg(F.count("*").alias("n_blocks"))
+
+
+def jvm_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 without bodies, K6: declarations of classes with their members."""
+    classes, resolved, named = _decoded(spark, sf_dir)
+    return jvm.declarations(named, jvm.members(classes, resolved)).select("file_name", "source")
+
+
 def jar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of archives, with a damaged one and a folder in each."""
     classes = part_classes(spark, sf_dir)
@@ -246,6 +266,11 @@ def pe_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dotnet.disassemble(_md(spark, sf_dir)).select("file_id", "listing")
 
 
+def pe_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 without bodies, F6, F7, K6: declarations of top-level types with their members."""
+    return dotnet.declarations(_md(spark, sf_dir)).select("file_id", "file_name", "source")
+
+
 def pe_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a source text lacks; the text here is the field list."""
     md = _md(spark, sf_dir)

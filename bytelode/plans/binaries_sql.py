@@ -47,6 +47,19 @@ SELECT 'm' || p_partkey AS name, class_name || '.m' || p_partkey || [
     || CASE WHEN p_partkey // 4096 > 0 THEN '$' || (p_partkey // 4096) ELSE '' END || '.f' || p_partkey || ':' || CASE WHEN p_size % 2 = 0 THEN 'I' ELSE 'Ljava/lang/String;' END || chr(10)
     || '     3: pop' || chr(10) || '     4: return',
   '() -> java.util.List' || chr(10) || '  stack=1, locals=1' || chr(10) || '     0: aconst_null' || chr(10) || '     1: areturn'][p_size % 3 + 1] AS listing FROM p""",
+    "jvm_constructs": "SELECT 'if' AS kind, 1 AS start, 8 AS stop, count(*) AS n FROM part WHERE p_size % 3 = 0 HAVING count(*) > 0",
+    "jvm_blocks": """
+WITH b AS (SELECT unnest([[{'s': 0, 'e': 4, 'n': 2, 'l': 'ifeq'}, {'s': 4, 'e': 8, 'n': 2, 'l': 'ireturn'}, {'s': 8, 'e': 10, 'n': 2, 'l': 'ireturn'}],
+  [{'s': 0, 'e': 5, 'n': 3, 'l': 'return'}], [{'s': 0, 'e': 2, 'n': 2, 'l': 'areturn'}]][p_size % 3 + 1]) AS x FROM part)
+SELECT x.s AS start, x.e AS stop, x.n AS n, x.l AS last, count(*) AS n_blocks FROM b GROUP BY 1, 2, 3, 4""",
+    "jvm_declarations": _PART
+    + """
+, l AS (SELECT class_name, 1 AS o, p_partkey AS k, '    public static final ' || CASE WHEN p_size % 2 = 0 THEN 'int f' || p_partkey || ' = ' || p_size ELSE 'java.lang.String f' || p_partkey END || ';' AS line
+  FROM p WHERE p_size % 10 <> 0
+UNION ALL SELECT class_name, 2, p_partkey, '    public ' || CASE WHEN p_size % 3 = 0 THEN 'int m' || p_partkey || '(int, long);' ELSE 'final java.util.List m' || p_partkey || '();' END FROM p WHERE p_size % 3 <> 1)
+SELECT replace(class_name, '.', '_') || '.java' AS file_name,
+  'package part;' || chr(10) || chr(10) || 'public class ' || list_last(string_split(class_name, '.')) || ' {' || chr(10) || string_agg(line, chr(10) ORDER BY o, k) || chr(10) || '}' || chr(10) AS source
+FROM l GROUP BY class_name""",
     "jar_entries": """
 SELECT DISTINCT p_brand AS file_id, 'part/' || p_brand || '_' || (p_partkey // 4096) || '.class' AS name, true AS ok, 'CAFEBABE' AS magic FROM part
 UNION ALL SELECT DISTINCT p_brand, 'damaged.class', false, CAST(NULL AS VARCHAR) FROM part""",
@@ -82,6 +95,14 @@ SELECT file_id, CASE WHEN k % 2 = 0 THEN 'void ' || nm || '::M' || k || '(int, s
   ELSE 'int ' || nm || '::M' || k || '()' || chr(10) || '  IL_0000: ldc.i4.0' || chr(10) || CASE WHEN k % 50 = 1 THEN
     rtrim('  IL_0001: switch ' || array_to_string(list_transform(range(k % 60), lambda x: 'IL_' || lower(lpad(to_hex(6 + 4 * (k % 60)), 4, '0'))), ', ')) || chr(10)
     || '  IL_' || lower(lpad(to_hex(6 + 4 * (k % 60)), 4, '0')) || ': ret' ELSE '  IL_0001: ret' END END AS listing FROM c""",
+    "pe_declarations": _NET
+    + """
+, l AS (SELECT n_nationkey, 1 AS o, k, '    private ' || ['int[]', 'string', nm][k % 3 + 1] || ' S' || k || ';' AS line FROM s
+UNION ALL SELECT n_nationkey, 2, k, '    public ' || ['void M' || k || '(int, string[]);', 'int M' || k || '();'][k % 2 + 1] FROM c),
+b AS (SELECT n_nationkey, string_agg(line, chr(10) ORDER BY o, k) || chr(10) AS body FROM l GROUP BY n_nationkey)
+SELECT file_id, replace(ns0, '.', '_') || '_' || nm || '.cs' AS file_name, 'namespace ' || ns0 || ';' || chr(10) || chr(10) || 'public '
+  || CASE WHEN n_nationkey % 11 = 3 THEN 'interface ' WHEN n_nationkey % 6 = 0 THEN 'enum ' WHEN n_nationkey % 7 = 0 THEN 'static class ' ELSE 'class ' END
+  || nm || chr(10) || '{' || chr(10) || coalesce(body, '') || '}' || chr(10) AS source FROM t LEFT JOIN b USING (n_nationkey) WHERE NOT nested""",
     "pe_verify": _NET
     + """
 SELECT file_id, 'method' AS category, 'M' || k AS name FROM c
