@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from bytelode.functions import names as N
 from bytelode.functions.bytecode import instructions
+from bytelode.functions.literals import argument_literals, constant_literal
 from bytelode.functions.signatures import signature_parts
 from bytelode.sources.pe import USER_STRINGS, view
 
@@ -140,7 +141,7 @@ def custom_attributes(md: DataFrame) -> DataFrame:
     by_ref = refs.select("file_id", F.lit(10).alias("ctor_table"), F.col("rid").alias("ctor"), F.col("Class_table").alias("table"), F.col("Class_rid").alias("t"))
     ctor = by_def.unionByName(by_ref).join(types, ["file_id", "table", "t"]).select("file_id", "ctor_table", "ctor", "attribute")
     rows = view(md, 12).select("file_id", "rid", "Parent_table", "Parent_rid", F.col("Type_table").alias("ctor_table"), F.col("Type_rid").alias("ctor"))
-    return rows.join(ctor, ["file_id", "ctor_table", "ctor"]).select("file_id", "Parent_table", "Parent_rid", "attribute")
+    return rows.join(ctor, ["file_id", "ctor_table", "ctor"]).select("file_id", "rid", "Parent_table", "Parent_rid", "attribute")
 
 
 def external_namespaces(md: DataFrame, interop: str = "System.Runtime.InteropServices") -> DataFrame:
@@ -303,3 +304,43 @@ def declarations(md: DataFrame) -> DataFrame:
         "kind", F.lit(" "), N.clean_generic(F.col("Name")), F.coalesce("generic", F.lit("")), F.coalesce(F.concat(F.lit(" : "), F.array_join("interfaces", ", ")), F.lit("")), F.lit("\n{\n"),
     )
     return top.select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source"))
+
+
+def constants(md: DataFrame) -> DataFrame:
+    """Literals of fields, parameters and properties: file_id, table, rid, literal; the first row of an owner counts."""
+    first = view(md, 11).groupBy("file_id", F.col("Parent_table").alias("table"), F.col("Parent_rid").alias("rid")).agg(F.min_by(F.struct("Type", "Value"), "rid").alias("c"))
+    return first.select("file_id", "table", "rid", constant_literal(F.col("c.Type"), F.col("c.Value")).alias("literal"))
+
+
+def attribute_lines(md: DataFrame) -> DataFrame:
+    """Attributes as they stand in source: file_id, Parent_table, Parent_rid, line. Unread arguments are left out."""
+    defs, refs = view(md, 6), view(md, 10)
+    ctor = lambda rows, t: rows.select("file_id", F.lit(t).alias("Type_table"), F.col("rid").alias("Type_rid"), "Signature")
+    rows = view(md, 12).join(ctor(defs, 6).unionByName(ctor(refs, 10)), ["file_id", "Type_table", "Type_rid"])
+    names = custom_attributes(md).withColumn("short", F.regexp_replace(N.simple_name(F.col("attribute")), "Attribute$", ""))
+    named = rows.select("file_id", "rid", "Parent_table", "Parent_rid", argument_literals(F.col("Value"), F.col("Signature")).alias("args"))
+    keyed = names.select("file_id", F.col("rid"), "short")
+    args = F.when(F.size(F.coalesce("args", F.array())) > 0, F.concat(F.lit("("), F.array_join("args", ", "), F.lit(")"))).otherwise("")
+    return named.join(keyed, ["file_id", "rid"]).select("file_id", "Parent_table", "Parent_rid", F.concat(F.lit("["), "short", args, F.lit("]")).alias("line"))
+
+
+def local_types(md: DataFrame) -> DataFrame:
+    """Types of each method's local variables, in order: file_id, rid, locals."""
+    sigs = view(md, 17)
+    text = render_types(md, sigs, "Signature", "locals").groupBy("file_id", F.col("rid").alias("sig")).agg(F.sort_array(F.collect_list(F.struct("i", "text")))["text"].alias("locals"))
+    rows = view(md, 6).filter(F.coalesce("local_token", F.lit(0)) != 0).select("file_id", "rid", F.col("local_token").bitwiseAND(0xFFFFFF).cast("int").alias("sig"))
+    return rows.join(text, ["file_id", "sig"]).select("file_id", "rid", "locals")
+
+
+def accessors(md: DataFrame) -> DataFrame:
+    """Tokens that are calls of a property: file_id, ref, property, role.
+
+    A token is the accessor's own row, or a reference to a member of that name on the type that defines it.
+    """
+    p = properties(md)
+    one = lambda c, role: p.filter(F.col(c).isNotNull()).select("file_id", F.col(c).alias("rid"), F.col("name").alias("property"), F.col("type_rid"), F.lit(role).alias("role"))
+    own = one("getter", "get").unionByName(one("setter", "set"))
+    direct = own.select("file_id", (F.lit(6 << 24).cast("long") + F.col("rid")).alias("ref"), "property", "role")
+    named = own.join(view(md, 6).select("file_id", "rid", "Name"), ["file_id", "rid"]).select("file_id", F.lit(2).alias("Class_table"), F.col("type_rid").alias("Class_rid"), "Name", "property", "role")
+    refs = view(md, 10).join(named, ["file_id", "Class_table", "Class_rid", "Name"])
+    return direct.unionByName(refs.select("file_id", (F.lit(10 << 24).cast("long") + F.col("rid")).alias("ref"), "property", "role"))

@@ -1,8 +1,10 @@
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
 from bytelode import api
-from bytelode.functions import bytecode, generics
+from bytelode.functions import bytecode, generics, literals
 from bytelode.operators import dotnet, flow, jvm, output
 from bytelode.sources import encode, pe
 from bytelode.streaming import inputs as streaming
@@ -84,6 +86,40 @@ def test_events_and_explicit_implementations(spark):
     assert [r.name for r in dotnet.source_methods(md).collect()] == ["Shapes.IReset.Reset"]
 
 
+def test_literals():
+    c = literals.constant
+    assert [c(13, struct.pack("<d", 2.0)), c(8, struct.pack("<i", 999)), c(14, "bo\"ok".encode("utf-16-le")), c(2, b"\1"), c(3, b"'\0"), c(18, b"\0\0\0\0")] == ["2.0", "999", '"bo\\"ok"', "true", "'\\''", "null"]
+    assert [c(12, struct.pack("<f", 0.1)), c(13, struct.pack("<d", float("nan"))), c(8, b"\1"), c(99, b""), c(None, b"")] == ["0.1f", "double.NaN", None, None, None]
+    sig = bytes.fromhex("2004010E080A02")
+    value = b"\1\0\2hi" + struct.pack("<iq?", -5, 1 << 40, True) + b"\0\0"
+    assert literals.attribute_arguments(value, sig) == ['"hi"', "-5", str(1 << 40), "true"]
+    assert literals.attribute_arguments(b"\1\0\xff\0\0", bytes.fromhex("2001010E")) == ["null"]
+    assert literals.attribute_arguments(value[:5], sig) is None and literals.attribute_arguments(value, bytes.fromhex("2001011C")) is None
+
+
+def test_attributes_locals_and_accessors(spark):
+    a = encode.Assembly()
+    a.add(1, 0, "ObsoleteAttribute", "System")
+    a.add(2, 0, "<Module>", "", 0, 1, 1)
+    a.add(2, 1, "C", "", 0, 1, 1)
+    a.add(4, 1, "Max", b"\x06\x08")
+    a.add(6, a.body(b"\x2a"), 0, 6, "get_Size", b"\x20\x00\x08", 1)
+    a.add(10, (1, 1), ".ctor", bytes.fromhex("2001010E"))
+    a.add(10, (2, 2), "get_Size", b"\x20\x00\x08")
+    a.add(11, 8, (4, 1), struct.pack("<i", 7))
+    a.add(12, (2, 2), (10, 1), b"\1\0\3old\0\0")
+    a.add(17, b"\x07\x02\x08\x1d\x0e")
+    a.add(21, 2, 1)
+    a.add(23, 0, "Size", b"\x28\x00\x08")
+    a.add(24, 2, 1, (23, 1))
+    md = pe.decode_images(spark.createDataFrame([("f", "pe", bytearray(a.bytes()))], "file_id string, kind string, content binary"))
+    md = md.withColumn("local_token", F.when(F.col("code").isNotNull(), F.lit(0x11000001)).cast("long")).cache()
+    assert [(r.table, r.rid, r.literal) for r in dotnet.constants(md).collect()] == [(4, 1, "7")]
+    assert [(r.Parent_table, r.Parent_rid, r.line) for r in dotnet.attribute_lines(md).collect()] == [(2, 2, '[Obsolete("old")]')]
+    assert [(r.rid, r.locals) for r in dotnet.local_types(md).collect()] == [(1, ["int", "string[]"])]
+    assert {(hex(r.ref), r.property, r.role) for r in dotnet.accessors(md).collect()} == {("0x6000001", "Size", "get"), ("0xa000002", "Size", "get")}
+
+
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "in").mkdir()
