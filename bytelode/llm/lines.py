@@ -144,24 +144,29 @@ def repeated_lines(docs: DataFrame, least: int = MIN_KEY, bits: int = FILTER_BIT
     def suspects(batches):
         segments = {s: np.frombuffer(x, np.uint8) for s, x in shared.value.items()}
         for b in by_bytes(batches, "text", 8 << 20):
-            ids, hashes, keys = [], [], []
+            holders: dict[bytes, list[int]] = {}
             names = b.column(0).to_pylist()
             for i, ks in _keys(b.column(1).to_pylist(), least):
                 for k in ks:
-                    ids.append(names[i])
-                    keys.append(k)
-                    hashes.append(_hash(k))
-            if ids:
-                h = np.array(hashes, np.uint64)
+                    holders.setdefault(k, []).append(names[i])
+            if holders:
+                keys = list(holders)
+                h = np.array([_hash(k) for k in keys], np.uint64)
                 keep = np.flatnonzero(~_surely_once(h, segments, bits))
+                ids = [holders[keys[j]] for j in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[j] for j in keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array([keys[j] for j in keep], pa.binary())],
-                    ["doc_id", "h", "key"],
-                )
-
-    found = materialize(docs.select("doc_id", "text").mapInArrow(suspects, "doc_id long, h long, key binary"), "suspects")
-    first = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return found.join(first, "key").filter("doc_id > first").select("doc_id", "h").distinct()
+                    [
+                        pa.array([keys[j] for j in keep], pa.binary()), pa.array(h[keep].view(np.int64)), pa.array(ids, pa.list_(pa.int64())),
+                        pa.array([min(x) for x in ids], pa.int64()), pa.array([max(x) for x in ids], pa.int64()),
+                    ],
+                    ["key", "h", "ids", "low", "high"],
+                )
+
+    # a batch sends each key once, with its documents, so a very common line is as many rows as there are batches
+    found = materialize(docs.select("doc_id", "text").mapInArrow(suspects, "key binary, h long, ids array<long>, low long, high long"), "suspects")
+    first = found.groupBy("key").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
+    held = found.join(first, "key").select("h", "first", F.explode("ids").alias("doc_id"))
+    return held.filter("doc_id > first").select("doc_id", "h").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = MIN_KEY, bits: int = FILTER_BITS) -> DataFrame:
