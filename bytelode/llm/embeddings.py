@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm._shared import batched, materialize, runs, table
-from bytelode.llm.graph import components
+from bytelode.llm.graph import components, local_roots
 
 THRESHOLD = 0.93
 BLOCK = 1024
@@ -113,18 +113,6 @@ def _cells(distinct: DataFrame, centroids: dict[str, np.ndarray], threshold: flo
     return distinct.select("part", "id", "n", "vec").mapInArrow(assign, "part string, cell int, own boolean, id long, n long, vec binary")
 
 
-def _local_roots(ids: np.ndarray, others: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id reachable inside a block, for its rows and its columns."""
-    a, b = ids.copy(), others.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        x = np.minimum(a, np.where(hit, b[None, :], big).min(axis=1, initial=big))
-        y = np.minimum(b, np.where(hit, x[:, None], big).min(axis=0, initial=big))
-        if (x == a).all() and (y == b).all():
-            return x, y
-        a, b = x, y
-
-
 def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``vectors`` (id long, part string, embedding array) -> id, n_links, component_id, kept, one row per input row.
 
@@ -156,7 +144,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             hit = v[r] @ v[c].T >= threshold
             same = ids[r][:, None] == ids[c][None, :]
             counts = (hit & ~same) @ n[c]
-            x, y = _local_roots(ids[r], ids[c], hit & ~same)
+            x, y = local_roots(ids[r], ids[c], hit & ~same)
             left, right = counts > 0, y != ids[c]
             # counts of the block's own rows, and star edges of both sides
             a = np.concatenate([ids[r][left], ids[c][right]])

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytelode.llm._shared import materialize
 
 
+def local_roots(rows: np.ndarray, columns: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id reachable inside a block of links, for its rows and its columns."""
+    a, b = rows.copy(), columns.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        x = np.minimum(a, np.where(hit, b[None, :], big).min(axis=1, initial=big))
+        y = np.minimum(b, np.where(hit, x[:, None], big).min(axis=0, initial=big))
+        if (x == a).all() and (y == b).all():
+            return x, y
+        a, b = x, y
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (id, root): the smallest id reachable from every id that has an edge.
 

@@ -6,12 +6,13 @@ values. Classes that share the first ``MIN_DEPTH`` values of a tree form a regio
 * First pass: a region descends to the depth its density asks for: while a run of equal prefixes holds more than
   ``LEAF`` classes, it splits at the next value. In a leaf, each class proposes its nearest neighbours by longest common
   prefix and signature, and the leaf's hub (the class most others resemble).
-* Next passes: in every region, each pair that still lies in different components, resembles enough and hasn't been
-  confirmed yet is proposed, the closest few of each class first, then more, until none is left. So dense regions cost little (their
-  classes are connected after the first pass) and no pair of a region is dropped.
+  Proposals whose signatures agree within ``MARGIN`` of the threshold are confirmed on the full shingle sets.
+* Second pass: every region that still holds different components is closed exactly. The full sets of its classes
+  outside its largest component are intersected with those of all its classes, in blocks of ``BLOCK``; a block gives the
+  star edges of its links, never its pairs. Dense regions are mostly connected by then, so little is left of them, and no
+  pair of a region is dropped.
 
-Proposals need a signature agreement ``MARGIN`` below the threshold; they are confirmed on the full shingle sets. With
-similarity s the chance to share no region is ``(1 - s^MIN_DEPTH)^TREES``: 8e-6 at 0.85.
+With similarity s the chance to share no region is ``(1 - s^MIN_DEPTH)^TREES``: 8e-6 at 0.85.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm._shared import by_bytes, materialize, runs, table
-from bytelode.llm.graph import components
+from bytelode.llm.graph import components, local_roots
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -31,8 +32,7 @@ TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
 LEAF = 64
 MARGIN = 0.12
-#: Proposals of a class in the second pass, and their growth from pass to pass, so that few passes remain.
-PROPOSALS, GROWTH = 4, 8
+BLOCK = 1024
 #: Bound of an id list that is broadcast, counted before.
 BROADCAST_IDS = 500_000
 
@@ -171,25 +171,28 @@ def _near(ids: np.ndarray, sig: np.ndarray, tree: int, need: int) -> set[tuple[i
     return pairs
 
 
-def _across(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, tested: list, need: int, most: int) -> set[tuple[int, int]]:
-    """Close pairs of different components that haven't been tried, the closest ``most`` of each class."""
-    names, counts = np.unique(comp, return_counts=True)
-    minor = np.flatnonzero(comp != names[counts.argmax()])
-    pairs: set[tuple[int, int]] = set()
-    for at in range(0, len(minor), 512):
-        rows = minor[at : at + 512]
-        same = _agreement(sig, rows)
-        same[(same < need) | (comp[rows][:, None] == comp[None, :])] = 0
-        for k in np.flatnonzero(same.any(axis=1)):
-            i, done, taken = rows[k], set(tested[rows[k]] or ()), 0
-            for j in np.argsort(-same[k].astype(np.int16), kind="stable"):
-                if not same[k, j] or taken == most:
-                    break
-                a, b = int(ids[i]), int(ids[j])
-                if b not in done:
-                    pairs.add((min(a, b), max(a, b)))
-                    taken += 1
-    return pairs
+def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each row's set with each column's."""
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    if out.size <= 8:
+        for i, x in enumerate(rows):
+            for j, y in enumerate(columns):
+                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
+        return out
+    shared = np.intersect1d(np.concatenate(rows), np.concatenate(columns))
+    place = lambda sets: [np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in sets]
+    at_rows, at_columns = place(rows), place(columns)
+    step = 2048
+
+    def dense(at: list[np.ndarray], lo: int) -> np.ndarray:
+        m = np.zeros((len(at), min(step, len(shared) - lo)), np.float32)
+        for i, x in enumerate(at):
+            m[i, x[np.searchsorted(x, lo) : np.searchsorted(x, lo + step)] - lo] = 1
+        return m
+
+    for lo in range(0, len(shared), step):
+        out += dense(at_rows, lo) @ dense(at_columns, lo).T
+    return out
 
 
 def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -258,32 +261,38 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
             if pairs:
                 yield _pair_batch(pairs)
 
-    def next_pass(most):
-        def run(batches):
-            for t in runs(batches, ["tree", "key"]):
-                sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-                pairs = _across(np.asarray(t.column("doc_id")), sig, np.asarray(t.column("comp")), t.column("tested").to_pylist(), need, most)
-                if pairs:
-                    yield _pair_batch(pairs)
-
-        return run
-
-    grouped = lambda df, f: df.repartition("tree", "key").sortWithinPartitions("tree", "key").mapInArrow(f, "a long, b long").distinct()
-    proposed = materialize(grouped(regions.join(sigs, "doc_id"), first_pass), "pairs")
-    confirmed = materialize(_confirm(proposed, sets, percent), "confirmed")
-    tried, most = proposed, PROPOSALS
-    while True:
-        roots = materialize(components(confirmed.filter("link").select("a", "b")), "roots")
-        placed = regions.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "tree", "key", F.coalesce("root", "doc_id").alias("comp"))
-        split = placed.groupBy("tree", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("tree", "key")
-        done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("tested"))
-        open_ = placed.join(split, ["tree", "key"]).join(sigs, "doc_id").join(done.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-        proposed = materialize(grouped(open_, next_pass(most)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if proposed.isEmpty():
-            break
-        most *= GROWTH
-        tried = materialize(tried.unionByName(proposed), "tried")
-        confirmed = materialize(confirmed.unionByName(_confirm(proposed, sets, percent)), "confirmed")
+    def close(batches):
+        for t in runs(batches, ["tree", "key", "row_block", "column_block"]):
+            side, ids, n = (np.asarray(t.column(c)) for c in ("side", "doc_id", "n"))
+            r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(r) or not len(c):
+                continue
+            found = [_unpack(x) for x in t.column("s").to_pylist()]
+            common = _common([found[i] for i in r], [found[i] for i in c]).astype(np.int64)
+            hit = (100 * common >= percent * (n[r][:, None] + n[c][None, :] - common)) & (ids[r][:, None] != ids[c][None, :])
+            x, y = local_roots(ids[r], ids[c], hit)
+            edges = set(zip(ids[r][x != ids[r]].tolist(), x[x != ids[r]].tolist(), strict=True)) | set(zip(ids[c][y != ids[c]].tolist(), y[y != ids[c]].tolist(), strict=True))
+            if edges:
+                yield _pair_batch(edges)
+
+    regional = ["tree", "key"]
+    near = regions.join(sigs, "doc_id").repartition(*regional).sortWithinPartitions(*regional).mapInArrow(first_pass, "a long, b long")
+    proposed = materialize(near.distinct(), "pairs")
+    links = materialize(_confirm(proposed, sets, percent).filter("link").select("a", "b"), "links")
+    roots = materialize(components(links), "roots").withColumnRenamed("id", "doc_id")
+    placed = materialize(regions.join(roots, "doc_id", "left").select("doc_id", *regional, F.coalesce("root", "doc_id").alias("comp")), "placed")
+    sizes = placed.groupBy(*regional, "comp").agg(F.count("*").alias("k")).groupBy(*regional)
+    split = sizes.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+    open_ = placed.join(split.select(*regional, "major", blocks.alias("blocks")), regional).withColumn("at", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    keys = [*regional, "row_block", "column_block"]
+    minor = open_.filter("comp <> major").withColumn("side", F.lit(0)).withColumn("row_block", F.col("at")).withColumn("column_block", F.explode(every))
+    whole = open_.withColumn("side", F.lit(1)).withColumn("column_block", F.col("at")).withColumn("row_block", F.explode(every))
+    asked = minor.select("doc_id", *keys, "side").unionByName(whole.select("doc_id", *keys, "side"))
+    closed = asked.join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, "a long, b long").distinct()
+    links = materialize(links.unionByName(closed), "links")
+    roots = materialize(components(links), "roots")
     member = rows.select("doc_id", "n", "cls").join(classes.select("cls", F.col("doc_id").alias("rep")), "cls", "left")
     return member.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id",
