@@ -35,7 +35,7 @@ WINDOW = 2048
 END_ID = 1
 #: Characters that ``str.split`` takes for white space and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 REST = "\0rest"
 
 
