@@ -5,11 +5,12 @@ values. Classes that share the first ``MIN_DEPTH`` values of a tree form a regio
 
 * First pass: a region descends to the depth its density asks for: while a run of equal prefixes holds more than
   ``LEAF`` classes, it splits at the next value. In a leaf, each class proposes its nearest neighbours by longest common
-  prefix and signature, and the leaf's hub (the class most others resemble).
+  prefix and signature, and the leaf's hub (the class most others resemble). A region of more than ``BLOCK``
+  classes is dealt out by its next values before, and equal values by a hash, so no task gathers more than about a block.
   Proposals whose signatures agree within ``MARGIN`` of the threshold are confirmed on the full shingle sets.
 * Second pass: every region that still holds different components is closed exactly. The full sets of its classes
-  outside its largest component are intersected with those of all its classes, in blocks of ``BLOCK``; a block gives the
-  star edges of its links, never its pairs. Dense regions are mostly connected by then, so little is left of them, and no
+  outside its largest component are intersected with those of all its classes, in blocks of ``BLOCK`` of either; a block
+  gives the star edges of its links, never its pairs. Dense regions are mostly connected by then, so little is left of them, and no
   pair of a region is dropped.
 
 With similarity s the chance to share no region is ``(1 - s^MIN_DEPTH)^TREES``: 8e-6 at 0.85.
@@ -219,6 +220,28 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, link boolean")
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, tree, key, k, sig) with ``part``: about ``BLOCK`` classes of a region at most.
+
+    A region of more splits at the next value until a prefix fits. Classes that share all values of the tree are dealt
+    out by two hashes, so each is in two blocks and the blocks stay connected. What is alone in its part is left out.
+    """
+    whole = rows.filter(F.col("k") <= BLOCK).withColumn("part", F.lit(0).cast("long"))
+    large = rows.filter(F.col("k") > BLOCK).withColumn("tail", F.substring("sig", F.col("tree") * (2 * DEPTH) + (2 * MIN_DEPTH + 1), F.lit(2 * (DEPTH - MIN_DEPTH))))
+    depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH - MIN_DEPTH)))
+    head = F.substring("tail", F.lit(1), F.col("depth") * 2)
+    leaves = large.groupBy("tree", "key", "tail").agg(F.count("*").alias("m")).withColumn("depth", depths)
+    heads = materialize(leaves.groupBy("tree", "key", "depth", head.alias("head")).agg(F.sum("m").alias("m")), "heads")
+    over = heads.filter(F.col("m") > BLOCK).select("tree", "key", (F.col("depth") + 1).alias("depth"), F.col("head").alias("above"))
+    fits = heads.filter((F.col("m") > 1) & ((F.col("m") <= BLOCK) | (F.col("depth") == DEPTH - MIN_DEPTH)))
+    fits = fits.withColumn("above", F.substring("head", F.lit(1), F.col("depth") * 2 - 2)).join(over, ["tree", "key", "depth", "above"], "left_semi")
+    fits = materialize(fits.select("tree", "key", "depth", "head", F.ceil(F.col("m") / BLOCK).alias("blocks")), "fits")
+    dealt = large.withColumn("depth", depths).withColumn("head", head).join(fits, ["tree", "key", "depth", "head"])
+    dealt = dealt.withColumn("deal", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    block = F.pmod(F.xxhash64("doc_id", "tree", "deal"), "blocks")
+    return whole.unionByName(dealt.withColumn("part", F.xxhash64("head", "deal", block)).select(whole.columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id, kept.
 
@@ -237,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         "classes",
     )
     places = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
-    shared = places.groupBy("tree", "key").agg(F.count("*").alias("k")).filter("k > 1").select("tree", "key")
+    shared = materialize(places.groupBy("tree", "key").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
     regions = materialize(places.join(shared, ["tree", "key"]), "regions")
     ids = materialize(regions.select("doc_id").distinct(), "ids")
     small = ids.count() <= BROADCAST_IDS
@@ -255,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     sets = materialize(own.filter("n > 0").dropDuplicates(["doc_id"]), "sets")
 
     def first_pass(batches):
-        for t in runs(batches, ["tree", "key"]):
+        for t in runs(batches, ["tree", "key", "part"]):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
             pairs = _near(np.asarray(t.column("doc_id")), sig, t.column("tree")[0].as_py(), need)
             if pairs:
@@ -276,19 +299,23 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
                 yield _pair_batch(edges)
 
     regional = ["tree", "key"]
-    near = regions.join(sigs, "doc_id").repartition(*regional).sortWithinPartitions(*regional).mapInArrow(first_pass, "a long, b long")
+    held_sigs = regions.join(sigs, "doc_id")
+    dense = not shared.filter(F.col("k") > BLOCK).isEmpty()
+    parts = _parts(held_sigs) if dense else held_sigs.withColumn("part", F.lit(0).cast("long"))
+    near = parts.select("doc_id", *regional, "part", "sig").repartition(*regional, "part").sortWithinPartitions(*regional, "part").mapInArrow(first_pass, "a long, b long")
     proposed = materialize(near.distinct(), "pairs")
     links = materialize(_confirm(proposed, sets, percent).filter("link").select("a", "b"), "links")
     roots = materialize(components(links), "roots").withColumnRenamed("id", "doc_id")
     placed = materialize(regions.join(roots, "doc_id", "left").select("doc_id", *regional, F.coalesce("root", "doc_id").alias("comp")), "placed")
     sizes = placed.groupBy(*regional, "comp").agg(F.count("*").alias("k")).groupBy(*regional)
-    split = sizes.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    open_ = placed.join(split.select(*regional, "major", blocks.alias("blocks")), regional).withColumn("at", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    split = sizes.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("few"), F.count("*").alias("comps")).filter("comps > 1")
+    split = split.select(*regional, "major", *(F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_blocks") for n in ("few", "all")))
+    open_ = placed.join(materialize(split, "split"), regional)
+    at = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     keys = [*regional, "row_block", "column_block"]
-    minor = open_.filter("comp <> major").withColumn("side", F.lit(0)).withColumn("row_block", F.col("at")).withColumn("column_block", F.explode(every))
-    whole = open_.withColumn("side", F.lit(1)).withColumn("column_block", F.col("at")).withColumn("row_block", F.explode(every))
+    minor = open_.filter("comp <> major").withColumn("side", F.lit(0)).withColumn("row_block", at("few_blocks")).withColumn("column_block", every("all_blocks"))
+    whole = open_.withColumn("side", F.lit(1)).withColumn("column_block", at("all_blocks")).withColumn("row_block", every("few_blocks"))
     asked = minor.select("doc_id", *keys, "side").unionByName(whole.select("doc_id", *keys, "side"))
     closed = asked.join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, "a long, b long").distinct()
     links = materialize(links.unionByName(closed), "links")

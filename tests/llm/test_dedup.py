@@ -46,6 +46,19 @@ def test_minhash_later_passes_find_what_the_first_left(spark, texts, monkeypatch
     assert got == brute.near_duplicates(texts)
 
 
+def test_minhash_first_pass_gathers_no_whole_region(spark, texts, monkeypatch):
+    near = minhash._near
+
+    def bounded(ids, *a):
+        assert len(ids) <= 48
+        return near(ids, *a)
+
+    monkeypatch.setattr(minhash, "_near", bounded)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute.near_duplicates(texts)
+
+
 def test_minhash_edges(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
