@@ -15,6 +15,9 @@ from bytelode.session import ship_package
 #: Documents with at least this score go.
 TOXIC = 0.5
 
+#: Documents of at least this Jaccard similarity, in percent, are near copies.
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold. The model learns from the labelled ones among ``docs``."""
@@ -31,9 +34,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates (0.8 or more), the one with the smallest doc_id."""
     ship_package(spark)
-    gone = materialize(minhash.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = materialize(minhash.near_duplicates(docs.select("doc_id", "text"), NEAR).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

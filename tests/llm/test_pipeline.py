@@ -5,6 +5,18 @@ from bytelode.llm import toxicity
 from tests.llm import brute
 
 
+def test_near_copies_from_80_percent_go(spark, sf_dir):
+    words = [f"w{i}" for i in range(204)]
+    swap = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(words))
+    texts = [(1, swap()), (2, swap(20, 80, 140)), (3, swap(20, 60, 100, 140)), (4, swap(*range(5, 200, 9)))]
+    want = {d for d, (_, root) in brute.near_duplicates(texts, 80).items() if d == root}
+    assert want == {1, 4} and {d for d, (_, root) in brute.near_duplicates(texts[::2]).items() if d == root} == {1, 3}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == want
+    pair = pipeline.drop_near_duplicates(spark, docs.filter("doc_id in (1, 3)"), sf_dir)
+    assert {r.doc_id for r in pair.collect()} == {1}
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
