@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from bytelode.llm import embeddings, graph, lines, minhash, suffixes
@@ -82,22 +83,34 @@ def line_docs():
     return [*docs, (100, None), (101, ""), (102, "\n\n"), (103, "Common LINE number one"), (5, "common line number one\nmine alone here")]
 
 
-@pytest.mark.parametrize("bits", [lines.FILTER_BITS, lines.SEGMENT_BITS])
+@pytest.mark.parametrize("bits", [lines.BROADCAST_BITS, 0])
 def test_lines_equal_brute_force(spark, bits):
     docs = line_docs()
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, n_lines long, extra int").repartition(5)
-    got = lines.drop_repeated_lines(df, bits=bits).collect()
+    got = lines.drop_repeated_lines(df, broadcast_bits=bits).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == sorted(brute.dedup_lines(docs))
     assert {r.extra for r in got} == {2}
 
 
 def test_full_filter_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(lines, "twice_filter", lambda *a: {s: b"\xff" * (lines.SEGMENT_BITS // 8) for s in range(lines.FILTER_BITS // lines.SEGMENT_BITS)})
+    monkeypatch.setattr(lines, "_suspected", lambda hashes, bitmap: np.ones(len(hashes), bool))
     docs = line_docs()
     got = lines.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == sorted(brute.dedup_lines(docs))
 
 
+@pytest.mark.parametrize("bits", [lines.BROADCAST_BITS, 0])
+@pytest.mark.parametrize("per_doc", [20, 2000])
+def test_share_of_false_suspects_does_not_grow(spark, monkeypatch, per_doc, bits):
+    """100 times the keys, and segments so small that both sizes need several."""
+    monkeypatch.setattr(lines, "SEGMENT_BITS", 1 << 12)
+    docs = [(d, "\n".join([f"only once {d} {i}" for i in range(per_doc)] + [f"shared by two {d // 2}"])) for d in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    found = lines.suspected_lines(df, broadcast_bits=bits).select("key").distinct().collect()
+    assert sum(bytes(r.key).startswith(b"shared") for r in found) == 100
+    assert sum(bytes(r.key).startswith(b"only") for r in found) < 0.02 * 200 * per_doc
+
+
 def test_lines_edges(spark):
     schema = "doc_id long, text string"
     assert lines.drop_repeated_lines(spark.createDataFrame([], schema)).count() == 0
