@@ -8,7 +8,6 @@ the largest cosine; a text farther from it than almost all training texts of tha
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,18 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from bytelode.llm._shared import by_bytes, crc_fold, materialize, runs, table
 from bytelode.llm.embeddings import spherical_kmeans
 
 DIM = 4096
-#: Expected number of texts a language's centroids are learned from, and of centroids of a language.
+#: Number of different texts a language's centroids are learned from at most, and of centroids of a language.
 SAMPLE = 1500
 CENTROIDS = 4
 MIN_CLUSTER = 0.05
 REJECT_QUANTILE = 0.001
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(128)]
@@ -57,21 +56,29 @@ class LanguageModel:
     reach: np.ndarray  # least cosine of each centroid's own texts, but for a few
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -> LanguageModel | None:
-    """Learn from ``docs`` (doc_id, text, lang) outside the hold-out fold. None without a training row.
-
-    A language with more than ``sample`` rows gives about ``sample``, those with the smallest text hashes. What returns to
-    the driver is ``per_language`` vectors and one count vector a language.
-    """
-    rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(crc_fold(F.col("doc_id")) != 0).select("lang", "text")
-    sizes = rows.groupBy("lang").count()
+def training_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang, text: at most ``sample`` different texts of each language outside the hold-out fold."""
+    rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(crc_fold(F.col("doc_id")) != 0)
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
     span = 1 << 30
-    picked = (
+    # a few more than wanted by the estimated count; copies meet before the shuffle, and the window makes the bound exact
+    few = (
         rows.join(F.broadcast(sizes), "lang")
-        .filter(F.pmod(F.xxhash64("text"), F.lit(span)) < F.lit(float(sample) * span) / F.col("count"))
-        .select("lang", "text")
+        .filter(F.pmod("h", F.lit(span)) < F.lit(1.3 * sample * span) / F.col("texts"))
+        .groupBy("lang", "h")
+        .agg(F.min("text").alias("text"))
     )
+    least = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(span)), "h")
+    return few.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= sample).select("lang", "text")
+
 
+def train(docs: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS) -> LanguageModel | None:
+    """Learn from ``docs`` (doc_id, text, lang) outside the hold-out fold. None without a training row.
+
+    A language gives at most ``sample`` different texts, those with the smallest hashes; a text that is repeated counts
+    once. What returns to the driver is ``per_language`` vectors and one count vector a language.
+    """
     def vectors(batches):
         for t in runs(batches, ["lang"]):
             tf = np.log1p(np.stack([ngrams(x) for x in t.column("text").to_pylist()]).astype(np.float32))
@@ -80,7 +87,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS)
                 [t.column("lang").combine_chunks().slice(0, 1), pa.array([len(tf)]), pa.array([df.astype("<i8").tobytes()], pa.binary())], ["lang", "n", "df"]
             )
 
-    near = materialize(picked, "languages").repartition("lang").sortWithinPartitions("lang")
+    near = materialize(training_texts(docs, sample), "languages").repartition("lang").sortWithinPartitions("lang")
     found = near.mapInArrow(vectors, "lang string, n long, df binary").collect()
     if not found:
         return None
@@ -111,7 +118,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS)
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (largest cosine, 0 to 1) and ``rejected`` added, replacing such columns.
 
-    Null texts and texts without letters are ``und`` with score 0, as is every text without a model. Only text is read.
+    Null texts and texts without letters (Unicode's classes L) are ``und`` with score 0, as is every text without a model.
+    Only text is read, so repeated rows get equal results; of centroids at the same cosine the first by language wins. No
+    rows give no rows.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     names = [*docs.columns, "lang_pred", "score", "rejected"]
@@ -124,7 +133,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         for big in by_bytes(batches, "text", 2 << 20):
             for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
                 texts = b.column(at).to_pylist()
-                read = np.array([m is not None and t is not None and LETTER.search(t) is not None for t in texts])
+                read = np.array([m is not None and t is not None and any(map(str.isalpha, t)) for t in texts])
                 lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 far = ~read
                 if read.any():

@@ -1,10 +1,10 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Every row has a place on a ring of ``cells`` equal arcs; every shard owns ``vnodes`` points on it. A cell prefers the
-shard of the first point clockwise, then the next different shard, and so on. Cells are placed in a fixed pseudo-random
-order; a cell whose shard has reached the capacity continues clockwise to the first shard that has not. Capacity is
-``(1 + slack) * total / shards``, so a shard exceeds it by less than one cell, and only overflowing cells leave their
-first choice.
+shard of the first point clockwise, then the next different shard, and so on. Cells are placed from the heaviest to the
+lightest, ties in a fixed pseudo-random order; a cell that would fill its shard beyond the capacity continues clockwise to the
+first shard that has room for it. Capacity is ``(1 + slack) * total / shards``. A cell with room nowhere goes to the lightest
+shard; being one of the last it is light, so shards end within a light cell of the capacity.
 
 The placement works on one aggregated row per cell, so its size is bounded by ``cells``, whatever the input: this is the
 bound that makes the broadcast of the cell table safe. Everything is DataFrame expressions.
@@ -51,7 +51,7 @@ def place_cells(loads: DataFrame, shards: int, slack: float, cells: int = CELLS,
         loads.join(prefs, "cell")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct(F.xxhash64(F.lit("order"), "cell").alias("o"), "cell", "load", "n", "prefs"))
+                F.collect_list(F.struct((-F.col("load")).alias("weight"), F.xxhash64(F.lit("order"), "cell").alias("o"), "cell", "load", "n", "prefs"))
             ).alias("line"),
             F.sum("load").alias("total"),
         )
@@ -63,7 +63,7 @@ def place_cells(loads: DataFrame, shards: int, slack: float, cells: int = CELLS,
     )
 
     def step(acc, c):
-        free = F.filter(c["prefs"], lambda s: F.get(acc["loads"], s) < F.col("cap"))
+        free = F.filter(c["prefs"], lambda s: F.get(acc["loads"], s) + c["load"] <= F.col("cap"))
         lightest = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int") - 1
         shard = F.coalesce(F.get(free, F.lit(0)), lightest)
         return F.struct(
@@ -82,24 +82,25 @@ def shard_rows(rows: DataFrame, key: list[str], size: str, shards: int = 8, slac
     """``rows`` with ``shard``, ``slot`` (gapless from 0 in a shard) and ``moved`` (not its first choice).
 
     ``key`` columns give the place on the ring and, within a cell, the order; ``size`` is a non-null long. Null keys
-    hash like any value. Rows that tie in every key column are interchangeable. No rows give no rows.
+    hash like any value. Rows that tie in every key column are interchangeable. Input columns named ``shard``, ``slot`` or
+    ``moved`` are replaced, unless they are keys or the size, which are read first; all others pass through. No rows give no rows.
     """
-    at = rows.withColumn("_pos", F.xxhash64(*key)).withColumn("_cell", F.pmod(F.shiftrightunsigned("_pos", 17), F.lit(cells)).cast("int"))
+    pos = F.xxhash64(*key)
+    at = rows.select(
+        F.struct(*(c for c in rows.columns if c not in ("shard", "slot", "moved"))).alias("row"), F.struct(*key).alias("key"), F.col(size).cast("long").alias("load"),
+        pos.alias("pos"), F.pmod(F.shiftrightunsigned(pos, 17), F.lit(cells)).cast("int").alias("cell"),
+    )
     at = materialize(at, "ring")
-    loads = at.groupBy(F.col("_cell").alias("cell")).agg(F.sum(size).alias("load"), F.count("*").alias("n"))
-    placed = place_cells(loads, shards, slack, cells, vnodes)
-    within = W.partitionBy("_cell").orderBy("_pos", *key)
-    return (
-        at.withColumn("_r", F.row_number().over(within))
-        .join(F.broadcast(placed), F.col("_cell") == placed["cell"])
-        .withColumn("slot", (F.col("slot_base") + F.col("_r") - 1).cast("long"))
-        .withColumn("moved", F.col("shard") != F.col("first_choice"))
-        .drop("_pos", "_cell", "_r", "cell", "first_choice", "slot_base")
+    loads = at.groupBy("cell").agg(F.sum("load").alias("load"), F.count("*").alias("n"))
+    placed = F.broadcast(place_cells(loads, shards, slack, cells, vnodes))
+    within = W.partitionBy("cell").orderBy("pos", "key")
+    return at.withColumn("r", F.row_number().over(within)).join(placed, "cell").select(
+        "row.*", "shard", (F.col("slot_base") + F.col("r") - 1).cast("long").alias("slot"), (F.col("shard") != F.col("first_choice")).alias("moved")
     )
 
 
 def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in shards 0 to 7 under the law ``bytes``: no shard exceeds an eighth of all bytes by more than a cell."""
+    """Documents in shards 0 to 7 under the law ``bytes``: no shard exceeds an eighth of all bytes by more than a light cell."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")

@@ -65,6 +65,7 @@ class FuzzyTrie:
                 self.below[node] = max(self.below[node], allowed)
             self.accepts[node] = max(self.accepts[node], allowed)
             self.absorbs[node] |= t.is_stem
+        self.letters = {c for t in terms for c in t.text}
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -90,6 +91,10 @@ class FuzzyTrie:
         return self.states[key]
 
     def _move(self, state: int, ch: str) -> int:
+        """The next state. Characters of no term all act alike and share one stored move, so a state keeps few."""
+        ch = ch if ch in self.letters else ""
+        if ch in self.moves[state]:
+            return self.moves[state][ch]
         out: set[tuple[int, int]] = set()
         for node, e in self.sets[state]:
             if self.absorbs[node] and e <= self.accepts[node]:
@@ -115,16 +120,22 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def _distances(words: set[str], known: dict[str, int], trie: FuzzyTrie) -> dict[str, int]:
+    """Distances of ``words``, from a cache of at most ``CACHED_TOKENS``; a text with more words than that gets its own."""
+    if len(known) + len(words) > CACHED_TOKENS:
+        known.clear()
+    if len(words) > CACHED_TOKENS:
+        return {w: trie.distance(w) for w in words}
+    for w in words.difference(known):
+        known[w] = trie.distance(w)
+    return known
+
+
 def features(text: str | None, known: dict[str, int], trie: FuzzyTrie) -> list[float]:
     """Counts over the whole text, as logarithms."""
     low = (text or "").lower()
     words = TOKEN.findall(low)
-    for w in set(words).difference(known):
-        if len(known) > CACHED_TOKENS:
-            known.clear()
-            return features(text, known, trie)
-        known[w] = trie.distance(w)
-    get = known.__getitem__
+    get = _distances(set(words), known, trie).__getitem__
     n = len(words)
     if not any(get(w) >= 0 for w in set(words)):
         return [1.0, 0, 0, 0, 0, 0, 0, math.log1p(n)]
@@ -233,7 +244,10 @@ def learn_lexicon(rows: DataFrame) -> tuple[Term, ...]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> ToxicityModel:
-    """Lexicon and weights. Without rows of both classes every score is the constant 0."""
+    """Lexicon and weights. Without rows of both classes every score is next to 0.
+
+    A doc_id with several labels counts as toxic if one of them says so; of several rows of a doc_id one is learned from.
+    """
     rows = training_rows(docs, labels, bound).cache()
     terms = learn_lexicon(rows)
     if not terms:
@@ -254,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> Toxicity
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic) and ``n_hits`` added; input columns of these names are replaced.
 
-    The whole text counts. Null and empty texts get the score of a text without hits. Only the text is read.
+    The whole text counts, at any length. Null and empty texts get the score of a text without hits. Only the text is read, so
+    repeated rows get equal scores; no rows give no rows.
     """
     docs = docs.drop("score", "n_hits")
     names = docs.columns

@@ -48,6 +48,16 @@ def test_quotation_is_told_from_abuse():
     assert f("x " * 50_000 + "idiot")[1] > 0
 
 
+def test_text_of_more_words_than_the_cache(monkeypatch):
+    trie, known = toxicity.FuzzyTrie([toxicity.Term("idiot", False)]), {}
+    text = " ".join(f"word{i}" for i in range(450_000)) + " idiot"
+    assert toxicity.features(text, known, trie)[1] > 0 and len(known) <= toxicity.CACHED_TOKENS
+    monkeypatch.setattr(toxicity, "CACHED_TOKENS", 5)
+    for t in ("a b c idiot", "d e f g", "a b c d e f g h idiot", "idiot", "ш щ 中 国 idiot"):
+        assert (toxicity.features(t, known, trie)[1] > 0) == ("idiot" in t) and len(known) <= 5
+    assert all(set(m) <= trie.letters | {""} | set("".join(map(str, m))) for m in trie.moves)
+
+
 def labelled(spark):
     rng = random.Random(2)
     words = "the tree of house green river stone walks slowly under bright sky".split()
@@ -77,6 +87,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(novel, model).first().score >= 0.5
 
 
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs.unionByName(docs), labels.unionByName(labels))
+    twice = docs.unionByName(docs).withColumnRenamed("score", "bad").selectExpr("*", "'x' AS n_hits", "'y' AS toxic", "'z' AS f0")
+    got = toxicity.score(twice, model)
+    assert got.columns == ["doc_id", "text", "bad", "toxic", "f0", "score", "n_hits"]
+    rows = got.collect()
+    assert len(rows) == 1206 and len({(r.doc_id, r.score) for r in rows}) == 603
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, labels.limit(0))
@@ -102,3 +122,26 @@ def test_language_edges(spark):
     assert language.predict(docs.limit(0), model).count() == 0
     long = spark.createDataFrame([(1, "le chat ça " * 50_000)], "doc_id long, text string")
     assert language.predict(long, model).first().lang_pred == "fr"
+
+
+def test_language_of_marks_that_are_no_letters(spark):
+    train = spark.createDataFrame([(i, "the cat " * 5, "en") for i in range(9)] + [(i, "le chat ça " * 5, "fr") for i in range(20, 29)], "doc_id long, text string, lang string")
+    model = language.train(train)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(["² ½", "①②", "Ⅷ", "12 _ ٣", "é", "中"])], "doc_id long, text string, lang_pred string, rejected int")
+    got = language.predict(docs.unionByName(docs), model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "rejected"]
+    rows = got.collect()
+    assert len(rows) == 12 and len(set(rows)) == 6
+    assert {r.doc_id: r.lang_pred == "und" for r in rows} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_language_sample_counts_a_repeated_text_once(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(100_000).select("id", F.lit("the cat sat on the mat").alias("text"), F.lit("en").alias("lang"))
+    rest = spark.range(100_000, 102_000).select("id", F.concat(F.lit("a house and a green river "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(200_000, 200_300).select("id", F.concat(F.lit("le chat vert "), F.col("id").cast("string")).alias("text"), F.lit("fr").alias("lang"))
+    docs = copies.unionByName(rest).unionByName(other).withColumnRenamed("id", "doc_id")
+    few = language.training_texts(docs, 500).collect()
+    assert len(few) == len(set(few)) and 400 < sum(r.lang == "en" for r in few) <= 500
+    assert 180 < sum(r.lang == "fr" for r in few) <= 300

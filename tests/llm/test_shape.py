@@ -66,16 +66,16 @@ def test_ring_balances_and_moves_little(spark):
 
 
 def test_ring_follows_the_sequential_algorithm(spark):
-    """Cells in their order; each takes the first shard clockwise below the capacity."""
+    """Cells from the heaviest on; each takes the first shard clockwise with room, or the lightest."""
     loads = spark.createDataFrame([(c, (c * 37) % 50 + 1, 1) for c in range(0, 64, 2)], "cell int, load long, n long")
     prefs = {r.cell: r.prefs for r in ring._preferences(spark, loads.select("cell"), 4, 64, 3).collect()}
     from pyspark.sql import functions as F
 
-    order = [r.cell for r in loads.orderBy(F.xxhash64(F.lit("order"), "cell")).collect()]
+    order = [r.cell for r in loads.orderBy(F.desc("load"), F.xxhash64(F.lit("order"), "cell")).collect()]
     size = {r.cell: r.load for r in loads.collect()}
     cap, at, want = -(-sum(size.values()) // 4), [0] * 4, {}
     for c in order:
-        s = next(s for s in prefs[c] if at[s] < cap)
+        s = next((s for s in prefs[c] if at[s] + size[c] <= cap), at.index(min(at)))
         at[s] += size[c]
         want[c] = s
     assert {r.cell: r.shard for r in ring.place_cells(loads, 4, 0.0, 64, 3).collect()} == want
@@ -86,6 +86,31 @@ def test_ring_follows_the_sequential_algorithm(spark):
         assert p == list(dict.fromkeys(walk))
 
 
+def test_ring_query_holds_its_contract(spark, sf_dir):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = ring.op4_hash_ring(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    loads, slots = dict.fromkeys(range(8), 0), {}
+    for r in got:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id]) + 1, zlib.crc32(docs[r.doc_id]), "bytes", None)
+        loads[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    mean = sum(loads.values()) / 8
+    assert max(loads.values()) - mean <= max(max(r["size"] for r in got) - mean, 0.01 * mean)
+
+
+def test_ring_passes_clashing_columns_through(spark):
+    names = ["k", "size", "cell", "first_choice", "slot_base", "shard", "slot", "moved", "_r", "row", "key", "pos", "load", "n"]
+    rows = [(i, i % 7 + 1, *[f"{c}{i}" for c in names[2:]]) for i in range(200)] + [(None, 3, *[None] * 12)]
+    df = spark.createDataFrame(rows, "k long, size long, " + ", ".join(f"{c} string" for c in names[2:]))
+    got = ring.shard_rows(df, ["k"], "size", 3, cells=64, vnodes=4)
+    assert got.columns == [c for c in names if c not in ("shard", "slot", "moved")] + ["shard", "slot", "moved"]
+    assert {(r.k, r.cell, r.load, r["key"]) for r in got.collect()} == {(r[0], r[2], r[12], r[10]) for r in rows}
+    long = spark.createDataFrame([(1, "x" * 300_000), (2, ""), (3, None), (3, None)], "k long, text string").selectExpr("*", "coalesce(octet_length(text), 0) + 1L AS size")
+    assert sorted((r.k, r["size"]) for r in ring.shard_rows(long, ["k"], "size", 2).collect()) == [(1, 300_001), (2, 1), (3, 1), (3, 1)]
+
+
 def test_ring_of_nothing(spark):
     assert ring.shard_rows(spark.createDataFrame([], "k long, size long"), ["k"], "size").count() == 0
 
