@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm._shared import materialize
+from bytelode.llm._shared import discard, materialize
 
 
 def local_roots(rows: np.ndarray, columns: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,12 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = down(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(small, "a")
-        now = materialize(
+        after = materialize(
             down(pairs.select("a", F.col("m").alias("b")).unionByName(pairs.select(F.col("b").alias("a"), F.col("m").alias("b")))), "edges"
         )
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(sums) == state:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("root"))
-            ).distinct()
-        state = tuple(sums)
+        discard(now)
+        now = after
+        sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sums == state:
+            ends = now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")))
+            roots = materialize(ends.distinct(), "roots")
+            discard(now)
+            return roots
+        state = sums

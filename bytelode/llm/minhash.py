@@ -1,19 +1,22 @@
 """MinHash near-dedup on an LSH forest.
 
 Documents with equal shingle sets collapse into one class first. A class has ``TREES`` signature orders of ``DEPTH`` hash
-values. Classes that share the first ``MIN_DEPTH`` values of a tree form a region; in it they are sorted by signature.
-
-* First pass: a region descends to the depth its density asks for: while a run of equal prefixes holds more than
-  ``LEAF`` classes, it splits at the next value. In a leaf, each class proposes its nearest neighbours by longest common
-  prefix and signature, and the leaf's hub (the class most others resemble). A region of more than ``BLOCK``
-  classes is dealt out by its next values before, and equal values by a hash, so no task gathers more than about a block.
-  Proposals whose signatures agree within ``MARGIN`` of the threshold are confirmed on the full shingle sets.
-* Second pass: every region that still holds different components is closed exactly. The full sets of its classes
-  outside its largest component are intersected with those of all its classes, in blocks of ``BLOCK`` of either; a block
-  gives the star edges of its links, never its pairs. Dense regions are mostly connected by then, so little is left of them, and no
-  pair of a region is dropped.
-
-With similarity s the chance to share no region is ``(1 - s^MIN_DEPTH)^TREES``: 8e-6 at 0.85, 2e-4 at 0.8.
+values; every order is sorted, and classes that share the first ``MIN_DEPTH`` values of a tree form a region of it.
+
+* Candidates are neighbours in a sorted order: of a class, the next ``WINDOW`` classes of its region, which are those with
+  the longest common prefixes. So the depth adapts to the density: a region of up to ``WINDOW`` + 1 classes is compared whole,
+  at ``MIN_DEPTH``; in a denser one the window holds only those that share more values.
+* Pass 1 walks ``FIRST_TREES`` orders; each class proposes its nearest neighbour whose signature agrees within ``MARGIN`` of the
+  threshold. Proposals are confirmed on the full shingle sets, and confirmed links are joined into components.
+* Pass 2 walks all orders of regions that still hold several components, and proposes agreeing neighbours of other components:
+  all of the window in regions of up to ``WINDOW`` + 1 classes, the nearest one in denser regions.
+* A denser region that is still open after that is closed exactly: the full sets of its classes outside its largest component
+  are intersected with those of all its classes, in blocks of ``BLOCK`` of either; a block gives the star edges of its links,
+  never its pairs. No pair of a region is dropped, and regions the window covers never get there.
+
+Small regions meet in one task; denser ones are spread by range over (tree, values, hash), so none is gathered. What the
+borders of the ranges separate, other orders and the last pass find. With similarity s the chance to share no region is
+``(1 - s^MIN_DEPTH)^TREES``: 8e-6 at 0.85, 2e-4 at 0.8.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelode.llm._shared import by_bytes, materialize, runs, table
+from bytelode.llm._shared import by_bytes, discard, materialize, runs, table
 from bytelode.llm.graph import components, local_roots
 
 SHINGLE = 5
 THRESHOLD = 85
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
-LEAF = 64
+FIRST_TREES = 4
+WINDOW = 32
 MARGIN = 0.12
-BLOCK = 1024
+BLOCK = 512
 #: Bound of an id list that is broadcast, counted before.
 BROADCAST_IDS = 500_000
 
@@ -97,18 +101,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
 
 
-def _pack(shingles: np.ndarray) -> bytes:
-    """40 bits of each hash, sorted: false matches of a pair of sets of a thousand have a chance of 1e-6."""
-    x = np.unique(shingles >> _U(24)).astype("<u8")
-    return x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    x = np.zeros((len(blob) // 5, 8), np.uint8)
-    x[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return x.view("<u8").ravel()
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n, cls (hash of the set), keys (a region key a tree), sig of ``docs`` (doc_id, text); nulls for no words."""
 
@@ -131,44 +123,19 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls binary, keys array<long>, sig binary")
 
 
-def _agreement(sig: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Equal values of each of ``rows`` with every signature, in blocks that bound the memory."""
-    out = np.empty((len(rows), len(sig)), np.uint8)
-    step = max(1, (1 << 23) // (len(sig) * HASHES))
-    for i in range(0, len(rows), step):
-        out[i : i + step] = (sig[rows[i : i + step], None, :] == sig[None, :, :]).sum(axis=2)
-    return out
-
-
-def _leaves(values: np.ndarray, lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
-    if hi - lo <= LEAF or depth == DEPTH:
-        return [(lo, hi)]
-    cuts = np.flatnonzero(np.diff(values[lo:hi, depth].astype(np.int32))) + lo + 1
-    borders = [lo, *cuts.tolist(), hi]
-    return [x for a, b in zip(borders[:-1], borders[1:], strict=True) for x in _leaves(values, a, b, depth + 1)]
-
-
-def _near(ids: np.ndarray, sig: np.ndarray, tree: int, need: int) -> set[tuple[int, int]]:
-    """Nearest neighbours and hubs of a region's leaves."""
-    values = sig.reshape(-1, TREES, DEPTH)[:, tree]
-    order = np.lexsort(values.T[::-1])
-    ids, sig, values = ids[order], sig[order], values[order]
+def _proposals(ids: np.ndarray, region: np.ndarray, comp: np.ndarray, sig: np.ndarray, dense: np.ndarray, need: int, window: int) -> set[tuple[int, int]]:
+    """Agreeing neighbours of different components in a sorted order: the nearest of each class where ``dense``, else all."""
     pairs: set[tuple[int, int]] = set()
-    for lo, hi in _leaves(values, 0, len(ids), MIN_DEPTH):
-        m = hi - lo
-        for at in range(0, m, 1024) if m > 1 else ():
-            rows = np.arange(at, min(at + 1024, m))
-            same = _agreement(sig[lo:hi], rows)
-            same[np.arange(len(rows)), rows] = 0
-            close = same >= need
-            degree = close.sum(axis=0)
-            first = same.argmax(axis=1)
-            hub = np.where(close, degree[None, :].astype(np.int64) + 1, 0).argmax(axis=1)
-            for j in (first, hub):
-                for i in np.flatnonzero(close[np.arange(len(rows)), j]):
-                    a, b = int(ids[lo + rows[i]]), int(ids[lo + j[i]])
-                    if a != b:
-                        pairs.add((min(a, b), max(a, b)))
+    waiting = np.ones(len(ids), bool)
+    for o in range(1, min(window, len(ids) - 1) + 1):
+        at = np.flatnonzero((region[:-o] == region[o:]) & (comp[:-o] != comp[o:]) & (waiting[:-o] | ~dense[:-o]))
+        if not len(at):
+            if not (region[:-o] == region[o:]).any():
+                break
+            continue
+        close = at[(sig[at] == sig[at + o]).sum(axis=1) >= need]
+        waiting[close] = False
+        pairs.update(zip(np.minimum(ids[close], ids[close + o]).tolist(), np.maximum(ids[close], ids[close + o]).tolist(), strict=True))
     return pairs
 
 
@@ -202,44 +169,84 @@ def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with ``link``: 100 * intersection >= percent * union of the full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union of the full sets."""
+    left = sets.select(F.col("nid").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    right = sets.select(F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
 
     def run(batches):
         for big in batches:
             for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
                 ok = []
-                for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                    common = len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
-                    ok.append(100 * common >= percent * (n + m - common))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "link"])
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
+                t = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
+                yield t.filter(pa.array(ok, pa.bool_()))
 
     # a pair whose sizes alone rule it out needs no sets
     joined = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, link boolean")
+    return joined.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, tree, key, k, sig) with ``part``: about ``BLOCK`` classes of a region at most.
+def _neighbours(rows: DataFrame, need: int, nearest: bool, window: int = WINDOW) -> DataFrame:
+    """(a, b) proposed by ``rows`` (nid, tree, key, k, comp, sig); ``k`` counts the region. ``nearest``: only the nearest anywhere."""
+    tail = F.substring("sig", F.col("tree") * (2 * DEPTH) + (2 * MIN_DEPTH + 1), F.lit(2 * (DEPTH - MIN_DEPTH)))
+    rows = rows.select("tree", "key", tail.alias("tail"), F.xxhash64("nid", "tree").alias("tie"), "nid", "k", "comp", "sig")
+    order = ["tree", "key", "tail", "tie"]
 
-    A region of more splits at the next value until a prefix fits. Classes that share all values of the tree are dealt
-    out by two hashes, so each is in two blocks and the blocks stay connected. What is alone in its part is left out.
-    """
-    whole = rows.filter(F.col("k") <= BLOCK).withColumn("part", F.lit(0).cast("long"))
-    large = rows.filter(F.col("k") > BLOCK).withColumn("tail", F.substring("sig", F.col("tree") * (2 * DEPTH) + (2 * MIN_DEPTH + 1), F.lit(2 * (DEPTH - MIN_DEPTH))))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH - MIN_DEPTH)))
-    head = F.substring("tail", F.lit(1), F.col("depth") * 2)
-    leaves = large.groupBy("tree", "key", "tail").agg(F.count("*").alias("m")).withColumn("depth", depths)
-    heads = materialize(leaves.groupBy("tree", "key", "depth", head.alias("head")).agg(F.sum("m").alias("m")), "heads")
-    over = heads.filter(F.col("m") > BLOCK).select("tree", "key", (F.col("depth") + 1).alias("depth"), F.col("head").alias("above"))
-    fits = heads.filter((F.col("m") > 1) & ((F.col("m") <= BLOCK) | (F.col("depth") == DEPTH - MIN_DEPTH)))
-    fits = fits.withColumn("above", F.substring("head", F.lit(1), F.col("depth") * 2 - 2)).join(over, ["tree", "key", "depth", "above"], "left_semi")
-    fits = materialize(fits.select("tree", "key", "depth", "head", F.ceil(F.col("m") / BLOCK).alias("blocks")), "fits")
-    dealt = large.withColumn("depth", depths).withColumn("head", head).join(fits, ["tree", "key", "depth", "head"])
-    dealt = dealt.withColumn("deal", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    block = F.pmod(F.xxhash64("doc_id", "tree", "deal"), "blocks")
-    return whole.unionByName(dealt.withColumn("part", F.xxhash64("head", "deal", block)).select(whole.columns))
+    def walk(batches):
+        held = None  # the last rows, which the next batch's first ones may follow
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            t = t.combine_chunks()
+            tree, key, ids, k, comp = (np.asarray(t.column(c)) for c in ("tree", "key", "nid", "k", "comp"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+            change = np.append(True, (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]))
+            if pairs := _proposals(ids, np.cumsum(change), comp, sig, (k > window + 1) | nearest, need, window):
+                yield _pair_batch(pairs)
+            held = t.slice(max(0, t.num_rows - window))
+
+    dense = F.col("k") > BLOCK
+    apart = rows.filter(~dense).repartition("tree", "key").sortWithinPartitions(*order).mapInArrow(walk, "a long, b long")
+    spread = rows.filter(dense).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, "a long, b long")
+    return apart.unionByName(spread).distinct()
+
+
+def _close(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Star edges (a, b) of all links between a region's smaller components and the region: ``open_`` (nid, tree, key, comp)."""
+    regional = ["tree", "key"]
+    sizes = open_.groupBy(*regional, "comp").agg(F.count("*").alias("c"))
+    split = sizes.groupBy(*regional).agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    few = F.col("all") - F.col("m.c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = materialize(split.filter(few > 0).select(*regional, F.col("m.comp").alias("major"), blocks(few).alias("few_blocks"), blocks(F.col("all")).alias("all_blocks")), "split")
+    placed = open_.join(split, regional)
+    at = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = [*regional, "row_block", "column_block"]
+    minor = placed.filter("comp <> major").withColumn("side", F.lit(0)).withColumn("row_block", at("few_blocks")).withColumn("column_block", every("all_blocks"))
+    whole = placed.withColumn("side", F.lit(1)).withColumn("column_block", at("all_blocks")).withColumn("row_block", every("few_blocks"))
+    asked = minor.select("nid", *keys, "side").unionByName(whole.select("nid", *keys, "side"))
+
+    def close(batches):
+        for t in runs(batches, keys):
+            side, ids, n = (np.asarray(t.column(c)) for c in ("side", "nid", "n"))
+            r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(r) or not len(c):
+                continue
+            found = [np.frombuffer(x, "<u8") for x in t.column("s").to_pylist()]
+            common = _common([found[i] for i in r], [found[i] for i in c]).astype(np.int64)
+            hit = (100 * common >= percent * (n[r][:, None] + n[c][None, :] - common)) & (ids[r][:, None] != ids[c][None, :])
+            x, y = local_roots(ids[r], ids[c], hit)
+            edges = set(zip(ids[r][x != ids[r]].tolist(), x[x != ids[r]].tolist(), strict=True)) | set(zip(ids[c][y != ids[c]].tolist(), y[y != ids[c]].tolist(), strict=True))
+            if edges:
+                yield _pair_batch(edges)
+
+    return asked.join(sets, "nid").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
@@ -248,85 +255,112 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds the distinct shingles of five words, or
     the whole shorter text. Two documents are linked if their sets reach ``percent`` in Jaccard similarity;
     ``component_id`` is the smallest doc_id reachable. Null, empty and wordless texts have no shingles and link with
-    nothing. Rows that share a doc_id are one node. Rows without doc_id link with nothing: their component is null and they
-    are kept. Other columns are ignored; no rows give no rows.
+    nothing. Rows that share a doc_id are one node with the links of all their texts. Rows without doc_id link with nothing: their
+    component is null and they are kept. Other columns are ignored; no rows give no rows.
     """
     need = int(np.floor(HASHES * (percent / 100 - MARGIN)))
     rows = materialize(sketch(docs), "sketch")
     classes = materialize(
         rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n")
-        ),
+            F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
+        ).withColumn("nid", F.monotonically_increasing_id()),
         "classes",
-    )
-    places = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
+    )
+    places = classes.select("nid", F.posexplode("keys").alias("tree", "key"))
     shared = materialize(places.groupBy("tree", "key").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
     regions = materialize(places.join(shared, ["tree", "key"]), "regions")
-    ids = materialize(regions.select("doc_id").distinct(), "ids")
+    ids = materialize(regions.select("nid").distinct().join(classes.select("nid", "doc_id", "cls"), "nid"), "ids")
     small = ids.count() <= BROADCAST_IDS
-    held = F.broadcast(ids) if small else ids
-    sigs = materialize(classes.join(held, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
+    bounded = F.broadcast if small else lambda df: df
+    sigs = materialize(classes.join(bounded(ids.select("nid")), "nid", "left_semi").select("nid", "sig"), "sigs")
 
     def full(batches):
         for b in by_bytes(batches, "text", 2 << 20):
-            found = shingle_sets(b.column(1).to_pylist())
+            found = shingle_sets(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_pack(s) for s in found], pa.binary())], ["doc_id", "n", "s"]
+                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())],
+                ["cls", "n", "s"],
             )
 
-    own = docs.select("doc_id", "text").join(held, "doc_id", "left_semi").mapInArrow(full, "doc_id long, n long, s binary")
-    sets = materialize(own.filter("n > 0").dropDuplicates(["doc_id"]), "sets")
-
-    def first_pass(batches):
-        for t in runs(batches, ["tree", "key", "part"]):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            pairs = _near(np.asarray(t.column("doc_id")), sig, t.column("tree")[0].as_py(), need)
-            if pairs:
-                yield _pair_batch(pairs)
-
-    def close(batches):
-        for t in runs(batches, ["tree", "key", "row_block", "column_block"]):
-            side, ids, n = (np.asarray(t.column(c)) for c in ("side", "doc_id", "n"))
-            r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(r) or not len(c):
-                continue
-            found = [_unpack(x) for x in t.column("s").to_pylist()]
-            common = _common([found[i] for i in r], [found[i] for i in c]).astype(np.int64)
-            hit = (100 * common >= percent * (n[r][:, None] + n[c][None, :] - common)) & (ids[r][:, None] != ids[c][None, :])
-            x, y = local_roots(ids[r], ids[c], hit)
-            edges = set(zip(ids[r][x != ids[r]].tolist(), x[x != ids[r]].tolist(), strict=True)) | set(zip(ids[c][y != ids[c]].tolist(), y[y != ids[c]].tolist(), strict=True))
-            if edges:
-                yield _pair_batch(edges)
-
-    regional = ["tree", "key"]
-    held_sigs = regions.join(sigs, "doc_id")
-    dense = not shared.filter(F.col("k") > BLOCK).isEmpty()
-    parts = _parts(held_sigs) if dense else held_sigs.withColumn("part", F.lit(0).cast("long"))
-    near = parts.select("doc_id", *regional, "part", "sig").repartition(*regional, "part").sortWithinPartitions(*regional, "part").mapInArrow(first_pass, "a long, b long")
-    proposed = materialize(near.distinct(), "pairs")
-    links = materialize(_confirm(proposed, sets, percent).filter("link").select("a", "b"), "links")
-    roots = materialize(components(links), "roots").withColumnRenamed("id", "doc_id")
-    placed = materialize(regions.join(roots, "doc_id", "left").select("doc_id", *regional, F.coalesce("root", "doc_id").alias("comp")), "placed")
-    sizes = placed.groupBy(*regional, "comp").agg(F.count("*").alias("k")).groupBy(*regional)
-    split = sizes.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("few"), F.count("*").alias("comps")).filter("comps > 1")
-    split = split.select(*regional, "major", *(F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_blocks") for n in ("few", "all")))
-    open_ = placed.join(materialize(split, "split"), regional)
-    at = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    keys = [*regional, "row_block", "column_block"]
-    minor = open_.filter("comp <> major").withColumn("side", F.lit(0)).withColumn("row_block", at("few_blocks")).withColumn("column_block", every("all_blocks"))
-    whole = open_.withColumn("side", F.lit(1)).withColumn("column_block", at("all_blocks")).withColumn("row_block", every("few_blocks"))
-    asked = minor.select("doc_id", *keys, "side").unionByName(whole.select("doc_id", *keys, "side"))
-    closed = asked.join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, "a long, b long").distinct()
-    links = materialize(links.unionByName(closed), "links")
-    roots = materialize(components(links), "roots")
-    member = rows.select("doc_id", "n", "cls").join(classes.select("cls", F.col("doc_id").alias("rep")), "cls", "left")
-    return member.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
+    own = docs.select("doc_id", "text").join(bounded(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("text").mapInArrow(full, "cls binary, n long, s binary")
+    sets = materialize(own.join(bounded(ids.select("nid", "cls")), "cls").select("nid", "n", "s").dropDuplicates(["nid"]), "sets")
+
+    def links_of(rows: DataFrame, nearest: bool) -> DataFrame:
+        pairs = materialize(_neighbours(rows.join(sigs, "nid"), need, nearest), "pairs")
+        links = materialize(_confirm(pairs, sets, percent), "links")
+        discard(pairs)
+        return links
+
+    def still_open(roots: DataFrame, least: int) -> DataFrame:
+        """nid, tree, key, k, comp of regions of ``least`` classes and more that hold several components."""
+        placed = materialize(
+            regions.filter(F.col("k") >= least).join(roots.withColumnRenamed("id", "nid"), "nid", "left").select("nid", "tree", "key", "k", F.coalesce("root", "nid").alias("comp")), "placed"
+        )
+        several = placed.groupBy("tree", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("tree", "key")
+        open_ = materialize(placed.join(several, ["tree", "key"], "left_semi"), "open")
+        discard(placed)
+        return open_
+
+    def joined(roots: DataFrame, links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components and links with ``more`` links."""
+        if more.isEmpty():
+            return roots, links
+        discard(roots)
+        links = links.unionByName(more)
+        return components(links), links
+
+    member = materialize(
+        rows.join(classes.select("cls", "nid", F.col("doc_id").alias("first")), "cls", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("nid")).alias("nid"), "first"),
+        "member",
+    )
+    # the texts of a doc_id are one node
+    several = member.filter("nid is not null").groupBy("doc_id").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).filter("a < b")
+    same = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("nid").alias("b"))
+    links = links_of(regions.filter(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("nid")), True).unionByName(same)
+    roots = components(links)
+    open_ = still_open(roots, 2)
+    roots, links = joined(roots, links, links_of(open_, False))
+    discard(open_)
+    open_ = still_open(roots, WINDOW + 2)
+    roots, links = joined(roots, links, materialize(_close(open_, sets, percent), "closed"))
+    least = classes.select(F.col("nid").alias("id"), "doc_id").join(roots, "id").groupBy("root").agg(F.min("doc_id").alias("component"))
+    label = materialize(roots.join(least, "root").select(F.col("id").alias("nid"), "component"), "labels")
+    discard(rows, classes, shared, regions, ids, sigs, sets, open_, roots)
+    return member.join(label, "nid", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY doc_id
+), f AS (
+  SELECT same, min(doc_id) AS doc_id FROM n GROUP BY same
+), t AS (
+  SELECT s.doc_id, g FROM s JOIN f ON s.doc_id = f.doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)
+  UNION SELECT n.doc_id, f.doc_id FROM n JOIN f ON n.same = f.same
+  UNION SELECT f.doc_id, n.doc_id FROM n JOIN f ON n.same = f.same
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT c.a AS doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.a = c.component_id AS kept
+FROM c LEFT JOIN n ON c.a = n.doc_id
+"""

@@ -1,21 +1,24 @@
 """Mixture-controlled packing of tokenized documents into fixed windows.
 
-Every source is a queue. Deficit round-robin serves the queues so that at each window border a queue has been served its
-target share of all tokens so far, rounded: what a queue lacks in one window it gets in a later one. Because documents
-may be cut freely, the service has a closed form: with queues in a fixed order, ``N`` tokens in a phase and ``C`` the
-tokens of a queue and those before it, the queues up to it have been served ``floor(g * C / N)`` tokens after ``g``
-tokens. Deficits thus carry over windows, tasks and machines without passing state between them.
+Every source is a queue of documents, and deficit round-robin serves the queues. A packet is a document, or each window's worth of a longer
+one. In a round a queue's deficit grows by its quantum, its target share of a window; while the packet at its head is not longer than
+the deficit, it is served and the deficit shrinks by its length. What is left of the deficit is carried to the next round. The packets in
+the order of their service are one stream of tokens, cut into windows: a document is cut at window borders only, and at any time a queue
+has been served its target share to within one packet.
 
-Targets are token shares: those of the corpus by default, so the mixture lasts to the last window, or given weights,
-where a queue that runs dry ends a phase and the others share its place in proportion to their weights. Queues with less
-than one token a window share a common queue, so at most ``window`` + 1 queues exist whatever the number of sources.
+A deficit that is carried is the quantum times the rounds so far less the tokens served, so a packet that ends the first ``C`` tokens of its queue leaves in
+round ``ceil(C / quantum)``. ``C`` needs the tokens of a queue in the partitions before: these carry over by a prefix sum over one row a partition and
+queue. The place in the stream is a prefix sum over the packets, which are spread by range over (round, queue, C): each range sums
+its own, and the sums of the ranges before are carried over. Only packets without their ids are sorted; ids join them at the end.
 
-Tokens are written once to the shared folder together with each row's place in its task's part of its queue; the offsets
-of tasks come from a sum by task and source, so tokens are never shuffled.
+Targets are token shares: those of the corpus by default, so the mixture lasts to the last window, or given weights,
+where the others go on at their proportions when a queue runs dry. Queues with less than one token a window share a common
+queue, so at most ``window`` + 1 queues exist whatever the number of sources.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,17 +48,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The parts of a tokenizer file under which words can be encoded one by one.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class WordTokens:
     """Ids of texts, each distinct word tokenized once while it is cached.
 
-    The tokenizer starts a new piece at any white space, and between a Latin letter and a stop or comma, so texts can be
-    encoded word by word, and a word without its last stop.
+    A tokenizer with the rules of ``WORD_RULES`` starts a new piece at any white space, and between a Latin letter and a stop or
+    comma, so texts can be encoded word by word, and a word without its last stop. Others encode whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = {k: spec[k] for k in WORD_RULES} == WORD_RULES
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self._clear()
 
@@ -89,6 +108,9 @@ class WordTokens:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text, its end id included."""
+        if not self.by_word:
+            each = [e.ids + [end_id] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], "<u4"), np.array([len(ids) for ids in each], np.int64)
         if len(self.codes) > CACHED_WORDS:
             self._clear()
         words: list[str] = []
@@ -117,16 +139,16 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 _WORDS: dict[str, WordTokens] = {}
 
 
-TOKENS = "doc_id long, queue string, part int, at long, n long, ids binary"
+TOKENS = "doc_id long, queue string, part int, row int, at long, n long, ids binary"
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, queue, part, at, n, ids: ``at`` counts the ids of the same queue that precede in the same task."""
+    """doc_id, queue, part, row, at, n, ids: ``at`` counts the ids of the same queue that precede in the same partition."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
         words = _WORDS.get(path) or _WORDS.setdefault(path, WordTokens(path))
-        part = TaskContext.get().partitionId()
+        part, row = TaskContext.get().partitionId(), 0
         served: dict[str, int] = {}
         for b in by_bytes(batches, "text", 4 << 20):
             ids, counts = words.encode([t or "" for t in b.column(2).to_pylist()], end_id)
@@ -137,68 +159,17 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID
                 at.append(served.get(q, 0))
                 served[q] = at[-1] + n
             blobs = [raw[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
+            rows = pa.array(range(row, row + len(at)), pa.int32())
+            row += len(at)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(queues, pa.string()), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
-                ["doc_id", "queue", "part", "at", "n", "ids"],
+                [b.column(0), pa.array(queues, pa.string()), pa.array([part] * len(at), pa.int32()), rows, pa.array(at, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
+                ["doc_id", "queue", "part", "row", "at", "n", "ids"],
             )
 
     rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("queue"), "text")
     return materialize(rows.mapInArrow(run, TOKENS), "tokens")
 
 
-Phase = tuple[int, int, int, int, int, int]  # lane from, lane to, first token overall, tokens, tokens of lanes before, with this lane
-
-
-def service(totals: dict[str, int], weights: dict[str, float] | None = None) -> dict[str, list[Phase]]:
-    """The phases in which each lane is served. Without weights there is one phase, of all tokens."""
-    lanes = sorted(totals)
-    left = dict(totals)
-    done = dict.fromkeys(lanes, 0)
-    out: dict[str, list[Phase]] = {k: [] for k in lanes}
-    first = 0
-    while live := [k for k in lanes if left[k]]:
-        if weights is None:
-            take = dict(left)
-        else:
-            w = {k: Fraction(weights.get(k, 0)).limit_denominator(10**6) for k in live}
-            w = w if any(w.values()) else dict.fromkeys(live, Fraction(1))
-            span = min(left[k] / w[k] for k in live if w[k])
-            take = {k: min(left[k], int(span * w[k])) for k in live}
-            ends = min((k for k in live if w[k]), key=lambda k: left[k] / w[k])
-            take[ends] = left[ends]
-        total, before = sum(take.values()), 0
-        for k in live:
-            if take[k]:
-                out[k].append((done[k], done[k] + take[k], first, total, before, before + take[k]))
-                before += take[k]
-                done[k] += take[k]
-                left[k] -= take[k]
-        first += total
-    return out
-
-
-def pieces_of(phases: list[Phase], x0: int, x1: int, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(place in the lane, length, window, offset) of the lane's tokens x0 to x1."""
-    for lo, hi, first, total, c0, c1 in phases:
-        y, end = max(x0, lo) - lo, min(x1, hi) - lo
-        if y >= end:
-            continue
-        share = c1 - c0
-        w = max(first // window, (first + max(0, y - 2) * total // share) // window - 1)
-        while y < end:
-            g0, g1 = max(window * w - first, 0), min(window * (w + 1) - first, total)
-            if g1 <= g0:
-                w += 1
-                continue
-            b0, b1 = g0 * c0 // total, g1 * c0 // total
-            a0, a1 = g0 * c1 // total - b0, g1 * c1 // total - b1
-            if a1 > y:
-                stop = min(a1, end)
-                yield lo + y, stop - y, w, first + g0 - window * w + (b1 - b0) + (y - a0)
-                y = stop
-            w += 1
-
-
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     + [T.StructField("ids", T.BinaryType())]
@@ -206,9 +177,11 @@ PIECES = T.StructType(
 
 
 def lanes_of(tokens: DataFrame, window: int, weights: dict[str, float] | None) -> tuple[DataFrame, dict[str, int]]:
-    """Offsets by (part, queue), with the lane, and the totals of the lanes (at most ``window`` + 1 without weights)."""
-    sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    sums = materialize(sums, "sums")
+    """(part, queue, lane, base): the lane's tokens before this queue's in this partition; and the totals of the lanes.
+
+    Without weights there are at most ``window`` + 1 lanes.
+    """
+    sums = materialize(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     total = sums.agg(F.sum("n")).first()[0] or 0
     by_queue = sums.groupBy("queue").agg(F.sum("n").alias("n"))
     own = F.col("queue").isin(list(weights)) if weights else F.col("n") * window >= total
@@ -220,9 +193,67 @@ def lanes_of(tokens: DataFrame, window: int, weights: dict[str, float] | None) -
     if rest:
         big[lane_of_rest] = big.get(lane_of_rest, 0) + rest
     lane = F.when(F.col("queue").isin([q for q in big if q != REST]), F.col("queue")).otherwise(F.lit(lane_of_rest))
-    before = W.partitionBy("lane").orderBy("part", "queue").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("lane", lane).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
-    return offsets, big
+    laned = sums.withColumn("lane", lane)
+    earlier = W.rowsBetween(W.unboundedPreceding, -1)
+    carried = lambda over: F.coalesce(F.sum("n").over(over), F.lit(0).cast("long"))
+    # a lane's partitions in a row, then the queues of one partition, so no window gathers more than a row a partition
+    parts = laned.groupBy("lane", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("lane", "part", carried(earlier.partitionBy("lane").orderBy("part")).alias("before"))
+    inside = laned.select("part", "queue", "lane", carried(earlier.partitionBy("lane", "part").orderBy("queue")).alias("inner"))
+    return inside.join(parts, ["lane", "part"]).select("part", "queue", "lane", (F.col("before") + F.col("inner")).alias("base")), big
+
+
+def quanta(totals: dict[str, int], window: int, weights: dict[str, float] | None = None) -> dict[str, Fraction]:
+    """Tokens a lane may be served a round: its share of a window, 0 for a lane that waits for all others."""
+    if weights and any(weights.get(k, 0) for k in totals):
+        w = {k: Fraction(weights.get(k, 0)).limit_denominator(10**6) for k in totals}
+    else:
+        w = {k: Fraction(n) for k, n in totals.items()}
+    total = sum(w.values())
+    return {k: window * x / total for k, x in w.items()}
+
+
+def _packets(rows: DataFrame, totals: dict[str, int], window: int, weights: dict[str, float] | None) -> DataFrame:
+    """``rows`` (part, row, lane, x0, n) -> part, row, k, size, lane, round, stop: the packets, and the round each is served in."""
+    each = quanta(totals, window, weights)
+    last = max((-(-totals[k] * q.denominator // q.numerator) for k, q in each.items() if q), default=0)
+    # a lane without a quantum comes behind the last round of the others
+    plan = {k: (i, q.numerator or window, q.denominator, 0 if q else last) for i, (k, q) in enumerate(sorted(each.items()))}
+
+    def run(batches):
+        for b in batches:
+            out: list[list[int]] = [[] for _ in range(7)]
+            for part, row, lane, x0, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                i, top, bottom, first = plan[lane]
+                for k, at in enumerate(range(0, n, window)):
+                    size = min(window, n - at)
+                    stop = x0 + at + size
+                    for c, v in zip(out, (part, row, k, size, i, first + -(-stop * bottom // top), stop), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["part", "row", "k", "size", "lane", "round", "stop"])
+
+    return rows.mapInArrow(run, "part long, row long, k long, size long, lane long, round long, stop long")
+
+
+def _stream(packets: DataFrame) -> DataFrame:
+    """(part, row, places): where the packets of each row start in the stream, in their order."""
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ends = at + np.cumsum(np.asarray(b.column(3)))
+            if len(ends):
+                at = int(ends[-1])
+                begin = pa.array(ends - np.asarray(b.column(3)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], begin, pa.array([part] * len(ends), pa.int64())], ["part", "row", "k", "size", "begin", "range"])
+
+    order = ["round", "lane", "stop"]
+    ranged = packets.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "row", "k", "size")
+    placed = materialize(ranged.mapInArrow(run, "part long, row long, k long, size long, begin long, range long"), "stream")
+    sums = placed.groupBy("range").agg(F.sum("size").alias("n"))  # one row a task
+    before = sums.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("base"))
+    placed = placed.join(F.broadcast(before), "range").select("part", "row", F.struct("k", (F.col("base") + F.col("begin")).alias("place")).alias("p"))
+    return placed.groupBy("part", "row").agg(F.sort_array(F.collect_list("p"))["place"].alias("places"))
 
 
 def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -230,29 +261,52 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] | None
 
     Each row's ids and ``end_id`` are cut into pieces that fill sequences of ``window`` tokens without gaps; only the last
     sequence is shorter. A null text has only ``end_id``; null and empty sources are one queue; repeated rows are packed
-    again; other columns are ignored; no rows give no pieces. With ``weights``, sources without a weight share the rest
-    queue, which is served after all others. ``ids`` holds little-endian unsigned 32-bit ids.
+    again, rows without doc_id too; other columns are ignored; no rows give no pieces. With ``weights``, sources without a weight
+    share the rest queue, which is served after all others. ``ids`` holds little-endian unsigned 32-bit ids.
     """
     tokens = tokenize(docs, tokenizer, end_id)
     offsets, totals = lanes_of(tokens, window, weights)
-    phases = service(totals, weights)
     size = 4 if _wide(tokenizer) else 2
+    rows = tokens.select("part", "row", "queue", "at", "n").join(offsets, ["part", "queue"]).select("part", "row", "lane", (F.col("base") + F.col("at")).alias("x0"), "n")
+    places = _stream(_packets(rows, totals, window, weights))
 
     def cut(batches):
         for b in by_bytes(batches, "ids", 2 << 20):
             out: list[list] = [[] for _ in range(8)]
-            cols = [b.column(i).to_pylist() for i in range(4)]
-            blobs = b.column(4)
-            for i, (doc, lane, x0, n) in enumerate(zip(*cols, strict=True)):
+            blobs = b.column(3)
+            for i, (doc, n, at) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
                 ids = np.frombuffer(blobs[i].as_buffer(), f"<u{size}").astype("<u4").tobytes()
-                for x, length, seq, off in pieces_of(phases[lane], x0, x0 + n, window):
-                    piece = ids[4 * (x - x0) : 4 * (x - x0 + length)]
-                    for c, v in zip(out, (doc, x - x0, length, zlib.crc32(piece), n, seq, off, piece if with_ids else None), strict=True):
+                for x, g, length in pieces_of(at, n, window):
+                    piece = ids[4 * x : 4 * (x + length)]
+                    for c, v in zip(out, (doc, x, length, zlib.crc32(piece), n, g // window, g % window, piece if with_ids else None), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], PIECES.names)
 
-    placed = tokens.join(offsets, ["part", "queue"]).select("doc_id", "lane", (F.col("base") + F.col("at")).alias("x0"), "n", "ids")
-    return placed.mapInArrow(cut, PIECES)
+    return tokens.join(places, ["part", "row"]).select("doc_id", "n", "places", "ids").mapInArrow(cut, PIECES)
+
+
+def pieces_of(places: list[int], n: int, window: int) -> Iterator[tuple[int, int, int]]:
+    """(start in the document, place in the stream, length) of its packets, cut at window borders; what adjoins stays one piece."""
+    start = place = length = 0
+    for k, g in enumerate(places):
+        size = min(window, n - k * window)
+        at = k * window
+        if length and (g != place + length or g % window == 0):
+            yield start, place, length
+            length = 0
+        if not length:
+            start, place = at, g
+        while size:
+            room = window - (place + length) % window
+            take = min(room, size)
+            length += take
+            size -= take
+            at += take
+            if size:
+                yield start, place, length
+                start, place, length = at, place + length, 0
+    if length:
+        yield start, place, length
 
 
 def _wide(tokenizer: str | None) -> bool:

@@ -7,7 +7,7 @@ from bytelode.llm.decontaminate import OP3_SQL, op3_decontaminate
 from bytelode.llm.embeddings import OP6_SQL, op6_embedding_dedup
 from bytelode.llm.language import op9_language_id
 from bytelode.llm.lines import OP10_SQL, op10_line_dedup
-from bytelode.llm.minhash import op1_minhash_forest
+from bytelode.llm.minhash import OP1_SQL, op1_minhash_forest
 from bytelode.llm.packing import op5_mixture_pack
 from bytelode.llm.ring import op4_hash_ring
 from bytelode.llm.suffixes import op7_suffix_dedup
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_minhash_forest": OP1_SQL,
     "op2_chat_format": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
     "op6_embedding_dedup": OP6_SQL,

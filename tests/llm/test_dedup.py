@@ -40,24 +40,51 @@ def test_minhash_equals_brute_force(spark, texts):
     assert got == brute.near_duplicates(texts)
 
 
-def test_minhash_later_passes_find_what_the_first_left(spark, texts, monkeypatch):
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    monkeypatch.setattr(minhash, "_near", lambda ids, *a: {(int(ids.min()), int(ids.max()))} if len(set(ids.tolist())) > 1 else set())
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
-    assert got == brute.near_duplicates(texts)
-
-
-def test_minhash_first_pass_gathers_no_whole_region(spark, texts, monkeypatch):
-    near = minhash._near
-
-    def bounded(ids, *a):
-        assert len(ids) <= 48
-        return near(ids, *a)
-
-    monkeypatch.setattr(minhash, "_near", bounded)
-    monkeypatch.setattr(minhash, "BLOCK", 16)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == brute.near_duplicates(texts)
+def grouped(rows):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()}
+
+
+def test_minhash_needs_the_forest(spark, texts, monkeypatch):
+    """Without neighbours of the sorted orders the links of all regions that a window covers are lost."""
+    monkeypatch.setattr(minhash, "_proposals", lambda *a: set())
+    got, want = grouped(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))), brute.near_duplicates(texts)
+    sizes = {}
+    for _, root in want.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    few = [d for d, (_, root) in want.items() if 1 < sizes[root] <= 6 and brute.shingles(texts[d][1]) != brute.shingles(texts[root][1])]
+    assert len(few) >= 20 and all(got[d][1] != want[d][1] for d in few)
+
+
+@pytest.mark.parametrize("block", [16, minhash.BLOCK])
+def test_minhash_of_dense_regions(spark, monkeypatch, block):
+    """Regions far beyond the window, spread by range, whose links are few: 300 texts that share two thirds, with near copies."""
+    rng = random.Random(12)
+    common = prose(rng, 150).split(" ")
+    own = [common + prose(rng, 45).split(" ") for _ in range(300)]
+    docs = [" ".join(w) for w in own] + [edited(rng, " ".join(w), 1) for w in own[::9]]
+    texts = list(enumerate(docs))
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WINDOW", 8)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert grouped(minhash.near_duplicates(df)) == brute.near_duplicates(texts)
+
+
+def test_minhash_proposals_follow_the_order():
+    sig = np.zeros((6, minhash.HASHES), np.uint16)
+    sig[2, :60] = 7  # too far from all others
+    ids, region, comp = np.arange(10, 16), np.array([0, 0, 0, 0, 0, 1]), np.array([10, 11, 12, 10, 14, 15])
+    near = lambda dense: minhash._proposals(ids, region, comp, sig, np.full(6, dense), 100, 3)
+    assert near(False) == {(10, 11), (11, 13), (11, 14), (13, 14)}
+    assert near(True) == {(10, 11), (11, 13), (13, 14)}
+
+
+def test_minhash_unites_all_texts_of_a_doc_id(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 120), prose(rng, 120)
+    rows = [(1, a), (1, b), (2, edited(rng, a, 1)), (3, edited(rng, b, 1)), (4, prose(rng, 120)), (9, None), (9, a)]
+    for r in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(r, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 1), (9, 9)}
 
 
 def test_minhash_edges(spark):
