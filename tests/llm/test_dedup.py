@@ -160,6 +160,65 @@ def test_suffixes_equal_brute_force(spark):
     assert got == dict(enumerate(brute.repeated(docs)))
 
 
+def test_suffix_order_and_transform():
+    rng = random.Random(4)
+    for _ in range(20):
+        sym = np.array([rng.choice([0, 3, 5, 9]) for _ in range(rng.randrange(1, 60))] + [0], np.uint64)
+        order = suffixes.suffix_order(sym)
+
+        def key(i):
+            stop = next(j for j in range(i, len(sym)) if not sym[j])
+            return [int(x) for x in sym[i : min(stop, i + suffixes.SORTED)]]
+
+        assert sorted(order.tolist()) == list(range(len(sym)))
+        keys = [key(i) for i in order.tolist()]
+        assert keys == sorted(keys)
+        assert (suffixes.symbols(suffixes.transform(sym, order), order) == sym).all()
+
+
+def test_merge_gives_common_prefixes_of_all_shards(spark):
+    """Common prefixes after refinement equal those of neighbours in one sorted list of all suffixes, up to what was needed."""
+    rng = random.Random(21)
+    shared = [prose(rng, n) for n in (40, 60, 90, 200)]
+    texts = [(i, False, " ".join([prose(rng, 30), rng.choice(shared), prose(rng, 20)]).encode()) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, whole boolean, text binary").repartition(5)
+    shards, tables = suffixes.shard_table(df)
+    got = {r.shard: r for r in suffixes.refine(shards, tables, 3, suffixes.LENGTH).collect()}
+    chains, prefix, need = [], {}, {}
+    for r in shards.collect():
+        sym = suffixes.symbols(np.frombuffer(r.bwt, "<u8"), np.frombuffer(r.places, "<u4").astype(np.int64))
+        rows = suffixes.Rows([bytes(getattr(got[r.shard], f)) for f, _ in suffixes.Rows.FIELDS])
+        for h in range(1, suffixes.ROUNDS):
+            at = rows.asked(h)[0]
+            assert (np.diff(rows.sym[at].astype(object)) >= 0).all()
+        for p, k, m in zip(rows.pos.tolist(), rows.reach.tolist(), rows.need.tolist(), strict=True):
+            prefix[r.shard, p], need[r.shard, p] = k, m
+        for i in range(len(sym)):
+            stop = next(j for j in range(i, len(sym)) if not sym[j])
+            chains.append(([int(x) for x in sym[i:stop]], (r.shard, i)))
+    chains.sort()
+    assert len(got) > 2 and len(prefix) > 50
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    for j, (chain, name) in enumerate(chains):
+        want = max((common(chain, chains[k][0]) for k in (j - 1, j + 1) if 0 <= k < len(chains)), default=0)
+        assert prefix.get(name, 0) == min(want, need.get(name, suffixes.NEVER), suffixes.ROUNDS)
+
+
+def test_suffixes_of_periodic_and_long_texts(spark):
+    rng = random.Random(15)
+    page = prose(rng, 40_000)
+    docs = ["ab" * 5000, "x" * 70_000, page, page[50_000:90_000], "".join(rng.choices("ab", k=3000)), prose(rng, 30) + page[:199], prose(rng, 30) + page[300:500] + "!"]
+    docs += ["abcdefghij" * 30 + prose(rng, 40), "q" + "abcdefghij" * 30]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes - len(r.kept), len(r.starts), bytes(r.kept)) for r in suffixes.repeated_spans(df).collect()}
+    assert got == dict(enumerate(brute.repeated(docs)))
+    suffixes.drop_tables(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(suffixes.TABLES)]
+
+
 def test_suffixes_edges(spark):
     schema = "doc_id long, text string"
     assert suffixes.repeated_spans(spark.createDataFrame([], schema)).count() == 0
