@@ -28,6 +28,7 @@ SAMPLE = 20_000
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
     v = np.stack([np.frombuffer(x, "<f8") for x in blobs])
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # else squares of tiny or huge components are lost
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 

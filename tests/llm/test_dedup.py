@@ -256,5 +256,11 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, cell):
     assert {x.id: (x.n_links, x.component_id) for x in embeddings.link(df).collect()} == want
 
 
+def test_embeddings_of_tiny_and_huge_components(spark):
+    rows = [(1, "a", [3e-200, 4e-200]), (2, "a", [3e200, 4e200]), (3, "a", [3.0, 4.0]), (4, "a", [1e308, -1e308]), (5, "a", [5e-324, -5e-324])]
+    got = embeddings.link(spark.createDataFrame(rows, "id long, part string, embedding array<double>")).collect()
+    assert {(r.id, r.n_links, r.component_id) for r in got} == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4)}
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.link(spark.createDataFrame([], "id long, part string, embedding array<double>")).count() == 0
