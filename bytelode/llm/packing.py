@@ -18,6 +18,7 @@ queue, so at most ``window`` + 1 queues exist whatever the number of sources.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -26,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,8 @@ from bytelode.llm._shared import by_bytes, materialize, table
 WINDOW = 2048
 END_ID = 1
 #: Characters that ``str.split`` takes for white space and the tokenizer doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 1_000_000
+SEPARATORS = "[\x1c-\x1f]"
+CACHED_WORDS = 2_000_000
 REST = "\0rest"
 
 
@@ -62,11 +64,47 @@ WORD_RULES = {
 }
 
 
+#: How byte-level tokenizers write the bytes of a letter that is not ASCII: 0x80 to 0xA0 and 0xAD follow 255 + 34 bytes that come before.
+BYTE_LETTERS = {0x80 + i: 290 + i for i in range(33)} | {0xAD: 323}
+#: Letters for which lower-casing and normalization act letter by letter.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        p = np.full(n + n // 2 + 1, base, np.uint64)
+        p[0] = 1
+        _POWERS[base] = np.multiply.accumulate(p)
+    return _POWERS[base][:n]
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of the words' bytes and lengths."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    buf = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf)), out=total[1:])
+    x = (total[ends[1:]] - total[ends[:-1]]) * _powers(pow(_BASE, -1, 1 << 64), len(buf) + 1)[ends[:-1]] + np.diff(ends).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class WordTokens:
     """Ids of texts, each distinct word tokenized once while it is cached.
 
-    A tokenizer with the rules of ``WORD_RULES`` starts a new piece at any white space, and between a Latin letter and a stop or
-    comma, so texts can be encoded word by word, and a word without its last stop. Others encode whole texts.
+    A tokenizer with the rules of ``WORD_RULES`` starts a new piece at any white space, and between a letter and a last stop or
+    comma, so texts can be encoded word by word, a word of letters by the model alone. Others encode whole texts. The cache is a
+    sorted array of 64-bit word hashes with the places of their ids; two of a million words share a hash with a chance of 3e-8.
     """
 
     def __init__(self, path: str):
@@ -74,62 +112,121 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        self.by_word = {k: spec[k] for k in WORD_RULES} == WORD_RULES
+        self.by_word = {k: spec[k] for k in WORD_RULES} == WORD_RULES and spec["model"]["type"] == "BPE"
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)) if got.ids else np.zeros(len(words), np.int64)
-        n = len(self.codes)
-        self.codes.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.ids = np.concatenate([self.ids, np.array(got.ids, np.uint32)])
-
-    def _join(self, words: list[str]) -> None:
-        """Words whose last character is a stop that stands apart: ids of both parts in a row."""
-        heads = np.array([self.codes[w[:-1]] for w in words], np.int64)
-        stops = np.array([self.codes[w[-1]] for w in words], np.int64)
-        parts = np.stack([heads, stops], axis=1).ravel()
-        ids = _gather(self.ids, self.starts[parts], self.lengths[parts])
-        counts = self.lengths[heads] + self.lengths[stops]
-        n = len(self.codes)
-        self.codes.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of each text, its end id included."""
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.starts, self.lengths, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of cached words, -1 for others."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.codes[at], np.int32(-1))
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Cache new words; a hash that is given twice is cached once."""
+        hashes, first = np.unique(hashes, return_index=True)
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        at = np.searchsorted(self.keys, hashes)
+        self.codes = np.insert(self.codes, at, len(self.lengths) + first)
+        self.keys = np.insert(self.keys, at, hashes)
+        for name, more in (("ids", ids), ("starts", starts), ("lengths", lengths), ("used", np.zeros(len(lengths), np.uint8))):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, more.astype(old.dtype)]))
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        letters = LETTERS.fullmatch
+        heads, stops = [], []
+        for w in words:
+            stop = w[-1] if w[-1:] in (".", ",") and len(w) > 1 and letters(w[-2]) else ""
+            head = w[:-1] if stop else w
+            heads.append(head.lower() if letters(head) else head)
+            stops.append(stop)
+        fresh = list({*heads, ".", ","})
+        own = word_hashes(pa.array(fresh, pa.string()))
+        known = self._find(own)
+        code = dict(zip(fresh, known.tolist(), strict=True))
+        new = [w for w, c in code.items() if c < 0]
+        lower = [w for w in new if letters(w)]
+        other = [w for w in new if not letters(w)]
+        encode = self.tokenizer.model.tokenize
+        found = [[t.id for t in encode(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in lower]
+        got = self.tokenizer.encode(other, is_pretokenized=True, add_special_tokens=False)
+        counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(other)) if got.ids else np.zeros(len(other), np.int64)
+        ids = np.fromiter(itertools.chain(itertools.chain.from_iterable(found), got.ids), np.uint32)
+        lengths = np.concatenate([np.fromiter(map(len, found), np.int64, len(found)), counts])
+        # behind what is cached, the heads and then the words: a head's ids, and the stop's
+        n, m = len(self.lengths), len(self.ids)
+        code.update(zip(lower + other, range(n, n + len(new)), strict=True))
+        every = np.concatenate([self.starts, m + np.cumsum(lengths) - lengths]), np.concatenate([self.lengths, lengths])
+        flat = np.concatenate([self.ids, ids])
+        parts = np.array([(code[h], code[s] if s else -1) for h, s in zip(heads, stops, strict=True)], np.int64).ravel()
+        sizes = np.where(parts < 0, 0, every[1][parts])
+        body = _gather(flat, every[0][parts], sizes)
+        places = dict(zip(fresh, own.tolist(), strict=True))
+        self._add(
+            np.concatenate([np.array([places[w] for w in lower + other], np.uint64), hashes]), np.concatenate([ids, body]), np.concatenate([lengths, sizes.reshape(-1, 2).sum(axis=1)])
+        )
+
+    def _shrink(self) -> None:
+        """Forget the words that no two batches had; all if that leaves many."""
+        kept = self.used[self.codes] > 1
+        if kept.sum() > CACHED_WORDS // 2:
+            return self._clear()
+        keys, old = self.keys[kept], self.codes[kept]
+        ids, lengths = _gather(self.ids, self.starts[old], self.lengths[old]), self.lengths[old]
+        self._clear()
+        self._add(keys, ids, lengths)
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts in a row, and the number of each text."""
+        odd = pc.match_substring_regex(texts, SEPARATORS)
+        if not pc.any(odd).as_py():
+            lists = pc.utf8_split_whitespace(texts)
+            return lists.flatten(), np.asarray(pc.list_value_length(lists), np.int64)
+        found, counts = [], []
+        at, size = _runs_of_flags(np.asarray(odd))
+        for i, n in zip(at, size, strict=True):
+            if odd[i].as_py():
+                lists = pa.array([re.split("[ \\t\\n\\r]+", t) for t in texts.slice(i, n).to_pylist()], pa.list_(texts.type))
+            else:
+                lists = pc.utf8_split_whitespace(texts.slice(i, n))
+            found.append(lists.flatten())
+            counts.append(np.asarray(pc.list_value_length(lists), np.int64))
+        return pa.concat_arrays(found), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` (strings without nulls) in a row, and the number of each text, its end id included."""
         if not self.by_word:
-            each = [e.ids + [end_id] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            each = [e.ids + [end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in each for i in ids], "<u4"), np.array([len(ids) for ids in each], np.int64)
-        if len(self.codes) > CACHED_WORDS:
-            self._clear()
-        words: list[str] = []
-        ends = []
-        for t in texts:
-            words += re.split("[ \\t\\n\\r]+", t) if SEPARATORS.search(t) else t.split()
-            ends.append(len(words))
-        if new := set(words) - self.codes.keys():
-            apart = [w for w in new if w[-1:] in {".", ","} and len(w) > 1 and ("a" <= w[-2] <= "z" or "A" <= w[-2] <= "Z" or "ß" <= w[-2] <= "ö")]
-            plain = (new - set(apart)) | {w[:-1] for w in apart} | {w[-1] for w in apart}
-            self._learn(list(plain - self.codes.keys()))
-            self._join(apart)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        if len(self.keys) > CACHED_WORDS:
+            self._shrink()
+        words, counts = self._words(texts)
+        words = words.dictionary_encode()
+        hashes = word_hashes(words.dictionary)
+        codes = self._find(hashes)
+        if (codes < 0).any():
+            new = np.flatnonzero(codes < 0)
+            self._learn(words.dictionary.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist(), hashes[new])
+            codes = self._find(hashes)
+        self.used[codes] += self.used[codes] < 2
+        codes = codes[np.asarray(words.indices)]
         n = self.lengths[codes]
         total = np.concatenate([[0], np.cumsum(n)])
-        body, stops = _gather(self.ids, self.starts[codes], n), total[np.array(ends, np.int64)]
+        body, stops = _gather(self.ids, self.starts[codes], n), total[np.cumsum(counts)]
         return np.insert(body, stops, end_id).astype("<u4"), np.diff(stops, prepend=0) + 1
 
 
+def _runs_of_flags(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(np.append(True, flags[1:] != flags[:-1]))
+    return at, np.diff(at, append=len(flags))
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)]
@@ -151,7 +248,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID
         part, row = TaskContext.get().partitionId(), 0
         served: dict[str, int] = {}
         for b in by_bytes(batches, "text", 4 << 20):
-            ids, counts = words.encode([t or "" for t in b.column(2).to_pylist()], end_id)
+            ids, counts = words.encode(pc.fill_null(b.column(2), ""), end_id)
             raw = ids if words.wide else ids.astype("<u2")
             ends = np.cumsum(counts)
             queues, at = b.column(1).to_pylist(), []
