@@ -67,7 +67,7 @@ WORD_RULES = {
 #: How byte-level tokenizers write the bytes of a letter that is not ASCII: 0x80 to 0xA0 and 0xAD follow 255 + 34 bytes that come before.
 BYTE_LETTERS = {0x80 + i: 290 + i for i in range(33)} | {0xAD: 323}
 #: Letters for which lower-casing and normalization act letter by letter.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 
 
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,7 +124,10 @@ class WordTokens:
         """Codes of cached words, -1 for others."""
         if not len(self.keys):
             return np.full(len(hashes), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        order = np.argsort(hashes)  # sorted look-ups stay in the processor's caches
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.searchsorted(self.keys, hashes[order])
+        at = np.minimum(at, len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.codes[at], np.int32(-1))
 
     def _add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -138,39 +141,33 @@ class WordTokens:
             old = getattr(self, name)
             setattr(self, name, np.concatenate([old, more.astype(old.dtype)]))
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        letters = LETTERS.fullmatch
-        heads, stops = [], []
-        for w in words:
-            stop = w[-1] if w[-1:] in (".", ",") and len(w) > 1 and letters(w[-2]) else ""
-            head = w[:-1] if stop else w
-            heads.append(head.lower() if letters(head) else head)
-            stops.append(stop)
-        fresh = list({*heads, ".", ","})
-        own = word_hashes(pa.array(fresh, pa.string()))
-        known = self._find(own)
-        code = dict(zip(fresh, known.tolist(), strict=True))
-        new = [w for w, c in code.items() if c < 0]
-        lower = [w for w in new if letters(w)]
-        other = [w for w in new if not letters(w)]
+    def _learn(self, words: pa.StringArray, hashes: np.ndarray) -> None:
+        # a word is a head, lower-cased if it is all letters, and perhaps a stop; different heads are encoded once
+        apart = pc.match_substring_regex(words, f"{LETTER}[.,]$")
+        heads = pc.if_else(apart, pc.utf8_slice_codeunits(words, 0, -1), words)
+        heads = pc.if_else(pc.match_substring_regex(heads, f"^{LETTER}+$"), pc.utf8_lower(heads), heads)
+        stops = pc.if_else(apart, pc.utf8_slice_codeunits(words, -1, len(words) + 1), "")
+        parts = pa.concat_arrays([heads, stops]).dictionary_encode()
+        fresh = parts.dictionary
+        own = word_hashes(fresh)
+        code = self._find(own).astype(np.int64)
+        plain = np.asarray(pc.match_substring_regex(fresh, f"^{LETTER}+$"))
+        text = lambda at: fresh.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        lower, other = np.flatnonzero((code < 0) & plain), np.flatnonzero((code < 0) & ~plain)
         encode = self.tokenizer.model.tokenize
-        found = [[t.id for t in encode(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in lower]
-        got = self.tokenizer.encode(other, is_pretokenized=True, add_special_tokens=False)
+        found = [[t.id for t in encode(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in text(lower)]
+        got = self.tokenizer.encode(text(other), is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(other)) if got.ids else np.zeros(len(other), np.int64)
         ids = np.fromiter(itertools.chain(itertools.chain.from_iterable(found), got.ids), np.uint32)
         lengths = np.concatenate([np.fromiter(map(len, found), np.int64, len(found)), counts])
-        # behind what is cached, the heads and then the words: a head's ids, and the stop's
-        n, m = len(self.lengths), len(self.ids)
-        code.update(zip(lower + other, range(n, n + len(new)), strict=True))
-        every = np.concatenate([self.starts, m + np.cumsum(lengths) - lengths]), np.concatenate([self.lengths, lengths])
-        flat = np.concatenate([self.ids, ids])
-        parts = np.array([(code[h], code[s] if s else -1) for h, s in zip(heads, stops, strict=True)], np.int64).ravel()
-        sizes = np.where(parts < 0, 0, every[1][parts])
-        body = _gather(flat, every[0][parts], sizes)
-        places = dict(zip(fresh, own.tolist(), strict=True))
-        self._add(
-            np.concatenate([np.array([places[w] for w in lower + other], np.uint64), hashes]), np.concatenate([ids, body]), np.concatenate([lengths, sizes.reshape(-1, 2).sum(axis=1)])
-        )
+        new = np.concatenate([lower, other])
+        code[new] = len(self.lengths) + np.arange(len(new))
+        # behind what is cached, the new heads and then the words: the ids of the head and of the stop
+        flat, starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        sizes = np.concatenate([self.lengths, lengths])
+        each = code[np.asarray(parts.indices)].reshape(2, -1).T.ravel()
+        n = sizes[each]
+        self._add(np.concatenate([own[new], hashes]), np.concatenate([ids, _gather(flat, starts[each], n)]), np.concatenate([lengths, n.reshape(-1, 2).sum(axis=1)]))
 
     def _shrink(self) -> None:
         """Forget the words that no two batches had; all if that leaves many."""
@@ -212,7 +209,7 @@ class WordTokens:
         codes = self._find(hashes)
         if (codes < 0).any():
             new = np.flatnonzero(codes < 0)
-            self._learn(words.dictionary.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist(), hashes[new])
+            self._learn(words.dictionary.take(pa.array(new)), hashes[new])
             codes = self._find(hashes)
         self.used[codes] += self.used[codes] < 2
         codes = codes[np.asarray(words.indices)]

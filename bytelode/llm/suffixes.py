@@ -39,7 +39,7 @@ SPACING = 40
 ROUNDS = 12
 #: Phrases by which a shard's suffixes are sorted; a power of two, at least ``ROUNDS``.
 SORTED = 16
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: Phrases for which a merge gets one bucket.
 BUCKET_KEYS = 250_000
 #: Bound of the list of repeated whole texts that is broadcast; with more, whole texts get no short cut.
@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         p = np.full(n, base, np.uint64)
         p[:1] = 1
         _POWERS[base] = np.multiply.accumulate(p)
