@@ -37,7 +37,7 @@ def analyze(spark: SparkSession, path: str, mode: str, wanted: str | None = None
     blobs = binaries.class_blobs(files)
     classes = classfile.decode_classes(blobs).persist()
     resolved = jvm.resolved_constants(classes)
-    named = jvm.class_names(classes, resolved)
+    named = jvm.class_names(classes)
     named = jvm.filter_types(named, wanted) if wanted else named
     of_class = blobs.select("class_id", "file_id").join(named, "class_id")
     types = dotnet.filter_types(md, wanted) if wanted else dotnet.list_types(md)
@@ -45,9 +45,9 @@ def analyze(spark: SparkSession, path: str, mode: str, wanted: str | None = None
         java = of_class.select("file_id", jvm.N.dotted(F.col("this_name")).alias("name"), F.lit(None).cast("string").alias("text"))
         return java.unionByName(types.select("file_id", "name", F.lit(None).cast("string").alias("text")))
     if mode == "il":
-        java = jvm.disassemble(named, jvm.members(classes, resolved), resolved).join(of_class.select("class_id", "file_id"), "class_id").select("file_id", "name", F.col("listing").alias("text"))
+        java = jvm.disassemble(named, jvm.members(classes), resolved).join(of_class.select("class_id", "file_id"), "class_id").select("file_id", "name", F.col("listing").alias("text"))
         m = dotnet.methods(md).select("file_id", "rid", "name", F.col("owner")).join(types.select("file_id", F.col("rid").alias("owner")), ["file_id", "owner"])
         return java.unionByName(dotnet.disassemble(md).join(m, ["file_id", "rid"]).select("file_id", "name", F.col("listing").alias("text")))
-    java = jvm.declarations(named, jvm.members(classes, resolved)).join(of_class.select("class_id", "file_id"), "class_id").select("file_id", F.col("file_name").alias("name"), F.col("source").alias("text"))
+    java = jvm.declarations(named, jvm.members(classes)).join(of_class.select("class_id", "file_id"), "class_id").select("file_id", F.col("file_name").alias("name"), F.col("source").alias("text"))
     net = dotnet.declarations(md).join(types.select("file_id", "rid"), ["file_id", "rid"]).select("file_id", F.col("file_name").alias("name"), F.col("source").alias("text"))
     return java.unionByName(net)

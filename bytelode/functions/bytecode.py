@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from bytelode.functions.opcodes import cil_opcodes, jvm_opcodes
 
-INSTRUCTION = "pos int, offset int, op int, name string, size int, ref long, value double, targets array<int>, cases array<long>, wide boolean"
+INSTRUCTION = "pos int, offset int, op int, name string, size int, ref long, value double, targets array<int>, cases array<long>, wide boolean, whole long"
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_()]
 
 Row = tuple  # of the columns of INSTRUCTION but pos
@@ -98,7 +98,7 @@ def cil_instructions(code: bytes, table: dict = cil_opcodes()) -> Iterator[Row]:
                 elif kind in ("u1", "u2", "token"):
                     ref = got[0]
                 elif got:
-                    value = float(got[0])
+                    value = got[0]
         except struct.error:
             yield at, op, "invalid", len(code) - at, None, None, [], [], False
             return
@@ -124,7 +124,9 @@ def instructions(methods: DataFrame, keys: list[str], machine: str) -> DataFrame
                         owner.append(i)
                         rows.append((pos, *row))
                 own = part.columns[:-1]
-                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)]
+                cols = [pa.array([r[k] for r in rows], t) if k != 6 else pa.array([None if r[6] is None else float(r[6]) for r in rows], t) for k, t in enumerate(_TYPES)]
+                # a double can't hold all 64-bit numbers, so whole ones have a column of their own
+                cols.append(pa.array([r[6] if isinstance(r[6], int) else None for r in rows], pa.int64()))
                 take = pa.array(owner, pa.int32())
                 yield pa.RecordBatch.from_arrays([*(c.take(take) for c in own), *cols], names)
 

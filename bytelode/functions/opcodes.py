@@ -105,6 +105,7 @@ def cil_opcodes() -> dict[int, tuple[str, str]]:
     add(0xDD, "branch4", "leave")
     add(0xDE, "branch1", "leave.s")
     add(0xDF, "", "stind.i", "conv.u")
+    add(0xF8, "", *(f"prefix{n}" for n in range(7, 0, -1)), "prefixref")
     add(0xFE00, "", "arglist", "ceq", "cgt", "cgt.un", "clt", "clt.un")
     add(0xFE06, "token", "ldftn", "ldvirtftn")
     add(0xFE09, "u2", "ldarg", "ldarga", "starg", "ldloc", "ldloca", "stloc")

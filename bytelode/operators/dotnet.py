@@ -225,10 +225,11 @@ def disassemble(md: DataFrame) -> DataFrame:
     """file_id, rid, listing: each method with a body, one line an instruction, tokens as names."""
     text = token_names(md)
     instr = method_instructions(md).join(text, ["file_id", "ref"], "left")
-    jump = F.transform("targets", lambda t: F.concat(F.lit("IL_"), F.lpad(F.lower(F.hex(t)), 4, "0")))
-    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    label = lambda at: F.concat(F.lit("IL_"), F.lpad(F.lower(F.hex(at)), F.greatest(F.lit(4), F.length(F.hex(at))), F.lit("0")))
+    jump = F.transform("targets", label)
+    number = F.coalesce(F.col("whole").cast("string"), F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string")))
     operand = F.coalesce(F.when(F.size("targets") > 0, F.array_join(jump, ", ")), "text", F.col("ref").cast("string"), number, F.lit(""))
-    line = F.rtrim(F.concat(F.lit("  IL_"), F.lpad(F.lower(F.hex("offset")), 4, "0"), F.lit(": "), "name", F.lit(" "), operand))
+    line = F.rtrim(F.concat(F.lit("  "), label(F.col("offset")), F.lit(": "), "name", F.lit(" "), operand))
     body = instr.select("file_id", "rid", F.struct("pos", line.alias("line")).alias("l")).groupBy("file_id", "rid").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
     m = methods(md)
     owner = type_names(md).filter("table = 2").select("file_id", F.col("rid").alias("owner"), F.col("name").alias("owner_name"))
@@ -288,7 +289,8 @@ def source_methods(md: DataFrame) -> DataFrame:
 
 def declarations(md: DataFrame) -> DataFrame:
     """file_id, rid, file_name, source: each top-level type's declaration with its members, bodies left out."""
-    access = lambda f: F.when(f.bitwiseAND(7) == 6, "public ").when(f.bitwiseAND(7) == 4, "protected ").when(f.bitwiseAND(7) == 3, "internal ").otherwise("private ")
+    words = {6: "public ", 5: "protected internal ", 4: "protected ", 3: "internal ", 2: "private protected "}
+    access = lambda f: F.coalesce(F.create_map(*(F.lit(x) for pair in words.items() for x in pair))[f.bitwiseAND(7).cast("int")], F.lit("private "))
     static = F.when(F.col("flags").bitwiseAND(0x10) != 0, "static ").otherwise("")
     f_line = F.concat(F.lit("    "), access(F.col("flags")), static, "type", F.lit(" "), "name", F.lit(";"))
     m_line = F.concat(F.lit("    "), access(F.col("flags")), static, "return_type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(");"))
@@ -297,10 +299,10 @@ def declarations(md: DataFrame) -> DataFrame:
     body = lines.groupBy("file_id", "rid").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
     bases = interfaces(md)
     generics = generic_params(md).filter("table = 2").select("file_id", "rid", F.concat(F.lit("<"), F.array_join("params", ", "), F.lit(">")).alias("generic"))
-    heads = kinds(md).select("file_id", "rid", "kind", "is_static").join(view(md, 2).select("file_id", "rid", "Name", "Namespace"), ["file_id", "rid"])
+    heads = kinds(md).select("file_id", "rid", "kind", "is_static").join(view(md, 2).select("file_id", "rid", "Name", "Namespace", "Flags"), ["file_id", "rid"])
     top = heads.filter(F.col("Name") != MODULE_TYPE).join(nested_in(md), ["file_id", "rid"], "left_anti").join(body, ["file_id", "rid"], "left").join(bases, ["file_id", "rid"], "left").join(generics, ["file_id", "rid"], "left")
     head = F.concat(
-        F.when(F.col("Namespace") != "", F.concat(F.lit("namespace "), "Namespace", F.lit(";\n\n"))).otherwise(""), F.lit("public "), F.when(F.col("is_static"), "static ").otherwise(""),
+        F.when(F.col("Namespace") != "", F.concat(F.lit("namespace "), "Namespace", F.lit(";\n\n"))).otherwise(""), F.when(F.col("Flags").bitwiseAND(7) == 1, "public ").otherwise("internal "), F.when(F.col("is_static"), "static ").otherwise(""),
         "kind", F.lit(" "), N.clean_generic(F.col("Name")), F.coalesce("generic", F.lit("")), F.coalesce(F.concat(F.lit(" : "), F.array_join("interfaces", ", ")), F.lit("")), F.lit("\n{\n"),
     )
     return top.select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source"))

@@ -8,52 +8,55 @@ from pyspark.sql import Window as W
 
 from bytelode.functions import names as N
 from bytelode.functions.bytecode import instructions
+from bytelode.functions.opcodes import NEWARRAY
 
 METHOD_TAGS = (9, 10, 11)
 
 
-def constants(classes: DataFrame) -> DataFrame:
-    return classes.select("class_id", F.explode("pool").alias("c")).select("class_id", "c.*")
+def _aligned(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``at``: the pool as an array whose element i - 1 is constant i, as longs and doubles take two places."""
+    twice = F.transform("pool", lambda c: F.when(c["tag"].isin(5, 6), F.array(c, F.lit(None))).otherwise(F.array(c)))
+    return classes.withColumn("at", F.flatten(twice))
+
+
+def _entry(i: Column, *tags: int) -> Column:
+    c = F.get(F.col("at"), i - 1)
+    return F.when(c["tag"].isin(*tags), c)
+
+
+def _string(i: Column) -> Column:
+    return _entry(i, 1)["text"]
+
+
+def _class(i: Column) -> Column:
+    return _string(_entry(i, 7)["a"])
+
+
+def _resolved(c: Column) -> Column:
+    """idx, tag, owner, name, descriptor, text of a constant, its references followed in the same row's pool."""
+    tag, empty = c["tag"], F.lit(None).cast("string")
+    pair = _entry(c["b"], 12)
+    is_ref, has_pair = tag.isin(*METHOD_TAGS), tag.isin(*METHOD_TAGS, 17, 18)
+    owner = F.when(is_ref, _class(c["a"])).otherwise(empty)
+    name = F.when(has_pair, _string(pair["a"])).when(tag.isin(7, 8, 12, 16, 19, 20), _string(c["a"])).otherwise(F.coalesce(c["text"], c["num"]))
+    descriptor = F.when(has_pair, _string(pair["b"])).when(tag == 12, _string(c["b"])).otherwise(empty)
+    text = F.concat(F.coalesce(F.concat(owner, F.lit(".")), F.lit("")), name, F.coalesce(F.concat(F.lit(":"), descriptor), F.lit("")))
+    return F.struct(c["idx"].alias("idx"), tag.alias("tag"), owner.alias("owner"), name.alias("name"), descriptor.alias("descriptor"), text.alias("text"))
 
 
 def resolved_constants(classes: DataFrame) -> DataFrame:
-    """class_id, idx, tag, owner, name, descriptor, text: references followed to their strings by self joins.
+    """class_id, idx, tag, owner, name, descriptor, text: references followed to their strings, without a shuffle.
 
     ``text`` is what a listing shows: the string, number, class name, or owner.name:descriptor. A dangling reference
     leaves nulls.
     """
-    pool = constants(classes)
-    utf = pool.filter("tag = 1").select("class_id", F.col("idx").alias("k"), "text")
-
-    def follow(df: DataFrame, index: str, to: str) -> DataFrame:
-        return df.join(utf.select("class_id", F.col("k").alias(index), F.col("text").alias(to)), ["class_id", index], "left")
-
-    one = follow(pool.filter(F.col("tag").isin(7, 8, 16, 19, 20)).select("class_id", "idx", "tag", "a"), "a", "name").drop("a")
-    typed = follow(follow(pool.filter("tag = 12").select("class_id", "idx", "tag", "a", "b"), "a", "name"), "b", "descriptor").drop("a", "b")
-    class_of = one.filter("tag = 7").select("class_id", F.col("idx").alias("a"), F.col("name").alias("owner"))
-    type_of = typed.select("class_id", F.col("idx").alias("b"), "name", "descriptor")
-    refs = pool.filter(F.col("tag").isin(*METHOD_TAGS)).select("class_id", "idx", "tag", "a", "b").join(class_of, ["class_id", "a"], "left").join(type_of, ["class_id", "b"], "left")
-    dynamic = pool.filter(F.col("tag").isin(17, 18)).select("class_id", "idx", "tag", "b").join(type_of, ["class_id", "b"], "left")
-    plain = pool.filter("tag = 1 or num is not null").select("class_id", "idx", "tag", F.coalesce("text", "num").alias("name"))
-    empty = F.lit(None).cast("string")
-    parts = [
-        plain.select("class_id", "idx", "tag", empty.alias("owner"), "name", empty.alias("descriptor")),
-        one.select("class_id", "idx", "tag", empty.alias("owner"), "name", empty.alias("descriptor")),
-        typed.select("class_id", "idx", "tag", empty.alias("owner"), "name", "descriptor"),
-        refs.select("class_id", "idx", "tag", "owner", "name", "descriptor"),
-        dynamic.select("class_id", "idx", "tag", empty.alias("owner"), "name", "descriptor"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("text", F.concat(F.coalesce(F.concat("owner", F.lit(".")), F.lit("")), "name", F.coalesce(F.concat(F.lit(":"), "descriptor"), F.lit(""))))
-
-
-def class_names(classes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """class_id, this_name, super_name (slashed), access, major, minor."""
-    at = lambda i, n: resolved.filter("tag = 7").select("class_id", F.col("idx").alias(i), F.col("name").alias(n))
-    heads = classes.filter("error is null").select("class_id", "this_idx", "super_idx", "access", "major", "minor")
-    return heads.join(at("this_idx", "this_name"), ["class_id", "this_idx"], "left").join(at("super_idx", "super_name"), ["class_id", "super_idx"], "left").drop("this_idx", "super_idx")
+    shown = F.filter("pool", lambda c: c["tag"].isin(1, 7, 8, 12, 16, 17, 18, 19, 20, *METHOD_TAGS) | c["num"].isNotNull())
+    return _aligned(classes).select("class_id", F.inline(F.transform(shown, _resolved)))
+
+
+def class_names(classes: DataFrame) -> DataFrame:
+    """class_id, access, major, minor, this_name, super_name (slashed)."""
+    return _aligned(classes.filter("error is null")).select("class_id", "access", "major", "minor", _class(F.col("this_idx")).alias("this_name"), _class(F.col("super_idx")).alias("super_name"))
 
 
 def list_types(named: DataFrame) -> DataFrame:
@@ -66,14 +69,11 @@ def filter_types(named: DataFrame, wanted: str) -> DataFrame:
     return named.filter((name == wanted) | (N.simple_name(name) == wanted))
 
 
-def members(classes: DataFrame, resolved: DataFrame) -> DataFrame:
+def members(classes: DataFrame) -> DataFrame:
     """One row per field and method with names, types and modifiers as text."""
-    rows = classes.filter("error is null").select("class_id", F.explode("members").alias("m")).select("class_id", "m.*")
-    utf = resolved.filter("tag = 1").select("class_id", F.col("idx").alias("k"), F.col("name").alias("v"))
-    for index, to in (("name_idx", "name"), ("desc_idx", "descriptor")):
-        rows = rows.join(utf.select("class_id", F.col("k").alias(index), F.col("v").alias(to)), ["class_id", index], "left")
-    consts = resolved.select("class_id", F.col("idx").alias("const_idx"), F.col("text").alias("constant"))
-    rows = rows.join(consts, ["class_id", "const_idx"], "left")
+    rows = _aligned(classes.filter("error is null"))
+    rows = rows.select("class_id", F.inline(F.transform("members", lambda m: F.struct(m.alias("m"), _string(m["name_idx"]).alias("name"), _string(m["desc_idx"]).alias("descriptor"), _resolved(F.get(F.col("at"), m["const_idx"] - 1))["text"].alias("constant")))))
+    rows = rows.select("class_id", "m.*", "name", "descriptor", "constant")
     is_method = F.col("kind") == "method"
     return rows.select(
         "class_id", "kind", "ord", "name", "descriptor", "access", "constant", "max_stack", "max_locals", "code", "handlers",
@@ -104,7 +104,8 @@ def operand_text(resolved: DataFrame, instr: DataFrame) -> DataFrame:
     uses_pool = F.col("name").startswith("ldc") | F.col("op").between(178, 189) & (F.col("op") != 188) | F.col("op").isin(192, 193, 197)
     keyed = instr.withColumn("idx", F.when(uses_pool, F.col("ref")).cast("int"))
     joined = keyed.join(resolved.select("class_id", "idx", "text"), ["class_id", "idx"], "left")
-    number = F.concat_ws(", ", F.when(~uses_pool, F.col("ref").cast("string")), F.col("value").cast("long").cast("string"))
+    array_type = F.create_map(*(F.lit(x) for pair in NEWARRAY.items() for x in pair))[F.col("ref").cast("int")]
+    number = F.when(F.col("name") == "newarray", F.coalesce(array_type, F.col("ref").cast("string"))).otherwise(F.concat_ws(", ", F.when(~uses_pool, F.col("ref").cast("string")), F.col("whole").cast("string")))
     return joined.withColumn("operand", F.coalesce("text", F.when(F.size("targets") > 0, F.array_join(F.col("targets").cast("array<string>"), ", ")), number)).drop("idx", "text")
 
 

@@ -55,7 +55,7 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decoded(spark: SparkSession, sf_dir: str):
     classes = classfile.decode_classes(part_classes(spark, sf_dir)).persist()  # several relations are cut from it
     resolved = jvm.resolved_constants(classes)
-    return classes, resolved, jvm.class_names(classes, resolved)
+    return classes, resolved, jvm.class_names(classes)
 
 
 def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -79,69 +79,69 @@ def jvm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jvm_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members with types and modifiers."""
     classes, resolved, named = _decoded(spark, sf_dir)
-    rows = _with_class(jvm.members(classes, resolved), named)
+    rows = _with_class(jvm.members(classes), named)
     return rows.select("class_name", "kind", "name", "type", F.array_join("params", ",").alias("params"), "modifiers", "constant")
 
 
 def jvm_source_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: members a source listing shows."""
     classes, resolved, named = _decoded(spark, sf_dir)
-    rows = _with_class(jvm.source_members(jvm.members(classes, resolved)), named)
+    rows = _with_class(jvm.source_members(jvm.members(classes)), named)
     return rows.groupBy("class_name", "kind").agg(F.count("*").alias("n"))
 
 
 def jvm_opcode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions by name and class."""
     classes, resolved, named = _decoded(spark, sf_dir)
-    instr = _with_class(jvm.method_instructions(jvm.members(classes, resolved)), named)
+    instr = _with_class(jvm.method_instructions(jvm.members(classes)), named)
     return instr.groupBy("class_name", "name").agg(F.count("*").alias("n"))
 
 
 def jvm_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What static reads refer to, through four pool entries."""
     classes, resolved, _ = _decoded(spark, sf_dir)
-    instr = jvm.operand_text(resolved, jvm.method_instructions(jvm.members(classes, resolved)))
+    instr = jvm.operand_text(resolved, jvm.method_instructions(jvm.members(classes)))
     return instr.filter("name = 'getstatic'").select("operand")
 
 
 def jvm_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct branch targets by class."""
     classes, resolved, named = _decoded(spark, sf_dir)
-    t = _with_class(jvm.branch_targets(jvm.method_instructions(jvm.members(classes, resolved))), named)
+    t = _with_class(jvm.branch_targets(jvm.method_instructions(jvm.members(classes))), named)
     return t.groupBy("class_name", "target").agg(F.count("*").alias("n"))
 
 
 def jvm_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catch ranges without consecutive repeats, each with its end."""
     classes, resolved, _ = _decoded(spark, sf_dir)
-    rows = jvm.members(classes, resolved)
+    rows = jvm.members(classes)
     return jvm.handlers(rows).join(rows.select("class_id", "kind", "ord", "name").filter("kind = 'method'"), ["class_id", "ord"]).select("name", "start", "handler", "handler_stop")
 
 
 def jvm_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disassembled methods."""
     classes, resolved, named = _decoded(spark, sf_dir)
-    return jvm.disassemble(named, jvm.members(classes, resolved), resolved).select("name", "listing")
+    return jvm.disassemble(named, jvm.members(classes), resolved).select("name", "listing")
 
 
 def jvm_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source constructs that jumps stand for."""
     classes, resolved, _ = _decoded(spark, sf_dir)
-    found = flow.constructs(jvm.method_instructions(jvm.members(classes, resolved)), ["class_id", "ord"])
+    found = flow.constructs(jvm.method_instructions(jvm.members(classes)), ["class_id", "ord"])
     return found.groupBy("kind", "start", "stop").agg(F.count("*").alias("n"))
 
 
 def jvm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic blocks, counted by shape."""
     classes, resolved, _ = _decoded(spark, sf_dir)
-    found = flow.blocks(jvm.method_instructions(jvm.members(classes, resolved)), ["class_id", "ord"])
+    found = flow.blocks(jvm.method_instructions(jvm.members(classes)), ["class_id", "ord"])
     return found.groupBy("start", "stop", "n", "last").agg(F.count("*").alias("n_blocks"))
 
 
 def jvm_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 without bodies, K6: declarations of classes with their members."""
     classes, resolved, named = _decoded(spark, sf_dir)
-    return jvm.declarations(named, jvm.members(classes, resolved)).select("file_name", "source")
+    return jvm.declarations(named, jvm.members(classes)).select("file_name", "source")
 
 
 def jar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

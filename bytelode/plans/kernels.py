@@ -32,19 +32,19 @@ def anti_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners have a start only; a range ends where the next begins. Exploded to an equi-join by blocks."""
+    """Owners have a start only; a range ends where the next begins. The last start before a key, in spans of keys."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    width = 64
-    block = F.floor(F.col("o_orderkey") / width)
-    starts = orders.groupBy(block.alias("block")).agg(F.min("o_orderkey").alias("start"))
-    owned = starts.withColumn("stop", F.lead("start", 1, 1 << 62).over(W.orderBy("start")))
-    keys = items.select("l_orderkey", F.floor(F.col("l_orderkey") / width).alias("block"))
-    return (
-        keys.join(owned, "block")
-        .filter((F.col("l_orderkey") >= F.col("start")) & (F.col("l_orderkey") < F.col("stop")))
-        .groupBy("start")
-        .agg(F.count("*").alias("n_items"))
-    )
+    width, span = 64, 64 * 4096
+    starts = orders.groupBy(F.floor(F.col("o_orderkey") / width)).agg(F.min("o_orderkey").alias("start")).select("start")
+    keys = items.groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n"))
+    both = starts.select(F.col("start").alias("key"), F.lit(0).alias("n"), "start").unionByName(keys.select("key", "n", F.lit(None).cast("long").alias("start")))
+    both = both.withColumn("part", F.floor(F.col("key") / span))
+    # the last start before a span carries over into it: one row a span, a small part of the keys
+    spans = both.groupBy("part").agg(F.max("start").alias("top"))
+    before = spans.select("part", F.max("top").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    last = F.last("start", ignorenulls=True).over(W.partitionBy("part").orderBy("key", "n").rowsBetween(W.unboundedPreceding, 0))
+    owned = both.withColumn("last", last).join(before, "part").withColumn("start", F.coalesce("last", "carried"))
+    return owned.filter("start is not null and n > 0").groupBy("start").agg(F.sum("n").alias("n_items"))
 
 
 def first_match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,41 +22,50 @@ def test_opcode_tables_are_complete():
     assert len(table) == 202 and len({n for n, _ in table.values()}) == 202
     assert [table[i][0] for i in (0, 18, 87, 132, 147, 153, 172, 186, 196, 201)] == ["nop", "ldc", "pop", "iinc", "i2s", "ifeq", "ireturn", "invokedynamic", "wide", "jsr_w"]
     cil = opcodes.cil_opcodes()
-    assert len({n for n, _ in cil.values()}) == len(cil) == 218
+    assert len({n for n, _ in cil.values()}) == len(cil) == 226
     assert [cil[i][0] for i in (0x28, 0x44, 0x6E, 0x8B, 0xA2, 0xBA, 0xE0, 0xFE1E)] == ["call", "blt.un", "conv.u8", "conv.ovf.u.un", "stelem.ref", "conv.ovf.u8", "conv.u", "readonly."]
 
 
 def test_jvm_decoder():
-    assert decoded([0x08, 0x3C, 0x1A, 0xAC]) == [(0, "iconst_5"), (1, "istore_1"), (2, "iload_0"), (3, "ireturn")]
-    rows = list(bytecode.jvm_instructions(bytes([0x04, 0x9A, 0, 3, 0, 0xB1])))
-    assert rows[1][6] == [4]
-    wide = list(bytecode.jvm_instructions(b"\xc4\x84" + struct.pack(">Hh", 300, 1000) + b"\xc4\x15\x01\x00"))
-    assert [(r[2], r[3], r[4], r[5], r[8]) for r in wide] == [("iinc", 6, 300, 1000, True), ("iload", 4, 256, None, True)]
-    table = b"\0\xaa\0\0" + struct.pack(">iii3i", 20, 5, 7, 10, 11, 12)
-    assert [r[6:8] for r in bytecode.jvm_instructions(table)][1] == ([11, 12, 13, 21], [5, 6, 7])
-    lookup = b"\xab\0\0\0" + struct.pack(">ii4i", 9, 2, -1, 7, 100, 8)
-    assert list(bytecode.jvm_instructions(lookup))[0][6:8] == ([7, 8, 9], [-1, 100])
-    assert decoded([0xB9, 0, 1, 2, 0, 0xB1]) == [(0, "invokeinterface"), (5, "return")]
+    assert decoded([0x10, 0x2A, 0x3D, 0x1C, 0x1C, 0x68, 0xAC]) == [(0, "bipush"), (2, "istore_2"), (3, "iload_2"), (4, "iload_2"), (5, "imul"), (6, "ireturn")]
+    rows = list(bytecode.jvm_instructions(bytes([0x1A, 0x9D, 0, 5, 0x03, 0xAC, 0x04, 0xAC])))
+    assert [r[2] for r in rows] == ["iload_0", "ifgt", "iconst_0", "ireturn", "iconst_1", "ireturn"] and rows[1][6] == [6]
+    wide = list(bytecode.jvm_instructions(b"\xc4\x84" + struct.pack(">Hh", 517, -300) + b"\xc4\x16" + struct.pack(">H", 700)))
+    assert [(r[2], r[3], r[4], r[5], r[8]) for r in wide] == [("iinc", 6, 517, -300, True), ("lload", 4, 700, None, True)]
+    table = b"\0\0\xaa\0" + struct.pack(">iii2i", 30, -1, 0, 16, 18)
+    assert [r[6:8] for r in bytecode.jvm_instructions(table)][2] == ([18, 20, 32], [-1, 0])
+    lookup = b"\xab\0\0\0" + struct.pack(">ii6i", 40, 3, -9, 28, 0, 30, 1000, 32)
+    assert list(bytecode.jvm_instructions(lookup))[0][6:8] == ([28, 30, 32, 40], [-9, 0, 1000])
+    assert decoded([0x2A, 0xB9, 0, 7, 1, 0, 0x57]) == [(0, "aload_0"), (1, "invokeinterface"), (6, "pop")]
     assert decoded([0, 0xCB, 0]) == [(0, "nop"), (1, "invalid")]
     assert decoded([0x11, 0]) == [(0, "invalid")]
 
 
 def test_cil_decoder():
     m = bytecode.cil_instructions
-    assert decoded([0x03, 0x04, 0x58, 0x2A], m) == [(0, "ldarg.1"), (1, "ldarg.2"), (2, "add"), (3, "ret")]
-    assert [(r[2], r[3], r[6]) for r in m(bytes([0x1F, 0x2A, 0x2D, 0, 0x2A]))] == [("ldc.i4.s", 2, []), ("brtrue.s", 2, [4]), ("ret", 1, [])]
+    assert decoded([0x02, 0x17, 0x59, 0x0A, 0x06, 0x2A], m) == [(0, "ldarg.0"), (1, "ldc.i4.1"), (2, "sub"), (3, "stloc.0"), (4, "ldloc.0"), (5, "ret")]
+    rows = list(m(bytes([0x02, 0x1F, 100, 0x32, 2, 0x16, 0x2A, 0x17, 0x2A])))
+    assert [(r[2], r[3], r[6]) for r in rows][1:4] == [("ldc.i4.s", 2, []), ("blt.s", 2, [7]), ("ldc.i4.0", 1, [])]
     assert decoded([0x24, 0xFE, 0x08, 0x2A], m) == [(0, "unknown"), (1, "unknown"), (3, "ret")]
-    assert list(m(b"\x45" + struct.pack("<I2i", 2, 1, -40)))[0][6] == [14, 0]
+    assert list(m(b"\x45" + struct.pack("<I3i", 3, 4, -60, 0)))[0][6] == [21, 0, 17]
     assert decoded([0x20, 1], m) == [(0, "invalid")]
+    assert [(r[2], r[5]) for r in m(b"\x21" + struct.pack("<q", 2**62 + 1) + b"\xf9\x23" + struct.pack("<d", 0.5))] == [("ldc.i8", 2**62 + 1), ("prefix6", None), ("ldc.r8", 0.5)]
+
+
+def test_whole_numbers_keep_all_digits(spark):
+    code = b"\x21" + struct.pack("<q", 2**62 + 1) + b"\x23" + struct.pack("<d", 0.5) + b"\x2a"
+    rows = bytecode.instructions(spark.createDataFrame([(1, bytearray(code))], "id int, code binary"), ["id"], "cil").orderBy("pos").collect()
+    assert [(r["name"], r.whole, r.value) for r in rows] == [("ldc.i8", 2**62 + 1, float(2**62)), ("ldc.r8", None, 0.5), ("ret", None, None)]
 
 
 def test_signatures():
-    text = lambda sig: [[p[0] if p[0] is not None else p[1:] for p in t] for t in sig]
-    assert text(signatures.parse_signature(bytes.fromhex("05020 10E4108".replace(" ", "")), "method")) == [["void"], ["string"], ["int"]]
-    assert text(signatures.parse_signature(bytes.fromhex("0002080808"), "method")) == [["int"], ["int"], ["int"]]
-    assert text(signatures.parse_signature(bytes.fromhex("061512" + "09" + "02081D0E"), "field")) == [[(1, 2), "<", "int", ", ", "", "string", "[]", ">"]]
+    text = lambda sig: [[p[0] if p[0] is not None else p[1:] for p in t if p[0] != ""] for t in sig]
+    method = lambda h: text(signatures.parse_signature(bytes.fromhex(h), "method"))
+    assert method("20030A0E1D0802") == [["long"], ["string"], ["int", "[]"], ["bool"]]
+    assert method("05020E0D411C") == [["string"], ["double"], ["object"]]
+    assert text(signatures.parse_signature(bytes.fromhex("0615110D010A"), "field")) == [[(1, 3), "<", "long", ">"]]
     assert signatures.parse_signature(b"\x06", "field") is None and signatures.parse_signature(None, "method") is None
-    assert [pe.read_compressed(bytes.fromhex(h), 0) for h in ("05", "8005", "C0000100")] == [(5, 1), (5, 2), (256, 4)]
+    assert [pe.read_compressed(bytes.fromhex(h), 0) for h in ("1F", "9234", "C0012345")] == [(31, 1), (4660, 2), (74565, 4)]
     assert all(pe.read_compressed(pe.compressed(n), 0)[0] == n for n in (0, 127, 128, 16383, 16384, 1 << 28))
 
 
@@ -98,7 +107,7 @@ def test_files_and_archives(spark, tmp_path):
     assert sorted(r.kind for r in files.collect()) == ["class", "pe", "zip", "zip"]
     blobs = binaries.class_blobs(files)
     classes = classfile.decode_classes(blobs)
-    named = jvm.class_names(classes, jvm.resolved_constants(classes))
+    named = jvm.class_names(classes)
     assert sorted(r.name for r in jvm.list_types(named).collect()) == ["Y.1", "a.B"]
     assert blobs.filter("error is not null").count() == 1
     md = pe.decode_images(files)
@@ -171,11 +180,11 @@ def test_real_archive_against_javap(spark, tmp_path):
     files = binaries.classified(spark.read.format("binaryFile").load(f"file://{JARS[0]}").select(F.lit("j").alias("file_id"), "path", "content"))
     classes = classfile.decode_classes(binaries.class_blobs(files)).cache()
     resolved = jvm.resolved_constants(classes).cache()
-    named = jvm.class_names(classes, resolved)
+    named = jvm.class_names(classes)
     with zipfile.ZipFile(JARS[0]) as z:
         want = {n[:-6].replace("/", ".").replace("$", ".") for n in z.namelist() if n.endswith(".class")}
     assert {r.name for r in jvm.list_types(named).collect()} == want
-    instr = jvm.method_instructions(jvm.members(classes, resolved))
+    instr = jvm.method_instructions(jvm.members(classes))
     assert instr.filter("name = 'invalid'").count() == 0
     try:
         one = sorted(want)[0]
