@@ -203,6 +203,13 @@ def obfuscation(md: DataFrame) -> DataFrame:
     return all_.select("file_id", F.inline(found)).filter("severity is not null")
 
 
+def _quoted(text: Column) -> Column:
+    """A string literal on one line."""
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def token_names(md: DataFrame) -> DataFrame:
     """file_id, ref, text: what tokens show as: types, methods, fields, member references and strings."""
     types = type_names(md)
@@ -214,7 +221,7 @@ def token_names(md: DataFrame) -> DataFrame:
     member = lambda rows, start, t: rows.select("file_id", "rid", "Name").join(owned(defs, start, rows), ["file_id", "rid"]).join(owner, ["file_id", "owner"]).select("file_id", key(t), F.concat_ws("::", "o", "Name").alias("text"))
     ref_owner = named.select("file_id", F.col("table").alias("Class_table"), F.col("rid").alias("Class_rid"), F.col("text").alias("o"))
     by_ref = refs.join(ref_owner, ["file_id", "Class_table", "Class_rid"], "left").select("file_id", key(10), F.concat_ws("::", F.coalesce("o", F.lit("?")), "Name").alias("text"))
-    strings = md.filter(F.col("table") == USER_STRINGS).select("file_id", key(USER_STRINGS), F.concat(F.lit('"'), F.get("texts", F.lit(0)), F.lit('"')).alias("text"))
+    strings = md.filter(F.col("table") == USER_STRINGS).select("file_id", key(USER_STRINGS), _quoted(F.get("texts", F.lit(0))).alias("text"))
     out = by_type
     for part in (member(meth, "MethodList", 6), member(fld, "FieldList", 4), by_ref, strings):
         out = out.unionByName(part)
@@ -222,7 +229,7 @@ def token_names(md: DataFrame) -> DataFrame:
 
 
 def disassemble(md: DataFrame) -> DataFrame:
-    """file_id, rid, listing: each method with a body, one line an instruction, tokens as names."""
+    """file_id, rid, listing: each method with a body, its stack and locals, one line an instruction, tokens as names."""
     text = token_names(md)
     instr = method_instructions(md).join(text, ["file_id", "ref"], "left")
     label = lambda at: F.concat(F.lit("IL_"), F.lpad(F.lower(F.hex(at)), F.greatest(F.lit(4), F.length(F.hex(at))), F.lit("0")))
@@ -234,7 +241,10 @@ def disassemble(md: DataFrame) -> DataFrame:
     m = methods(md)
     owner = type_names(md).filter("table = 2").select("file_id", F.col("rid").alias("owner"), F.col("name").alias("owner_name"))
     head = F.concat("return_type", F.lit(" "), "owner_name", F.lit("::"), "name", F.lit("("), F.array_join("params", ", "), F.lit(")\n"))
-    return m.join(owner, ["file_id", "owner"]).join(body, ["file_id", "rid"]).select("file_id", "rid", F.concat(head, "body").alias("listing"))
+    stack = F.concat(F.lit("  .maxstack "), F.col("max_stack").cast("string"), F.lit("\n"))
+    held = F.coalesce(F.concat(F.lit("  .locals init ("), F.array_join("locals", ", "), F.lit(")\n")), F.lit(""))
+    whole = m.join(owner, ["file_id", "owner"]).join(body, ["file_id", "rid"]).join(local_types(md), ["file_id", "rid"], "left")
+    return whole.select("file_id", "rid", F.concat(head, stack, held, "body").alias("listing"))
 
 
 def verify(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
@@ -287,25 +297,118 @@ def source_methods(md: DataFrame) -> DataFrame:
     return methods(md).join(roles, ["file_id", "rid"], "left_anti")
 
 
+def nested_paths(md: DataFrame) -> DataFrame:
+    """file_id, rid, top, rids: of every defined type its outermost type, and the rows below that one down to its own, outer ones first.
+
+    Parents are followed by doubling, so a chain of n levels takes log2(n) joins. Row numbers have 24 bits, which ends chains
+    that damaged files close to a ring.
+    """
+    step = nested_in(md).select("file_id", "rid", F.col("parent").alias("top"), F.array("rid").alias("rids"))
+    for _ in range(24):
+        up = step.select("file_id", F.col("rid").alias("top"), F.col("top").alias("above"), F.col("rids").alias("more"))
+        joined = step.join(up, ["file_id", "top"], "left")
+        if joined.filter("above is not null").isEmpty():
+            break
+        step = joined.select("file_id", "rid", F.coalesce("above", "top").alias("top"), F.concat(F.coalesce("more", F.array().cast("array<int>")), "rids").alias("rids"))
+    own = view(md, 2).select("file_id", "rid").join(step, ["file_id", "rid"], "left")
+    return own.select("file_id", "rid", F.coalesce("top", "rid").alias("top"), F.coalesce("rids", F.array().cast("array<int>")).alias("rids"))
+
+
+def property_types(md: DataFrame) -> DataFrame:
+    """file_id, rid, type of each property."""
+    return render_types(md, view(md, 23), "Type", "property").select("file_id", "rid", F.col("text").alias("type"))
+
+
+#: Fixed values (ECMA-335 II.23.1): the access bits of members and of nested types to C# words.
+MEMBER_ACCESS = {6: "public ", 5: "protected internal ", 4: "protected ", 3: "internal ", 2: "private protected "}
+NESTED_ACCESS = {2: "public ", 4: "protected ", 5: "internal ", 6: "private protected ", 7: "protected internal "}
+
+
+def _word(flags: Column, words: dict[int, str], other: str) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in words.items() for x in pair))[flags.bitwiseAND(7).cast("int")], F.lit(other))
+
+
+def _generic_lists(md: DataFrame, table: int, name: str) -> DataFrame:
+    return generic_params(md).filter(F.col("table") == table).select("file_id", "rid", F.concat(F.lit("<"), F.array_join("params", ", "), F.lit(">")).alias(name))
+
+
+def _member_lines(md: DataFrame, types: DataFrame) -> DataFrame:
+    """file_id, owner, o, m, table, text: a declaration for each field, property, event and method a listing shows."""
+    set_ = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    word = lambda bit, text: F.when(set_(bit), text).otherwise("")
+    access = _word(F.col("flags"), MEMBER_ACCESS, "private ")
+    literal = constants(md)
+    line = lambda rows, o, table, text: rows.select("file_id", "owner", F.lit(o).alias("o"), F.col("rid").alias("m"), F.lit(table).alias("table"), text.alias("text"))
+
+    value = literal.filter("table = 4").select("file_id", "rid", "literal")
+    f = source_fields(md).join(value, ["file_id", "rid"], "left").join(types, ["file_id", "owner"])
+    # an enum's instance field holds its value and isn't written
+    f = f.filter((F.col("kind") != "enum") | set_(0x10))
+    how = F.when(set_(0x40), "const ").otherwise(F.concat(word(0x10, "static "), word(0x20, "readonly ")))
+    fixed = F.coalesce(F.concat(F.lit(" = "), "literal"), F.lit(""))
+    f_text = F.when(F.col("kind") == "enum", F.concat("name", fixed, F.lit(","))).otherwise(F.concat(access, how, "type", F.lit(" "), "name", fixed, F.lit(";")))
+
+    m0 = view(md, 6).select("file_id", "rid", F.col("Flags").alias("flags"))
+    by = lambda rows, *c: rows.withColumn("own", F.coalesce(*c)).join(m0.withColumnRenamed("rid", "own"), ["file_id", "own"], "left").withColumnRenamed("type_rid", "owner")
+    p = by(properties(md).join(property_types(md), ["file_id", "rid"]), "getter", "setter")
+    half = lambda c, text: F.when(F.col(c).isNotNull(), text).otherwise("")
+    p_text = F.concat(access, word(0x10, "static "), "type", F.lit(" "), "name", F.lit(" { "), half("getter", "get; "), half("setter", "set; "), F.lit("}"))
+    e = by(events(md), "adder", "remover")
+    e_text = F.concat(access, word(0x10, "static "), F.lit("event "), F.coalesce("type", F.lit("?")), F.lit(" "), "name", F.lit(";"))
+
+    native = pinvokes(md).select("file_id", "rid", F.format_string('[DllImport("%s", EntryPoint = "%s")] ', "library", "import_name").alias("native"))
+    m = source_methods(md).join(types, ["file_id", "owner"]).join(native, ["file_id", "rid"], "left").join(_generic_lists(md, 6, "generic"), ["file_id", "rid"], "left")
+    m = m.filter("kind <> 'delegate'")
+    args = F.concat(F.lit("("), F.array_join("params", ", "), F.lit(");"))
+    explicit = F.col("name").contains(".") & ~F.col("name").startswith(".")
+    how = F.concat(word(0x10, "static "), F.when(set_(0x400) & (F.col("kind") != "interface"), "abstract ").otherwise(""), F.when(F.col("native").isNotNull(), "extern ").otherwise(""))
+    m_text = (
+        F.when(F.col("name") == ".cctor", F.concat(F.lit("static "), "type_name", F.lit("();"))).when(F.col("name") == ".ctor", F.concat(access, "type_name", args))
+        .otherwise(F.concat(F.coalesce("native", F.lit("")), F.when(explicit, "").otherwise(F.concat(access, how)), "return_type", F.lit(" "), "name", F.coalesce("generic", F.lit("")), args))
+    )
+    return line(f, 1, 4, f_text).unionByName(line(p, 2, 23, p_text)).unionByName(line(e, 3, 20, e_text)).unionByName(line(m, 4, 6, m_text))
+
+
 def declarations(md: DataFrame) -> DataFrame:
-    """file_id, rid, file_name, source: each top-level type's declaration with its members, bodies left out."""
-    words = {6: "public ", 5: "protected internal ", 4: "protected ", 3: "internal ", 2: "private protected "}
-    access = lambda f: F.coalesce(F.create_map(*(F.lit(x) for pair in words.items() for x in pair))[f.bitwiseAND(7).cast("int")], F.lit("private "))
-    static = F.when(F.col("flags").bitwiseAND(0x10) != 0, "static ").otherwise("")
-    f_line = F.concat(F.lit("    "), access(F.col("flags")), static, "type", F.lit(" "), "name", F.lit(";"))
-    m_line = F.concat(F.lit("    "), access(F.col("flags")), static, "return_type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(");"))
-    one = lambda rows, line, o: rows.select("file_id", F.col("owner").alias("rid"), F.struct(F.lit(o).alias("o"), F.col("rid").alias("m"), line.alias("line")).alias("l"))
-    lines = one(source_fields(md), f_line, 1).unionByName(one(source_methods(md), m_line, 2))
-    body = lines.groupBy("file_id", "rid").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
-    bases = interfaces(md)
-    generics = generic_params(md).filter("table = 2").select("file_id", "rid", F.concat(F.lit("<"), F.array_join("params", ", "), F.lit(">")).alias("generic"))
-    heads = kinds(md).select("file_id", "rid", "kind", "is_static").join(view(md, 2).select("file_id", "rid", "Name", "Namespace", "Flags"), ["file_id", "rid"])
-    top = heads.filter(F.col("Name") != MODULE_TYPE).join(nested_in(md), ["file_id", "rid"], "left_anti").join(body, ["file_id", "rid"], "left").join(bases, ["file_id", "rid"], "left").join(generics, ["file_id", "rid"], "left")
-    head = F.concat(
-        F.when(F.col("Namespace") != "", F.concat(F.lit("namespace "), "Namespace", F.lit(";\n\n"))).otherwise(""), F.when(F.col("Flags").bitwiseAND(7) == 1, "public ").otherwise("internal "), F.when(F.col("is_static"), "static ").otherwise(""),
-        "kind", F.lit(" "), N.clean_generic(F.col("Name")), F.coalesce("generic", F.lit("")), F.coalesce(F.concat(F.lit(" : "), F.array_join("interfaces", ", ")), F.lit("")), F.lit("\n{\n"),
+    """file_id, rid, file_name, source: each top-level type's declaration with its members and nested types, bodies left out.
+
+    Every line has a key of row numbers, by which the lines of a top-level type are sorted: a nested type's key starts with its
+    outer type's.
+    """
+    kind = kinds(md).select("file_id", F.col("rid").alias("owner"), "kind", "is_static")
+    names_ = view(md, 2).filter(F.col("Name") != MODULE_TYPE).select("file_id", F.col("rid").alias("owner"), "Name", "Namespace", "Flags", N.clean_generic(F.col("Name")).alias("type_name"))
+    paths = nested_paths(md).withColumnRenamed("rid", "owner")
+    types = names_.join(kind, ["file_id", "owner"]).join(paths, ["file_id", "owner"])
+    prefix = F.flatten(F.transform("rids", lambda r: F.array(F.lit(3), r)))
+    key = lambda *more: F.concat(prefix, F.array(*(F.lit(x) if isinstance(x, int) else x for x in more)))
+    depth = lambda more: F.repeat(F.lit("    "), F.size("rids") + more)
+    line = lambda rows, k, text: rows.select("file_id", F.col("top").alias("rid"), F.struct(k.alias("k"), text.alias("text")).alias("l"))
+
+    signature = methods(md).filter("name = 'Invoke'").groupBy("file_id", "owner").agg(F.min_by(F.struct("return_type", "params"), "rid").alias("invoke"))
+    heads = (
+        types.join(interfaces(md).withColumnRenamed("rid", "owner"), ["file_id", "owner"], "left").join(_generic_lists(md, 2, "generic").withColumnRenamed("rid", "owner"), ["file_id", "owner"], "left")
+        .join(signature, ["file_id", "owner"], "left")
     )
-    return top.select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source"))
+    access = F.when(F.size("rids") > 0, _word(F.col("Flags"), NESTED_ACCESS, "private ")).otherwise(F.when(F.col("Flags").bitwiseAND(7) == 1, "public ").otherwise("internal "))
+    named = F.concat("type_name", F.coalesce("generic", F.lit("")))
+    bases = F.coalesce(F.concat(F.lit(" : "), F.array_join("interfaces", ", ")), F.lit(""))
+    delegate = F.col("kind") == "delegate"
+    head = F.when(delegate & F.col("invoke").isNotNull(), F.concat(access, F.lit("delegate "), "invoke.return_type", F.lit(" "), named, F.lit("("), F.array_join("invoke.params", ", "), F.lit(");"))).otherwise(
+        F.concat(access, F.when(F.col("is_static"), "static ").otherwise(""), "kind", F.lit(" "), named, bases, F.lit("\n"), depth(0), F.lit("{"))
+    )
+    spaces = heads.filter((F.size("rids") == 0) & (F.col("Namespace") != ""))
+    lines = line(spaces, key(-1), F.concat(F.lit("namespace "), "Namespace", F.lit(";\n")))
+    lines = lines.unionByName(line(heads, key(0, 1), F.concat(depth(0), head)))
+    lines = lines.unionByName(line(heads.filter(~(delegate & F.col("invoke").isNotNull())), key(4), F.concat(depth(0), F.lit("}"))))
+    members = _member_lines(md, types.select("file_id", "owner", "kind", "type_name"))
+    tagged = attribute_lines(md).groupBy("file_id", F.col("Parent_table").alias("table"), F.col("Parent_rid").alias("m")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("rid", "line")))["line"], " ").alias("tags"))
+    placed = members.join(types.select("file_id", "owner", "top", "rids"), ["file_id", "owner"]).join(tagged, ["file_id", "table", "m"], "left")
+    lines = lines.unionByName(line(placed, key(1, F.col("o"), F.col("m")), F.concat(depth(1), F.coalesce(F.concat("tags", F.lit(" ")), F.lit("")), "text")))
+    of_types = types.join(tagged.filter("table = 2").select("file_id", F.col("m").alias("owner"), "tags"), ["file_id", "owner"])
+    lines = lines.unionByName(line(of_types, key(0, 0), F.concat(depth(0), "tags")))
+    text = lines.groupBy("file_id", "rid").agg(F.concat(F.array_join(F.sort_array(F.collect_list("l"))["text"], "\n"), F.lit("\n")).alias("source"))
+    tops = names_.withColumnRenamed("owner", "rid")
+    return tops.join(text, ["file_id", "rid"]).select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), "source")
 
 
 def constants(md: DataFrame) -> DataFrame:
@@ -315,7 +418,7 @@ def constants(md: DataFrame) -> DataFrame:
 
 
 def attribute_lines(md: DataFrame) -> DataFrame:
-    """Attributes as they stand in source: file_id, Parent_table, Parent_rid, line. Unread arguments are left out."""
+    """Attributes as they stand in source: file_id, rid, Parent_table, Parent_rid, line. Unread arguments are left out."""
     defs, refs = view(md, 6), view(md, 10)
     ctor = lambda rows, t: rows.select("file_id", F.lit(t).alias("Type_table"), F.col("rid").alias("Type_rid"), "Signature")
     rows = view(md, 12).join(ctor(defs, 6).unionByName(ctor(refs, 10)), ["file_id", "Type_table", "Type_rid"])
@@ -323,7 +426,7 @@ def attribute_lines(md: DataFrame) -> DataFrame:
     named = rows.select("file_id", "rid", "Parent_table", "Parent_rid", argument_literals(F.col("Value"), F.col("Signature")).alias("args"))
     keyed = names.select("file_id", F.col("rid"), "short")
     args = F.when(F.size(F.coalesce("args", F.array())) > 0, F.concat(F.lit("("), F.array_join("args", ", "), F.lit(")"))).otherwise("")
-    return named.join(keyed, ["file_id", "rid"]).select("file_id", "Parent_table", "Parent_rid", F.concat(F.lit("["), "short", args, F.lit("]")).alias("line"))
+    return named.join(keyed, ["file_id", "rid"]).select("file_id", "rid", "Parent_table", "Parent_rid", F.concat(F.lit("["), "short", args, F.lit("]")).alias("line"))
 
 
 def local_types(md: DataFrame) -> DataFrame:

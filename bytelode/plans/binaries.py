@@ -1,7 +1,7 @@
 """The binary analyses on images made from the driver's tables.
 
 No binaries are supplied, so rows of ``part`` become class files (one for each brand and 4096 keys) and rows of
-``region``, ``nation``, ``supplier`` and ``customer`` become assemblies (one a region). The queries read only the
+``region``, ``nation``, ``supplier`` and ``customer`` become assemblies (one for each region and 4096 keys). The queries read only the
 binaries; their SQL computes the same from the tables.
 """
 
@@ -201,17 +201,20 @@ def _image_of(region: str, nations: list[dict]) -> bytes:
 
 
 def region_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id (the region), kind, content."""
+    """file_id (the region and a span of keys), kind, content. A file holds the region's nations with the rows of 4096 keys."""
     r, n, s, c = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer"))
-    sup = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("suppliers"))
-    cus = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg")))).alias("customers"))
+    span = lambda key: F.floor(F.col(key) / 4096).cast("int").alias("chunk")
+    sup = s.groupBy(F.col("s_nationkey").alias("n_nationkey"), span("s_suppkey")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("suppliers"))
+    cus = c.groupBy(F.col("c_nationkey").alias("n_nationkey"), span("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg")))).alias("customers"))
     one = F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.coalesce("suppliers", F.array()).alias("suppliers"), F.coalesce("customers", F.array()).alias("customers"))
-    rows = n.join(sup, "n_nationkey", "left").join(cus, "n_nationkey", "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    nations = rows.groupBy("r_name").agg(F.sort_array(F.collect_list(one)).alias("nations"))
+    held = n.join(sup.join(cus, ["n_nationkey", "chunk"], "full"), "n_nationkey")
+    files = held.select("n_regionkey", "chunk").distinct().join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", "chunk", F.concat_ws("#", "r_name", "chunk").alias("file_id"))
+    rows = files.join(n, "n_regionkey").join(held.select("n_nationkey", "chunk", "suppliers", "customers"), ["n_nationkey", "chunk"], "left")
+    nations = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(one)).alias("nations"))
 
     def build(batches):
         for b in batches:
-            raw = [_image_of(x, ns) for x, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            raw = [_image_of(x.split("#")[0], ns) for x, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["file_id", "content"])
 
     return binaries.classified(nations.mapInArrow(build, "file_id string, content binary"))

@@ -5,11 +5,14 @@ WITH p AS (SELECT *, 'part.' || replace(p_brand, '#', '_') || CASE WHEN p_partke
 """
 _NET = """
 WITH n0 AS (SELECT *, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first_key, replace(n_name, ' ', '_') AS nm FROM nation JOIN region ON n_regionkey = r_regionkey),
-n AS (SELECT n_nationkey, r_name AS file_id, nm, n_nationkey % 5 = 4 AND n_nationkey <> first_key AS nested,
-        (SELECT m.nm FROM n0 m WHERE m.n_nationkey = n0.first_key) AS parent, replace(r_name, ' ', '_') AS ns0 FROM n0),
+f AS (SELECT DISTINCT n_regionkey, c_custkey // 4096 AS chunk FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT DISTINCT n_regionkey, s_suppkey // 4096 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+n AS (SELECT n_nationkey, chunk, r_name || '#' || chunk AS file_id, nm, n_nationkey % 5 = 4 AND n_nationkey <> first_key AS nested,
+        (SELECT m.nm FROM n0 m WHERE m.n_nationkey = n0.first_key) AS parent, (first_key) AS parent_key, replace(r_name, ' ', '_') AS ns0 FROM n0 JOIN f USING (n_regionkey)),
 t AS (SELECT *, CASE WHEN nested THEN '' ELSE ns0 END AS ns, CASE WHEN nested THEN nm ELSE ns0 || '.' || nm END AS full_name FROM n),
-c AS (SELECT t.*, c_custkey AS k, c_mktsegment AS seg, min(c_custkey) OVER (PARTITION BY n_nationkey) AS first_k FROM customer JOIN t ON c_nationkey = n_nationkey),
-s AS (SELECT t.*, s_suppkey AS k FROM supplier JOIN t ON s_nationkey = n_nationkey)
+c AS (SELECT t.*, c_custkey AS k, c_mktsegment AS seg, min(c_custkey) OVER (PARTITION BY file_id, n_nationkey) AS first_k
+  FROM customer JOIN t ON c_nationkey = n_nationkey AND c_custkey // 4096 = chunk),
+s AS (SELECT t.*, s_suppkey AS k FROM supplier JOIN t ON s_nationkey = n_nationkey AND s_suppkey // 4096 = chunk)
 """
 
 SQL = {
@@ -73,9 +76,9 @@ SELECT file_id, full_name AS name, CASE WHEN n_nationkey % 11 = 3 THEN 'interfac
     + "SELECT file_id, 'M' || k AS name, ['void', 'int'][k % 2 + 1] AS return_type, ['int, string[]', ''][k % 2 + 1] AS params FROM c",
     "pe_json": _NET
     + """
-SELECT file_id, nm AS name, ns AS namespace, (SELECT count(*) FROM s WHERE s.n_nationkey = t.n_nationkey) AS n_fields,
-  (SELECT count(*) FROM c WHERE c.n_nationkey = t.n_nationkey) AS n_methods,
-  (SELECT ['void', 'int'][min(k) % 2 + 1] FROM c WHERE c.n_nationkey = t.n_nationkey) AS first_return FROM t""",
+SELECT file_id, nm AS name, ns AS namespace, (SELECT count(*) FROM s WHERE s.file_id = t.file_id AND s.n_nationkey = t.n_nationkey) AS n_fields,
+  (SELECT count(*) FROM c WHERE c.file_id = t.file_id AND c.n_nationkey = t.n_nationkey) AS n_methods,
+  (SELECT ['void', 'int'][min(k) % 2 + 1] FROM c WHERE c.file_id = t.file_id AND c.n_nationkey = t.n_nationkey) AS first_return FROM t""",
     "pe_obfuscation": _NET
     + """
 , calls AS (SELECT file_id, n_nationkey, count(*) AS x FROM c WHERE k % 2 = 0 GROUP BY 1, 2),
@@ -90,22 +93,26 @@ UNION ALL SELECT file_id, 5, 'info', 'summary', types || ' types, ' || methods |
 SELECT file_id, name, count(*) AS n FROM i GROUP BY 1, 2""",
     "pe_listing": _NET
     + """
-SELECT file_id, CASE WHEN k % 2 = 0 THEN 'void ' || nm || '::M' || k || '(int, string[])' || chr(10) || '  IL_0000: ldstr "' || seg || '"' || chr(10)
+SELECT file_id, CASE WHEN k % 2 = 0 THEN 'void ' || nm || '::M' || k || '(int, string[])' || chr(10) || '  .maxstack 8' || chr(10) || '  IL_0000: ldstr "' || seg || '"' || chr(10)
     || '  IL_0005: call ' || full_name || '::M' || first_k || chr(10) || '  IL_000a: ret'
-  ELSE 'int ' || nm || '::M' || k || '()' || chr(10) || '  IL_0000: ldc.i4.0' || chr(10) || CASE WHEN k % 50 = 1 THEN
+  ELSE 'int ' || nm || '::M' || k || '()' || chr(10) || '  .maxstack 8' || chr(10) || '  IL_0000: ldc.i4.0' || chr(10) || CASE WHEN k % 50 = 1 THEN
     rtrim('  IL_0001: switch ' || array_to_string(list_transform(range(k % 60), lambda x: 'IL_' || lower(lpad(to_hex(6 + 4 * (k % 60)), 4, '0'))), ', ')) || chr(10)
     || '  IL_' || lower(lpad(to_hex(6 + 4 * (k % 60)), 4, '0')) || ': ret' ELSE '  IL_0001: ret' END END AS listing FROM c""",
     "pe_declarations": _NET
     + """
-, l AS (SELECT n_nationkey, 1 AS o, k, '    private ' || ['int[]', 'string', nm][k % 3 + 1] || ' S' || k || ';' AS line FROM s
-UNION ALL SELECT n_nationkey, 2, k, '    public ' || ['void M' || k || '(int, string[]);', 'int M' || k || '();'][k % 2 + 1] FROM c),
-b AS (SELECT n_nationkey, string_agg(line, chr(10) ORDER BY o, k) || chr(10) AS body FROM l GROUP BY n_nationkey)
-SELECT file_id, replace(ns0, '.', '_') || '_' || nm || '.cs' AS file_name, 'namespace ' || ns0 || ';' || chr(10) || chr(10) || 'public '
-  || CASE WHEN n_nationkey % 11 = 3 THEN 'interface ' WHEN n_nationkey % 6 = 0 THEN 'enum ' WHEN n_nationkey % 7 = 0 THEN 'static class ' ELSE 'class ' END
-  || nm || chr(10) || '{' || chr(10) || coalesce(body, '') || '}' || chr(10) AS source FROM t LEFT JOIN b USING (n_nationkey) WHERE NOT nested""",
+, t2 AS (SELECT *, CASE WHEN n_nationkey % 11 = 3 THEN 'interface ' WHEN n_nationkey % 6 = 0 THEN 'enum ' WHEN n_nationkey % 7 = 0 THEN 'static class ' ELSE 'class ' END AS kind,
+  CASE WHEN nested THEN '    ' ELSE '' END AS d FROM t),
+l AS (SELECT s.file_id, s.n_nationkey, 1 AS o, k, d || '    private ' || ['int[]', 'string', s.nm][k % 3 + 1] || ' S' || k || ';' AS line FROM s JOIN t2 USING (file_id, n_nationkey) WHERE kind <> 'enum '
+UNION ALL SELECT c.file_id, c.n_nationkey, 2, k, d || '    public ' || ['void M' || k || '(int, string[]);', 'int M' || k || '();'][k % 2 + 1] FROM c JOIN t2 USING (file_id, n_nationkey)),
+b AS (SELECT file_id, n_nationkey, string_agg(line, chr(10) ORDER BY o, k) || chr(10) AS body FROM l GROUP BY ALL),
+x AS (SELECT file_id, n_nationkey, ns0, nm, nested, parent_key, d || CASE WHEN nested THEN 'private ' ELSE 'public ' END || kind || nm || chr(10) || d || '{' || chr(10) || coalesce(body, '') AS opened, d || '}' || chr(10) AS closed
+  FROM t2 LEFT JOIN b USING (file_id, n_nationkey)),
+inner_ AS (SELECT file_id, parent_key AS n_nationkey, string_agg(opened || closed, '' ORDER BY n_nationkey) AS nested_text FROM x WHERE nested GROUP BY ALL)
+SELECT file_id, ns0 || '_' || nm || '.cs' AS file_name, 'namespace ' || ns0 || ';' || chr(10) || chr(10) || opened || coalesce(nested_text, '') || closed AS source
+FROM x LEFT JOIN inner_ USING (file_id, n_nationkey) WHERE NOT nested""",
     "pe_verify": _NET
     + """
 SELECT file_id, 'method' AS category, 'M' || k AS name FROM c
-UNION ALL SELECT file_id, 'type', nm FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.n_nationkey = t.n_nationkey AND k % 3 = 2)""",
-    "pe_namespaces": "SELECT r_name AS file_id, 'System' AS namespace FROM region",
+UNION ALL SELECT file_id, 'type', nm FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.file_id = t.file_id AND s.n_nationkey = t.n_nationkey AND k % 3 = 2)""",
+    "pe_namespaces": _NET + "SELECT DISTINCT file_id, 'System' AS namespace FROM t",
 }

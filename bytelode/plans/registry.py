@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bytelode.plans import binaries, binaries_sql, kernels, kernels_sql
+from bytelode.plans import assemblies, assemblies_sql, binaries, binaries_sql, kernels, kernels_sql
 
 FLAGSHIP = "adjacent_pair_having"
-QUERIES = {name: getattr(kernels, name) for name in kernels_sql.SQL} | {name: getattr(binaries, name) for name in binaries_sql.SQL}
-SQL = kernels_sql.SQL | binaries_sql.SQL
+_MODULES = ((kernels, kernels_sql), (binaries, binaries_sql), (assemblies, assemblies_sql))
+QUERIES = {name: getattr(plans, name) for plans, sql in _MODULES for name in sql.SQL}
+SQL = {name: text for _, sql in _MODULES for name, text in sql.SQL.items()}

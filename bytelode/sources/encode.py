@@ -112,12 +112,12 @@ class Assembly:
         self.rows.setdefault(table, []).append(row)
         return len(self.rows[table])
 
-    def body(self, code: bytes) -> int:
-        """Place of a method body; the section starts at 0x2000."""
+    def body(self, code: bytes, locals_row: int = 0) -> int:
+        """Place of a method body; the section starts at 0x2000. ``locals_row`` is the row of its local variables' signature."""
         while len(self.code) % 4:
             self.code.append(0)
         at = 0x2000 + 72 + len(self.code)
-        self.code += bytes([len(code) << 2 | 2]) if len(code) < 64 else struct.pack("<HHII", 0x3003, 8, len(code), 0)
+        self.code += bytes([len(code) << 2 | 2]) if len(code) < 64 and not locals_row else struct.pack("<HHII", 0x3003, 8, len(code), locals_row and 0x11000000 | locals_row)
         self.code += code
         return at
 
