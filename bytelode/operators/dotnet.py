@@ -97,13 +97,14 @@ def fields(md: DataFrame) -> DataFrame:
     return base.join(owned(defs, "FieldList", rows), ["file_id", "rid"]).join(types, ["file_id", "rid"]).join(consts, ["file_id", "rid"], "left")
 
 
-def methods(md: DataFrame) -> DataFrame:
-    """file_id, owner, rid, name, return_type, params (array of type texts), flags, code and its figures."""
-    defs, rows = view(md, 2), view(md, 6)
+def methods(md: DataFrame, named: str | None = None) -> DataFrame:
+    """file_id, owner, rid, name, return_type, params (array of type texts), flags, code and its figures; only those ``named`` so, if given."""
+    defs, every = view(md, 2), view(md, 6)
+    rows = every.filter(F.col("Name") == named) if named else every
     t = render_types(md, rows, "Signature", "method")
     sig = t.groupBy("file_id", "rid").agg(F.max(F.when(F.col("i") == 0, F.col("text"))).alias("return_type"), F.sort_array(F.collect_list(F.when(F.col("i") > 0, F.struct("i", "text"))))["text"].alias("params"))
     base = rows.select("file_id", "rid", F.col("Name").alias("name"), F.col("Flags").alias("flags"), "code", "max_stack")
-    return base.join(owned(defs, "MethodList", rows), ["file_id", "rid"]).join(sig, ["file_id", "rid"])
+    return base.join(owned(defs, "MethodList", every), ["file_id", "rid"]).join(sig, ["file_id", "rid"])
 
 
 def generic_params(md: DataFrame) -> DataFrame:
@@ -247,15 +248,19 @@ def disassemble(md: DataFrame) -> DataFrame:
     return whole.select("file_id", "rid", F.concat(head, stack, held, "body").alias("listing"))
 
 
+def _wanted_names(md: DataFrame) -> DataFrame:
+    """file_id, category, name a source should hold: not accessors, constructors, delegate methods, dotted names and compiler fields."""
+    skip = F.col("name").rlike(r"^(get_|set_|add_|remove_)|^(Invoke|BeginInvoke|EndInvoke|value__)$|\.|k__BackingField")
+    one = lambda t, what: view(md, t).select("file_id", F.lit(what).alias("category"), N.clean_generic(F.col("Name")).alias("name"))
+    return one(2, "type").unionByName(one(6, "method")).unionByName(one(4, "field")).filter((F.col("name") != MODULE_TYPE) & ~skip).distinct()
+
+
 def verify(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
     """Names of types, methods and fields that ``sources`` (file_id, source) don't hold: file_id, category, name.
 
     Loose, a name counts as present if it is anywhere in the file's text; ``exact``, if it is one of the text's words.
-    Accessors, constructors, delegate methods, dotted names and compiler fields are left out.
     """
-    skip = F.col("name").rlike(r"^(get_|set_|add_|remove_)|^(Invoke|BeginInvoke|EndInvoke|value__)$|\.|k__BackingField")
-    one = lambda t, what: view(md, t).select("file_id", F.lit(what).alias("category"), N.clean_generic(F.col("Name")).alias("name"))
-    wanted = one(2, "type").unionByName(one(6, "method")).unionByName(one(4, "field")).filter((F.col("name") != MODULE_TYPE) & ~skip).distinct()
+    wanted = _wanted_names(md)
     if exact:
         words = sources.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"(?U)([\w$]+)"), F.lit(1)))).alias("name"))
         return wanted.join(words, ["file_id", "name"], "left_anti")
@@ -264,6 +269,13 @@ def verify(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
     return wanted.join(texts, "file_id", "left").filter(~F.coalesce(F.col("source").contains(F.col("name")), F.lit(False))).select("file_id", "category", "name")
 
 
+def verify_summary(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
+    """file_id, n_types, n_methods, n_fields that were looked for, and n_missing."""
+    n = lambda what: F.count_if(F.col("category") == what).alias(f"n_{what}s")
+    missing = verify(md, sources, exact).groupBy("file_id").agg(F.count("*").alias("n_missing"))
+    return _wanted_names(md).groupBy("file_id").agg(n("type"), n("method"), n("field")).join(missing, "file_id", "left").fillna(0, "n_missing")
+
+
 def events(md: DataFrame) -> DataFrame:
     """Events of types with the rows of their accessors; the last accessor of a kind counts."""
     maps, rows, sem = view(md, 18), view(md, 20), view(md, 24).filter("Association_table = 20")
@@ -384,7 +396,7 @@ def declarations(md: DataFrame) -> DataFrame:
     depth = lambda more: F.repeat(F.lit("    "), F.size("rids") + more)
     line = lambda rows, k, text: rows.select("file_id", F.col("top").alias("rid"), F.struct(k.alias("k"), text.alias("text")).alias("l"))
 
-    signature = methods(md).filter("name = 'Invoke'").groupBy("file_id", "owner").agg(F.min_by(F.struct("return_type", "params"), "rid").alias("invoke"))
+    signature = methods(md, "Invoke").groupBy("file_id", "owner").agg(F.min_by(F.struct("return_type", "params"), "rid").alias("invoke"))
     heads = (
         types.join(interfaces(md).withColumnRenamed("rid", "owner"), ["file_id", "owner"], "left").join(_generic_lists(md, 2, "generic").withColumnRenamed("rid", "owner"), ["file_id", "owner"], "left")
         .join(signature, ["file_id", "owner"], "left")

@@ -95,6 +95,63 @@ def constructs(instr: DataFrame, keys: list[str]) -> DataFrame:
     return ahead.unionByName(turned).unionByName(loops).unionByName(switches)
 
 
+def _variable() -> Column:
+    """The local an instruction loads, stores or counts up: the number in its name, else its operand."""
+    in_name = F.regexp_extract("name", r"^(?:[ilfda](?:load|store)_|ld(?:loc|arg)\.|stloc\.)([0-3])$", 1)
+    return F.when(in_name != "", in_name.cast("long")).otherwise(F.col("ref"))
+
+
+def for_loops(instr: DataFrame, keys: list[str]) -> DataFrame:
+    """``while`` loops that count: keys, variable, start, test, step, stop.
+
+    The instruction before the loop stores the variable (start), and the last one of the body counts the same variable up or
+    down (step). The test is the loop's head; stop is the place behind the loop.
+    """
+    order = W.partitionBy(*keys).orderBy("pos")
+    v, store = _variable(), _is(r"^([ilfda]store|stloc)")
+    counts = _is("^iinc$") | (store & F.lag(_is(r"^([ilfd](add|sub)|add|sub)$")).over(order))
+    marked = instr.select(
+        *keys, "offset", "name", "targets", (F.col("offset") + F.col("size")).alias("after"), F.when(store, v).alias("stored"), F.when(counts, v).alias("counted"),
+        F.lag("offset").over(order).alias("before"),
+    )
+    init = marked.filter("stored is not null").select(*keys, F.col("offset").alias("start"), F.col("stored").alias("variable"), F.col("after").alias("at"))
+    step = marked.filter("counted is not null").select(*keys, F.col("offset").alias("step"), F.col("counted").alias("variable"), F.col("after").alias("step_stop"))
+    j = jumps(instr, keys)
+    # test first: the step stands before the goto back to the test's head, which the initial store stands before
+    heads = blocks(instr, keys).select(*keys, F.col("start").alias("test"), F.col("stop").alias("test_stop"))
+    branch = j.filter("kind = 'branch' and target > source").join(marked.select(*keys, F.col("offset").alias("source"), F.col("after").alias("test_stop")), [*keys, "source"]).join(heads, [*keys, "test_stop"])
+    back = j.filter("kind = 'goto' and target <= source").join(marked.select(*keys, F.col("offset").alias("source"), F.col("after").alias("stop")), [*keys, "source"])
+    first = back.select(*keys, F.col("target").alias("test"), F.col("source").alias("step_stop"), "stop").join(branch.select(*keys, "test", F.col("target").alias("stop")), [*keys, "test", "stop"]).withColumn("at", F.col("test"))
+    # test last: the initial store stands before a goto to the test, the step before the test, whose branch goes to the body
+    enter = j.filter("kind = 'goto' and target > source").join(marked.select(*keys, F.col("offset").alias("source"), F.col("after").alias("body")), [*keys, "source"])
+    turn = j.filter("kind = 'branch' and target <= source").join(marked.select(*keys, F.col("offset").alias("source"), F.col("after").alias("test_stop")), [*keys, "source"]).join(heads, [*keys, "test_stop"])
+    last = enter.select(*keys, F.col("source").alias("at"), F.col("target").alias("test"), "body").join(turn.select(*keys, "test", F.col("target").alias("body"), F.col("test_stop").alias("stop")), [*keys, "test", "body"])
+    both = first.select(*keys, "at", "test", "step_stop", "stop").unionByName(last.select(*keys, "at", "test", F.col("test").alias("step_stop"), "stop"))
+    return both.join(init, [*keys, "at"]).join(step, [*keys, "step_stop", "variable"]).select(*keys, "variable", "start", "test", "step", "stop").distinct()
+
+
+def switch_arms(instr: DataFrame, keys: list[str]) -> DataFrame:
+    """Arms of switches: keys, source, start, stop, cases (sorted, empty for the default alone), is_default, exit, shared.
+
+    Cases that go to one place are one arm, which ends where the next begins, the last one at the exit. ``exit`` is where the goto
+    that ends the arm goes; ``shared``, whether all arms that end with a goto go to the same place.
+    """
+    order = W.partitionBy(*keys).orderBy("pos")
+    found = instr.filter(_is(SWITCH))
+    # one machine lists its default as the last target, the other goes on behind the instruction
+    labels = F.transform("cases", lambda c: F.struct(c.alias("case"), F.lit(False).alias("is_default")))
+    rest = F.array(F.struct(F.lit(None).cast("long").alias("case"), F.lit(True).alias("is_default")))
+    places = F.when(F.size("targets") > F.size("cases"), F.col("targets")).otherwise(F.concat("targets", F.array(F.col("offset") + F.col("size"))))
+    each = found.select(*keys, F.col("offset").alias("source"), F.explode(F.arrays_zip(F.concat(labels, rest).alias("l"), places.alias("p"))).alias("a"))
+    arms = each.groupBy(*keys, "source", F.col("a.p").alias("start")).agg(F.sort_array(F.collect_list("a.l.case")).alias("cases"), F.max("a.l.is_default").alias("is_default"))
+    of_switch = W.partitionBy(*keys, "source")
+    arms = arms.withColumn("stop", F.lead("start").over(of_switch.orderBy("start")))
+    ends = instr.select(*keys, (F.col("offset") + F.col("size")).alias("stop"), F.when(_is(GOTO), F.get("targets", F.lit(0))).alias("exit"))
+    ended = arms.join(ends, [*keys, "stop"], "left")
+    alike = (F.min("exit").over(of_switch) == F.max("exit").over(of_switch)) & F.max("exit").over(of_switch).isNotNull()
+    return ended.withColumn("shared", F.coalesce(alike, F.lit(False))).withColumn("stop", F.coalesce("stop", F.max("exit").over(of_switch)))
+
+
 def unreferenced_labels(instr: DataFrame, keys: list[str], labels: DataFrame) -> DataFrame:
     """``labels`` (keys, offset) that no jump goes to."""
     return labels.join(jumps(instr, keys).select(*keys, F.col("target").alias("offset")).distinct(), [*keys, "offset"], "left_anti")

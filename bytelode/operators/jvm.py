@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from bytelode.functions import names as N
 from bytelode.functions.bytecode import instructions
+from bytelode.functions.generics import generic_signature
 from bytelode.functions.opcodes import NEWARRAY
 
 METHOD_TAGS = (9, 10, 11)
@@ -55,8 +56,16 @@ def resolved_constants(classes: DataFrame) -> DataFrame:
 
 
 def class_names(classes: DataFrame) -> DataFrame:
-    """class_id, access, major, minor, this_name, super_name (slashed)."""
-    return _aligned(classes.filter("error is null")).select("class_id", "access", "major", "minor", _class(F.col("this_idx")).alias("this_name"), _class(F.col("super_idx")).alias("super_name"))
+    """class_id, access, major, minor, this_name, super_name, interfaces (slashed), signature, source_file."""
+    return _aligned(classes.filter("error is null")).select(
+        "class_id", "access", "major", "minor", _class(F.col("this_idx")).alias("this_name"), _class(F.col("super_idx")).alias("super_name"),
+        F.transform("interfaces", _class).alias("interfaces"), _string(F.col("sig_idx")).alias("signature"), _string(F.col("source_idx")).alias("source_file"),
+    )
+
+
+def bootstraps(classes: DataFrame) -> DataFrame:
+    """class_id, ord, ref, args: bootstrap methods, their handle and arguments as pool rows."""
+    return classes.filter("error is null").select("class_id", F.posexplode("bootstraps").alias("ord", "b")).select("class_id", "ord", "b.ref", "b.args")
 
 
 def list_types(named: DataFrame) -> DataFrame:
@@ -70,13 +79,18 @@ def filter_types(named: DataFrame, wanted: str) -> DataFrame:
 
 
 def members(classes: DataFrame) -> DataFrame:
-    """One row per field and method with names, types and modifiers as text."""
+    """One row per field and method with names, types, modifiers, thrown and caught classes as text, and the generic signature."""
     rows = _aligned(classes.filter("error is null"))
-    rows = rows.select("class_id", F.inline(F.transform("members", lambda m: F.struct(m.alias("m"), _string(m["name_idx"]).alias("name"), _string(m["desc_idx"]).alias("descriptor"), _resolved(F.get(F.col("at"), m["const_idx"] - 1))["text"].alias("constant")))))
-    rows = rows.select("class_id", "m.*", "name", "descriptor", "constant")
+    texts = lambda m: F.struct(
+        m.alias("m"), _string(m["name_idx"]).alias("name"), _string(m["desc_idx"]).alias("descriptor"), _resolved(F.get(F.col("at"), m["const_idx"] - 1))["text"].alias("constant"),
+        _string(m["sig_idx"]).alias("signature"), F.transform(m["throws"], lambda i: N.dotted(_class(i))).alias("thrown"),
+        F.transform(m["handlers"], lambda h: F.coalesce(N.dotted(_class(h["type_idx"])), F.lit("any"))).alias("caught"),
+    )
+    rows = rows.select("class_id", F.inline(F.transform("members", texts)))
+    rows = rows.select("class_id", "m.*", "name", "descriptor", "constant", "signature", "thrown", "caught")
     is_method = F.col("kind") == "method"
     return rows.select(
-        "class_id", "kind", "ord", "name", "descriptor", "access", "constant", "max_stack", "max_locals", "code", "handlers",
+        "class_id", "kind", "ord", "name", "descriptor", "access", "constant", "max_stack", "max_locals", "code", "handlers", "signature", "thrown", "caught",
         F.when(is_method, N.return_text(F.col("descriptor"))).otherwise(N.type_text(F.col("descriptor"))).alias("type"),
         F.when(is_method, N.parameter_texts(F.col("descriptor"))).alias("params"),
         F.array_join(F.when(is_method, N.flag_names(F.col("access"), "method")).otherwise(N.flag_names(F.col("access"), "field")), " ").alias("modifiers"),
@@ -99,30 +113,59 @@ def branch_targets(instr: DataFrame) -> DataFrame:
     return instr.select("class_id", "ord", F.explode("targets").alias("target")).distinct()
 
 
+def _escaped(text: Column) -> Column:
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return text
+
+
 def operand_text(resolved: DataFrame, instr: DataFrame) -> DataFrame:
-    """``instr`` with ``operand``: pool references as text, else numbers, else targets."""
+    """``instr`` with ``operand``: pool references as text (strings quoted), else numbers, else targets, those of a switch with their cases."""
     uses_pool = F.col("name").startswith("ldc") | F.col("op").between(178, 189) & (F.col("op") != 188) | F.col("op").isin(192, 193, 197)
     keyed = instr.withColumn("idx", F.when(uses_pool, F.col("ref")).cast("int"))
-    joined = keyed.join(resolved.select("class_id", "idx", "text"), ["class_id", "idx"], "left")
+    shown = F.when(F.col("tag") == 8, F.concat(F.lit('"'), _escaped(F.col("text")), F.lit('"'))).otherwise(F.col("text"))
+    joined = keyed.join(resolved.select("class_id", "idx", shown.alias("text")), ["class_id", "idx"], "left")
     array_type = F.create_map(*(F.lit(x) for pair in NEWARRAY.items() for x in pair))[F.col("ref").cast("int")]
     number = F.when(F.col("name") == "newarray", F.coalesce(array_type, F.col("ref").cast("string"))).otherwise(F.concat_ws(", ", F.when(~uses_pool, F.col("ref").cast("string")), F.col("whole").cast("string")))
-    return joined.withColumn("operand", F.coalesce("text", F.when(F.size("targets") > 0, F.array_join(F.col("targets").cast("array<string>"), ", ")), number)).drop("idx", "text")
+    labels = F.concat(F.col("cases").cast("array<string>"), F.when(F.size("cases") < F.size("targets"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>")))
+    arms = F.array_join(F.zip_with(labels, F.col("targets").cast("array<string>"), lambda c, t: F.concat(c, F.lit(": "), t)), ", ")
+    jumps = F.when(F.col("name").endswith("switch"), arms).when(F.size("targets") > 0, F.array_join(F.col("targets").cast("array<string>"), ", "))
+    return joined.withColumn("operand", F.coalesce("text", jumps, number)).drop("idx", "text")
 
 
 def disassemble(named: DataFrame, rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """class_id, ord, name, listing: a header, stack figures, one line an instruction, the exception table."""
+    """class_id, ord, name, listing: a header, figures, one line an instruction, the exception table. Methods without a body have the header only."""
     lines = operand_text(resolved, method_instructions(rows)).select(
         "class_id", "ord", F.struct("pos", F.rtrim(F.concat(F.lpad(F.col("offset").cast("string"), 6, " "), F.lit(": "), "name", F.lit(" "), "operand")).alias("line")).alias("l")
     )
     body = lines.groupBy("class_id", "ord").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
-    table = F.transform(F.col("handlers"), lambda h: F.format_string("    [%d, %d) -> %d", h["start"], h["stop"], h["handler"]))
+    table = F.zip_with("handlers", "caught", lambda h, c: F.format_string("    [%d, %d) -> %d %s", h["start"], h["stop"], h["handler"], c))
+    slots = N.parameter_slots(F.col("descriptor")) + F.when(F.col("access").bitwiseAND(8) != 0, 0).otherwise(1)
+    thrown = F.when(F.size("thrown") > 0, F.concat(F.lit(" throws "), F.array_join("thrown", ", "))).otherwise("")
+    flags = F.when(F.col("modifiers") != "", F.concat(F.lit("\n  flags: "), "modifiers")).otherwise("")
+    head = F.concat(N.dotted(F.col("this_name")), F.lit("."), "name", F.lit("("), F.array_join("params", ", "), F.lit(") -> "), "type", thrown, flags)
+    figures = F.concat(F.lit("\n  stack="), F.col("max_stack").cast("string"), F.lit(", locals="), F.col("max_locals").cast("string"), F.lit(", args="), slots.cast("string"), F.lit("\n"))
+    tail = F.when(F.size("handlers") > 0, F.concat(F.lit("\n  Exception table:\n"), F.array_join(table, "\n"))).otherwise("")
+    methods = rows.filter("kind = 'method'").join(named.select("class_id", "this_name"), "class_id").join(body, ["class_id", "ord"], "left")
+    return methods.select("class_id", "ord", "name", F.concat(head, F.coalesce(F.concat(figures, "body", tail), F.lit(""))).alias("listing"))
+
+
+def class_listing(named: DataFrame, rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """class_id, listing: a class's header with version, flags and source file, its fields, and all its methods."""
+    fields = rows.filter("kind = 'field'")
+    shown = F.concat("type", F.lit(" "), "name", F.when(F.col("modifiers") != "", F.concat(F.lit(" flags: "), "modifiers")).otherwise(""), F.coalesce(F.concat(F.lit(" = "), "constant"), F.lit("")))
+    units = fields.select("class_id", F.struct(F.lit(0).alias("o"), "ord", shown.alias("text")).alias("u")).unionByName(
+        disassemble(named, rows, resolved).select("class_id", F.struct(F.lit(1).alias("o"), "ord", F.col("listing").alias("text")).alias("u"))
+    )
+    body = units.groupBy("class_id").agg(F.array_join(F.sort_array(F.collect_list("u"))["text"], "\n\n").alias("body"))
+    above = F.coalesce(F.concat(F.lit(" extends "), N.dotted(F.col("super_name"))), F.lit(""))
+    sides = F.when(F.size("interfaces") > 0, F.concat(F.lit(" implements "), F.array_join(F.transform("interfaces", N.dotted), ", "))).otherwise("")
+    flags = F.array_join(N.flag_names(F.col("access"), "class"), " ")
     head = F.concat(
-        N.dotted(F.col("this_name")), F.lit("."), "name", F.lit("("), F.array_join("params", ", "), F.lit(") -> "), "type",
-        F.lit("\n  stack="), F.col("max_stack").cast("string"), F.lit(", locals="), F.col("max_locals").cast("string"), F.lit("\n"),
+        F.lit("class "), N.dotted(F.col("this_name")), above, sides, F.lit("\n  version: "), F.concat_ws(".", F.col("major").cast("string"), F.col("minor").cast("string")),
+        F.when(flags != "", F.concat(F.lit("\n  flags: "), flags)).otherwise(""), F.coalesce(F.concat(F.lit("\n  source: "), "source_file"), F.lit("")),
     )
-    tail = F.when(F.size("handlers") > 0, F.concat(F.lit("\n  Exception table:\n"), F.array_join(table, "\n"))).otherwise("")
-    methods = rows.filter("kind = 'method' and code is not null").join(named.select("class_id", "this_name"), "class_id")
-    return methods.join(body, ["class_id", "ord"]).select("class_id", "ord", "name", F.concat(head, "body", tail).alias("listing"))
+    return named.join(body, "class_id", "left").select("class_id", F.concat(head, F.coalesce(F.concat(F.lit("\n\n"), "body"), F.lit(""))).alias("listing"))
 
 
 def handlers(rows: DataFrame) -> DataFrame:
@@ -159,7 +202,13 @@ def switch_sizes(instr: DataFrame) -> DataFrame:
 
 
 def declarations(named: DataFrame, rows: DataFrame) -> DataFrame:
-    """class_id, file_name, source: each class's declaration with the members a listing shows, bodies left out."""
+    """class_id, file_name, source: each class's declaration with the members a listing shows, bodies left out; generic types where there are any."""
+    rows = rows.withColumn("g", generic_signature(F.col("signature")))
+    last = F.get("g.types", F.size("g.types") - 1)
+    own_params = F.when(F.size("g.params") > 0, F.concat(F.lit("<"), F.array_join("g.params", ", "), F.lit("> "))).otherwise("")
+    some = F.when(F.size("g.types") > 0, F.slice("g.types", 1, F.size("g.types") - 1))
+    rows = rows.withColumn("type", F.coalesce(last, "type")).withColumn("params", F.coalesce(some, "params")).withColumn("own_params", F.coalesce(own_params, F.lit("")))
+    thrown = F.when(F.size("thrown") > 0, F.concat(F.lit(" throws "), F.array_join("thrown", ", "))).otherwise("")
     constant = F.coalesce(F.concat(F.lit(" = "), "constant"), F.lit(""))
     words = F.when(F.col("modifiers") != "", F.concat("modifiers", F.lit(" "))).otherwise("")
     is_field = F.col("kind") == "field"
@@ -167,19 +216,24 @@ def declarations(named: DataFrame, rows: DataFrame) -> DataFrame:
     line = F.concat(
         F.lit("    "), words,
         F.when(is_field, F.concat("type", F.lit(" "), "name", constant, F.lit(";")))
-        .when(F.col("name") == "<init>", F.concat(simple, F.lit("("), F.array_join("params", ", "), F.lit(");")))
+        .when(F.col("name") == "<init>", F.concat("own_params", simple, F.lit("("), F.array_join("params", ", "), F.lit(")"), thrown, F.lit(";")))
         .when(F.col("name") == "<clinit>", F.lit("{ }"))
-        .otherwise(F.concat("type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(");"))),
+        .otherwise(F.concat("own_params", "type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(")"), thrown, F.lit(";"))),
     )
     lines = source_members(rows).join(named.select("class_id", "this_name"), "class_id").select("class_id", F.struct((~is_field).alias("o"), "ord", line.alias("line")).alias("l"))
     body = lines.groupBy("class_id").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
     bit = lambda m: F.col("access").bitwiseAND(m) != 0
     kind = F.when(bit(0x2000), "@interface").when(bit(0x200), "interface").when(bit(0x4000), "enum").otherwise("class")
     package = N.package_of(F.col("this_name"))
+    named = named.withColumn("g", generic_signature(F.col("signature")))
+    own = F.coalesce(F.when(F.size("g.params") > 0, F.concat(F.lit("<"), F.array_join("g.params", ", "), F.lit(">"))), F.lit(""))
+    above = F.coalesce(F.get("g.types", F.lit(0)), N.dotted(F.col("super_name")))
+    wide = F.coalesce(F.slice("g.types", 2, F.greatest(F.size("g.types"), F.lit(1))), F.transform("interfaces", N.dotted))
+    sides = F.when(F.size(wide) > 0, F.concat(F.when(bit(0x200), " extends ").otherwise(" implements "), F.array_join(wide, ", "))).otherwise("")
     plain = F.col("super_name").isNull() | F.col("super_name").isin("java/lang/Object", "java/lang/Enum")
     head = F.concat(
         F.when(package != "", F.concat(F.lit("package "), package, F.lit(";\n\n"))).otherwise(""), F.when(bit(1), "public ").otherwise(""), F.when(bit(0x10) & ~bit(0x4000), "final ").otherwise(""),
-        F.when(bit(0x400) & ~bit(0x200), "abstract ").otherwise(""), kind, F.lit(" "), simple, F.when(plain, "").otherwise(F.concat(F.lit(" extends "), N.dotted(F.col("super_name")))), F.lit(" {\n"),
+        F.when(bit(0x400) & ~bit(0x200), "abstract ").otherwise(""), kind, F.lit(" "), simple, own, F.when(plain, "").otherwise(F.concat(F.lit(" extends "), above)), sides, F.lit(" {\n"),
     )
     return named.join(body, "class_id", "left").select(
         "class_id", N.file_name(package, F.translate(F.regexp_extract("this_name", "([^/]*)$", 1), "$", "_"), ".java").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source")

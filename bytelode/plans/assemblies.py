@@ -193,3 +193,10 @@ def pe_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pe_supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 without bodies: declarations with attributes, constants, properties, events, native functions and nested types."""
     return dotnet.declarations(_md(spark, sf_dir)).select("file_id", "file_name", "source")
+
+
+def pe_verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: numbers of names looked for, and of missing ones; the text here is the list of constants."""
+    md = _md(spark, sf_dir)
+    texts = dotnet.fields(md).filter("name like 'C%'").select("file_id", F.col("name").alias("source"))
+    return dotnet.verify_summary(md, texts, exact=True)

@@ -43,4 +43,9 @@ SELECT file_id, 'Supply_S' || k || CASE WHEN k % 7 = 0 THEN '_2' ELSE '' END ||
   CASE WHEN k % 3 = 0 THEN '    void System.IDisposable.Dispose();' END,
   CASE WHEN k % 8 = 7 THEN concat_ws(chr(10), '    public class Inner' || k, '    {', '        private class Deep' || k, '        {', '            public bool Dive' || k || '();', '        }', '    }') END,
   '}', '') AS source FROM s""",
+    "pe_verify_summary": _NET
+    + """
+, c AS (SELECT file_id, count(*) + 2 * count(*) FILTER (k % 8 = 7) AS n_types, count(*) + count(*) FILTER (k % 6 = 0) + count(*) FILTER (k % 8 = 7) AS n_methods,
+  count(*) + count(*) FILTER (k % 4 = 0) AS n_fields, count(*) AS n FROM s GROUP BY file_id)
+SELECT file_id, n_types, n_methods, n_fields, n_types + n_methods + n_fields - n AS n_missing FROM c""",
 }

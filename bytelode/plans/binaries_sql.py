@@ -43,13 +43,13 @@ SELECT 'part/' || replace(p_brand, '#', '_') || CASE WHEN p_partkey // 4096 > 0
     "jvm_listing": _PART
     + """
 SELECT 'm' || p_partkey AS name, class_name || '.m' || p_partkey || [
-  '(int, long) -> int' || chr(10) || '  stack=2, locals=4' || chr(10) || '     0: iload_1' || chr(10) || '     1: ifeq 8' || chr(10) || '     4: sipush ' || p_size || chr(10)
+  '(int, long) -> int' || chr(10) || '  flags: public' || chr(10) || '  stack=2, locals=4, args=4' || chr(10) || '     0: iload_1' || chr(10) || '     1: ifeq 8' || chr(10) || '     4: sipush ' || p_size || chr(10)
     || '     7: ireturn' || chr(10) || '     8: iconst_0' || chr(10) || '     9: ireturn'
-    || CASE WHEN p_size % 2 = 0 THEN chr(10) || '  Exception table:' || chr(10) || '    [0, 8) -> 8' || chr(10) || '    [0, 4) -> 8' ELSE '' END,
-  '(java.lang.String[], double[][]) -> void' || chr(10) || '  stack=1, locals=2' || chr(10) || '     0: getstatic part/' || replace(p_brand, '#', '_')
+    || CASE WHEN p_size % 2 = 0 THEN chr(10) || '  Exception table:' || chr(10) || '    [0, 8) -> 8 any' || chr(10) || '    [0, 4) -> 8 any' ELSE '' END,
+  '(java.lang.String[], double[][]) -> void' || chr(10) || '  flags: public static bridge' || chr(10) || '  stack=1, locals=2, args=2' || chr(10) || '     0: getstatic part/' || replace(p_brand, '#', '_')
     || CASE WHEN p_partkey // 4096 > 0 THEN '$' || (p_partkey // 4096) ELSE '' END || '.f' || p_partkey || ':' || CASE WHEN p_size % 2 = 0 THEN 'I' ELSE 'Ljava/lang/String;' END || chr(10)
     || '     3: pop' || chr(10) || '     4: return',
-  '() -> java.util.List' || chr(10) || '  stack=1, locals=1' || chr(10) || '     0: aconst_null' || chr(10) || '     1: areturn'][p_size % 3 + 1] AS listing FROM p""",
+  '() -> java.util.List' || chr(10) || '  flags: public final' || chr(10) || '  stack=1, locals=1, args=1' || chr(10) || '     0: aconst_null' || chr(10) || '     1: areturn'][p_size % 3 + 1] AS listing FROM p""",
     "jvm_constructs": "SELECT 'if' AS kind, 1 AS start, 8 AS stop, count(*) AS n FROM part WHERE p_size % 3 = 0 HAVING count(*) > 0",
     "jvm_blocks": """
 WITH b AS (SELECT unnest([[{'s': 0, 'e': 4, 'n': 2, 'l': 'ifeq'}, {'s': 4, 'e': 8, 'n': 2, 'l': 'ireturn'}, {'s': 8, 'e': 10, 'n': 2, 'l': 'ireturn'}],

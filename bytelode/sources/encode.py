@@ -46,10 +46,12 @@ class Member:
     code: list | None = None  # bytes, or (tag, owner, name, descriptor) for the index of a reference
     stack: int = 2
     locals: int = 4
-    handlers: list[tuple[int, int, int, int]] = field(default_factory=list)
+    handlers: list[tuple] = field(default_factory=list)  # start, stop, handler, and 0 or the caught class's name
+    signature: str | None = None
+    throws: tuple[str, ...] = ()
 
 
-def class_bytes(name: str, fields: list[Member], methods: list[Member], super_name: str = "java/lang/Object", access: int = 0x21, interfaces: tuple[str, ...] = ()) -> bytes:
+def class_bytes(name: str, fields: list[Member], methods: list[Member], super_name: str = "java/lang/Object", access: int = 0x21, interfaces: tuple[str, ...] = (), signature: str | None = None, source: str | None = None) -> bytes:
     pool = Pool()
     attr = lambda k, raw: struct.pack(">HI", pool.utf8(k), len(raw)) + raw
 
@@ -59,13 +61,18 @@ def class_bytes(name: str, fields: list[Member], methods: list[Member], super_na
             attrs.append(attr("ConstantValue", struct.pack(">H", pool.integer(m.constant))))
         if m.code is not None:
             code = b"".join(c if isinstance(c, bytes) else struct.pack(">H", pool.reference(*c)) for c in m.code)
-            table = struct.pack(">H", len(m.handlers)) + b"".join(struct.pack(">4H", *h) for h in m.handlers)
+            table = struct.pack(">H", len(m.handlers)) + b"".join(struct.pack(">4H", *h[:3], pool.one(7, h[3]) if h[3] else 0) for h in m.handlers)
             attrs.append(attr("Code", struct.pack(">HHI", m.stack, m.locals, len(code)) + code + table + b"\0\0"))
+        if m.signature:
+            attrs.append(attr("Signature", struct.pack(">H", pool.utf8(m.signature))))
+        if m.throws:
+            attrs.append(attr("Exceptions", struct.pack(f">{len(m.throws) + 1}H", len(m.throws), *(pool.one(7, t) for t in m.throws))))
         return struct.pack(">4H", m.access, pool.utf8(m.name), pool.utf8(m.descriptor), len(attrs)) + b"".join(attrs)
 
     ids = struct.pack(">3H", access, pool.one(7, name), pool.one(7, super_name)) + struct.pack(">H", len(interfaces)) + b"".join(struct.pack(">H", pool.one(7, i)) for i in interfaces)
     body = b"".join(struct.pack(">H", len(ms)) + b"".join(map(one, ms)) for ms in (fields, methods))
-    return struct.pack(">IHH", 0xCAFEBABE, 0, 61) + pool.bytes() + ids + body + b"\0\0"
+    own = [attr(k, struct.pack(">H", pool.utf8(v))) for k, v in (("Signature", signature), ("SourceFile", source)) if v]
+    return struct.pack(">IHH", 0xCAFEBABE, 0, 61) + pool.bytes() + ids + body + struct.pack(">H", len(own)) + b"".join(own)
 
 
 class Assembly:

@@ -140,7 +140,8 @@ def test_api(spark, folder):
     assert {r.name for r in api.analyze(spark, path, "il").collect()} == {"m", "get_Size", "héllo\x01"}
     units = {r.name: r.text for r in api.analyze(spark, path, "declarations").collect()}
     assert units["demo_A.java"] == "package demo;\n\npublic class A {\n    public void m();\n}\n"
-    assert units["Shapes_Box_1.cs"] == "namespace Shapes;\n\npublic class Box<T> : IDisposable\n{\n    private int Max;\n    public int getpid();\n}\n"
+    native = '[DllImport("libc", EntryPoint = "getpid")] public extern int getpid();'
+    assert units["Shapes_Box_1.cs"] == f"namespace Shapes;\n\n[Obsolete]\npublic class Box<T> : IDisposable\n{{\n    private int Max = 7;\n    public int Size {{ get; }}\n    {native}\n}}\n"
     assert '"returnType":"int"' in api.analyze(spark, path, "json").first().text
     assert {r.name for r in api.analyze(spark, path, "verify").collect()} == {"héllo\x01"}
     assert [r.name for r in api.analyze(spark, path, "detect-obfuscation").collect()] == ["high/names", "info/summary"]
