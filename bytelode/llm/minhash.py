@@ -147,19 +147,27 @@ def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
             for j, y in enumerate(columns):
                 out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
         return out
-    shared = np.intersect1d(np.concatenate(rows), np.concatenate(columns))
-    place = lambda sets: [np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in sets]
-    at_rows, at_columns = place(rows), place(columns)
+    # each shingle of either side gets a number; only those of both sides count, a band of numbers at a time
+    flat = [np.concatenate(x) for x in (rows, columns)]
+    owner = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (rows, columns)]
+    shared = np.intersect1d(*flat)
+    if not len(shared):
+        return out
+    number = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in flat]
+    both = [shared[n] == x for n, x in zip(number, flat, strict=True)]
+    number, owner = [n[k] for n, k in zip(number, both, strict=True)], [o[k] for o, k in zip(owner, both, strict=True)]
+    order = [np.argsort(n, kind="stable") for n in number]
+    number, owner = [n[k] for n, k in zip(number, order, strict=True)], [o[k] for o, k in zip(owner, order, strict=True)]
     step = 2048
 
-    def dense(at: list[np.ndarray], lo: int) -> np.ndarray:
-        m = np.zeros((len(at), min(step, len(shared) - lo)), np.float32)
-        for i, x in enumerate(at):
-            m[i, x[np.searchsorted(x, lo) : np.searchsorted(x, lo + step)] - lo] = 1
+    def dense(side: int, lo: int, height: int) -> np.ndarray:
+        m = np.zeros((height, min(step, len(shared) - lo)), np.float32)
+        i, j = np.searchsorted(number[side], (lo, lo + step))
+        m[owner[side][i:j], number[side][i:j] - lo] = 1
         return m
 
     for lo in range(0, len(shared), step):
-        out += dense(at_rows, lo) @ dense(at_columns, lo).T
+        out += dense(0, lo, len(rows)) @ dense(1, lo, len(columns)).T
     return out
 
 
