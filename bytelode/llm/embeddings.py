@@ -3,9 +3,13 @@
 Vectors are compared only within a partition value (the label). Equal vectors collapse first, with their number. Cells
 come from spherical k-means on a bounded sample; a vector belongs to the cell of its nearest centroid and visits every
 other cell that could hold a partner: if x and y have cosine >= t, x lies in cell d and y in cell p, then
-``y.(c_p - c_d) <= sqrt(1 - t^2) * |c_p - c_d|``. So each vector meets all its partners in its own cell and links are
-complete, not approximate. Cells are compared in blocks of ``BLOCK`` vectors; a block gives counts per vector and the
-star edges of its own components, never its pairs.
+``y.(c_p - c_d) <= sqrt(1 - t^2) * |c_p - c_d|``. Of two cells only one takes visitors from the other, and both sides of a
+link are counted where they meet, so links are complete, not approximate. A cell's own vectors are dealt into row blocks, these
+and the visitors into column blocks, of ``BLOCK`` vectors each; a vector is sent once to a pair of blocks. A pair gives counts per
+vector and the star edges of its own components, never its pairs of vectors.
+
+In data without clusters the bound rules out few cells, and the products grow with the square of a label, as an exact answer
+does there; the copies then grow with that square over ``CELL``.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from bytelode.llm._shared import batched, materialize, runs, table
 from bytelode.llm.graph import components, local_roots
 
 THRESHOLD = 0.93
-BLOCK = 1024
-CELL = 2048
+BLOCK = 2048
+CELL = 4096
+#: What a vector is in a pair of blocks.
+ROW, COLUMN, VISITOR = 1, 2, 4
 #: Bound of the centroids that are broadcast, and of the vectors k-means learns a label's cells from.
 MAX_CENTROIDS = 4096
 SAMPLE = 20_000
@@ -103,7 +109,9 @@ def _cells(distinct: DataFrame, centroids: dict[str, np.ndarray], threshold: flo
                     sim = _unit([vec[int(i)].as_py() for i in at]) @ c.T
                     best = sim.argmax(axis=1)
                     gap = sim[np.arange(len(at)), best][:, None] - sim
-                    i, d = np.nonzero(gap <= reach * spread[p][best] + 1e-9)
+                    near = gap <= reach * spread[p][best] + 1e-9
+                    home, cell = best[:, None], np.arange(len(c))[None, :]
+                    i, d = np.nonzero(near & ((home == cell) | (((home + cell) % 2 == 0) == (home > cell))))
                     rows.append(at[i]), cells.append(d), own.append(best[i] == d)
                 r = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
@@ -126,31 +134,35 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     valid = materialize(_valid(vectors).withColumn("part", F.concat_ws("/", "part", F.octet_length("vec").cast("string"))), "vectors")
     distinct = materialize(valid.groupBy("part", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
     members = materialize(_cells(distinct, _centroids(distinct), threshold), "cells")
-    sizes = members.groupBy("part", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    placed = members.join(sizes, ["part", "cell"]).withColumn("at", F.pmod(F.xxhash64("id", "vec"), "k").cast("int"))
-    every = F.sequence(F.lit(0), F.col("k") - 1)
-    cols = ["part", "cell", "row_block", "col_block", "side", "id", "n", "vec"]
-    sides = placed.filter("own").withColumn("side", F.lit(0)).withColumn("row_block", F.col("at")).withColumn("col_block", F.explode(every)).select(cols).unionByName(
-        placed.withColumn("side", F.lit(1)).withColumn("col_block", F.col("at")).withColumn("row_block", F.explode(every)).select(cols)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = members.groupBy("part", "cell").agg(blocks(F.count_if("own")).alias("rows"), blocks(F.count("*")).alias("columns")).filter("rows > 0")
+    at = lambda n: F.pmod(F.xxhash64("id", "vec"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = members.join(sizes, ["part", "cell"]).withColumn("row_at", F.when(F.col("own"), at("rows"))).withColumn("column_at", at("columns"))
+    cols = ["part", "cell", "row_block", "col_block", "role", "id", "n", "vec"]
+    as_row = placed.filter("own").withColumn("row_block", F.col("row_at")).withColumn("col_block", every("columns"))
+    as_column = placed.withColumn("col_block", F.col("column_at")).withColumn("row_block", every("rows")).filter("not own or row_block <> row_at")
+    sides = as_row.withColumn("role", F.when(F.col("col_block") == F.col("column_at"), ROW + COLUMN).otherwise(ROW)).select(cols).unionByName(
+        as_column.withColumn("role", F.when(F.col("own"), COLUMN).otherwise(COLUMN + VISITOR)).select(cols)
     )
     keys = cols[:4]
 
     def compare(batches):
         for t in runs(batches, keys):
-            side, ids, n = (np.asarray(t.column(c)) for c in ("side", "id", "n"))
-            if not (side == 0).any():
+            role, ids, n = (np.asarray(t.column(c)) for c in ("role", "id", "n"))
+            r, c = np.flatnonzero(role & ROW), np.flatnonzero(role & COLUMN)
+            if not len(r) or not len(c):
                 continue
             v = _unit(t.column("vec").to_pylist())
-            r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            hit = v[r] @ v[c].T >= threshold
-            same = ids[r][:, None] == ids[c][None, :]
-            counts = (hit & ~same) @ n[c]
-            x, y = local_roots(ids[r], ids[c], hit & ~same)
-            left, right = counts > 0, y != ids[c]
-            # counts of the block's own rows, and star edges of both sides
+            hit = (v[r] @ v[c].T >= threshold) & (ids[r][:, None] != ids[c][None, :])
+            x, y = local_roots(ids[r], ids[c], hit)
+            of_rows, of_columns = hit @ n[c], np.where(role[c] & VISITOR, n[r] @ hit, 0)
+            left, right = of_rows > 0, y != ids[c]
+            right |= of_columns > 0
+            # counts and star edges of both sides; a cell's own vectors are counted as rows
             a = np.concatenate([ids[r][left], ids[c][right]])
             root = np.concatenate([x[left], y[right]])
-            k = np.concatenate([counts[left], np.zeros(right.sum(), np.int64)])
+            k = np.concatenate([of_rows[left], of_columns[right]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(root), pa.array(k.astype(np.int64))], ["a", "b", "k"])
 
