@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm._shared import by_bytes, discard, materialize, runs, table
@@ -224,18 +224,33 @@ def _neighbours(rows: DataFrame, need: int, nearest: bool, window: int = WINDOW)
     return apart.unionByName(spread).distinct()
 
 
+def _parts() -> Column:
+    """Into how many parts a region of ``k`` classes is dealt, so that no join gathers a dense one in a task."""
+    return F.ceil(F.col("k") / BLOCK).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (nid, tree, key, k) with the part of its region that each lies in."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("nid"), _parts()).cast("int"))
+
+
+def _in_each_part(per_region: DataFrame) -> DataFrame:
+    """``per_region`` (tree, key, k), a row for each part of the region; regions of up to ``BLOCK`` classes have one."""
+    return per_region.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("k")
+
+
 def _close(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Star edges (a, b) of all links between a region's smaller components and the region: ``open_`` (nid, tree, key, comp)."""
-    regional = ["tree", "key"]
+    """Star edges (a, b) of all links between a region's smaller components and the region: ``open_`` (nid, tree, key, k, comp)."""
+    regional = ["tree", "key", "k"]
     sizes = open_.groupBy(*regional, "comp").agg(F.count("*").alias("c"))
     split = sizes.groupBy(*regional).agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
     few = F.col("all") - F.col("m.c")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     split = materialize(split.filter(few > 0).select(*regional, F.col("m.comp").alias("major"), blocks(few).alias("few_blocks"), blocks(F.col("all")).alias("all_blocks")), "split")
-    placed = open_.join(split, regional)
+    placed = _dealt(open_).join(_in_each_part(split), ["tree", "key", "part"])
     at = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = [*regional, "row_block", "column_block"]
+    keys = ["tree", "key", "row_block", "column_block"]
     minor = placed.filter("comp <> major").withColumn("side", F.lit(0)).withColumn("row_block", at("few_blocks")).withColumn("column_block", every("all_blocks"))
     whole = placed.withColumn("side", F.lit(1)).withColumn("column_block", at("all_blocks")).withColumn("row_block", every("few_blocks"))
     asked = minor.select("nid", *keys, "side").unionByName(whole.select("nid", *keys, "side"))
@@ -304,8 +319,8 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         placed = materialize(
             regions.filter(F.col("k") >= least).join(roots.withColumnRenamed("id", "nid"), "nid", "left").select("nid", "tree", "key", "k", F.coalesce("root", "nid").alias("comp")), "placed"
         )
-        several = placed.groupBy("tree", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("tree", "key")
-        open_ = materialize(placed.join(several, ["tree", "key"], "left_semi"), "open")
+        several = placed.groupBy("tree", "key", "k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        open_ = materialize(_dealt(placed).join(_in_each_part(several), ["tree", "key", "part"], "left_semi").drop("part"), "open")
         discard(placed)
         return open_
 
