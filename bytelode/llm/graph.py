@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,53 @@ def local_roots(rows: np.ndarray, columns: np.ndarray, hit: np.ndarray) -> tuple
         a, b = x, y
 
 
+#: Edges that a task contracts at a time.
+CHUNK = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id of its component) with the components of the edges ``a``, ``b``; never more than these."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        now, low = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(now, root[x], low)
+        np.minimum.at(now, root[y], low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == root).all():
+            far = root != np.arange(len(ids))
+            return ids[far], ids[root[far]]
+        root = now
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the links that a task reads replaced by their stars, ``CHUNK`` edges at a time."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield contracted(held)
+                held, rows = [], 0
+        if rows:
+            yield contracted(held)
+
+    def contracted(held):
+        t = pa.Table.from_batches(held)
+        a, b = stars(np.asarray(t.column("a")), np.asarray(t.column("b")))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (id, root): the smallest id reachable from every id that has an edge.
 
-    Each round points all neighbours of a node at its smallest neighbour, first the larger ones, then the smaller ones;
+    Each round first contracts the edges that lie together in a task, as a map-side combine that shortens paths, and then points all neighbours of a node at its smallest neighbour, first the larger ones, then the smaller ones;
     the edge set becomes a set of stars in a number of rounds that grows with the logarithm of the longest path. Minima
     combine before the shuffle and joins split hot nodes, so no node's neighbours are gathered in one place. Every round
     is written to the shared folder.
@@ -33,7 +77,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(down(edges), "edges")
     state = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = _contract(now)
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = down(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.groupBy("a").agg(F.min("b").alias("m"))
