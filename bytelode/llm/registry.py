@@ -9,6 +9,7 @@ from bytelode.llm.language import op9_language_id
 from bytelode.llm.lines import OP10_SQL, op10_line_dedup
 from bytelode.llm.minhash import OP1_SQL, op1_minhash_forest
 from bytelode.llm.packing import op5_mixture_pack
+from bytelode.llm.resampling import OP12_SQL, op12_importance_resample
 from bytelode.llm.ring import op4_hash_ring
 from bytelode.llm.suffixes import op7_suffix_dedup
 from bytelode.llm.toxicity import op8_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op12_importance_resample": op12_importance_resample,
 }
 
 SQL = {
@@ -32,4 +34,5 @@ SQL = {
     "op3_decontaminate": OP3_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_importance_resample": OP12_SQL,
 }
