@@ -27,7 +27,7 @@ def analyze(spark: SparkSession, path: str, mode: str, wanted: str | None = None
     files = binaries.inputs(spark, path).withColumn("run", F.lit(uuid.uuid4().hex))
     if mode in ASSEMBLY_ONLY and files.filter("kind = 'pe'").isEmpty():
         raise ValueError(f"{mode} needs .NET assemblies")
-    md = pe.decode_images(files).persist()
+    md = pe.stored_images(files)
     if mode == "json":
         return dotnet.json_model(md).select("file_id", F.lit(None).cast("string").alias("name"), F.col("model").alias("text"))
     if mode == "detect-obfuscation":

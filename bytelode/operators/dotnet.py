@@ -10,6 +10,7 @@ from bytelode.functions import names as N
 from bytelode.functions.bytecode import instructions
 from bytelode.functions.literals import argument_literals, constant_literal
 from bytelode.functions.signatures import signature_parts
+from bytelode.rounds import drop, kept
 from bytelode.sources.pe import USER_STRINGS, view
 
 MODULE_TYPE = "<Module>"
@@ -29,13 +30,62 @@ def owned(owners: DataFrame, start: str, members: DataFrame) -> DataFrame:
     return ranges.select("file_id", "owner", F.explode(F.sequence(F.col("start").cast("int"), F.col("stop").cast("int") - 1)).alias("rid"))
 
 
-def type_names(md: DataFrame) -> DataFrame:
-    """file_id, table, rid, namespace, name of defined and referenced types."""
+def _plain_type_names(md: DataFrame) -> DataFrame:
     defs, refs = view(md, 2), view(md, 1)
     one = lambda df, t: df.select("file_id", F.lit(t).alias("table"), "rid", F.col("Namespace").alias("namespace"), F.col("Name").alias("name"))
     return one(defs, 2).unionByName(one(refs, 1))
 
 
+def type_names(md: DataFrame) -> DataFrame:
+    """file_id, table, rid, namespace, name of defined and referenced types, and of type specifications, which have no namespace."""
+    specs = spec_names(md).select("file_id", F.lit(27).alias("table"), "rid", F.lit("").alias("namespace"), "name")
+    return _plain_type_names(md).unionByName(specs)
+
+
+def spec_names(md: DataFrame) -> DataFrame:
+    """file_id, rid, name of type specifications: instances of generic types, arrays and pointers, as text.
+
+    The names come from signatures, whose parts are literal text or point to types; one that points to further specifications is
+    named once all of these are, so each round names the next layer. What a ring or damage leaves without a name shows as ``?``. The
+    names are worked out once a frame of metadata.
+    """
+    if not hasattr(md, "_bytelode_specs"):
+        md._bytelode_specs = _spec_names(md)
+    return md._bytelode_specs
+
+
+def _spec_names(md: DataFrame) -> DataFrame:
+    sigs = view(md, 27).select("file_id", "rid", F.get(signature_parts(F.col("Signature"), "spec"), F.lit(0)).alias("parts"))
+    each = sigs.select("file_id", "rid", F.posexplode_outer("parts").alias("k", "p")).select("file_id", "rid", "k", "p.text", F.col("p.table").alias("table"), F.col("p.rid").alias("ref"))
+    plain = _plain_type_names(md).select("file_id", "table", F.col("rid").alias("ref"), N.clean_generic(F.col("name")).alias("found"))
+    parts = each.join(plain, ["file_id", "table", "ref"], "left").select("file_id", "rid", "k", F.coalesce("text", "found").alias("text"), "table", "ref")
+    # only parts that point to a specification wait
+    waits = F.col("text").isNull() & (F.col("table") == 27)
+    now = kept(parts, "specs")
+    shown = lambda df: df.groupBy("file_id", "rid").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("k", F.coalesce("text", F.lit("?")).alias("t"))))["t"], "").alias("name"), F.count_if(waits).alias("open")
+    )
+    left = now.filter(waits).count()
+    while left:
+        ready = shown(now).filter("open = 0").select("file_id", F.col("rid").alias("ref"), F.col("name").alias("found")).withColumn("table", F.lit(27))
+        after = kept(now.join(ready, ["file_id", "table", "ref"], "left").select("file_id", "rid", "k", F.coalesce("text", "found").alias("text"), "table", "ref"), "specs")
+        drop(now)
+        now, before = after, left
+        left = now.filter(waits).count()
+        if left == before:
+            break
+    return shown(now).select("file_id", "rid", "name")
+
+
+def in_context(text: Column, of_type: Column, of_method: Column | None = None) -> Column:
+    """``text`` with the numbers of generic parameters replaced by the names of the type's and the method's; higher numbers first."""
+    def filled(text: Column, mark: str, names: Column) -> Column:
+        numbered = F.reverse(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n, i: F.struct(i.cast("string").alias("i"), n.alias("n"))))
+        return F.aggregate(numbered, text, lambda t, x: F.replace(t, F.concat(F.lit(mark), x["i"]), x["n"]))
+
+    return filled(text if of_method is None else filled(text, "!!", of_method), "!", of_type)
+
+
 def nested_in(md: DataFrame) -> DataFrame:
     """file_id, rid, parent: the first enclosing row of each nested type."""
     return view(md, 41).groupBy("file_id", F.col("NestedClass").cast("int").alias("rid")).agg(F.min_by("EnclosingClass", "rid").cast("int").alias("parent"))
@@ -114,9 +164,41 @@ def generic_params(md: DataFrame) -> DataFrame:
 
 
 def interfaces(md: DataFrame) -> DataFrame:
-    """Interfaces of each type, in row order."""
-    known = type_names(md).select("file_id", F.col("table").alias("Interface_table"), F.col("rid").alias("Interface_rid"), "name")
-    return view(md, 9).join(known, ["file_id", "Interface_table", "Interface_rid"]).groupBy("file_id", F.col("Class").cast("int").alias("rid")).agg(F.sort_array(F.collect_list(F.struct("rid", "name")))["name"].alias("interfaces"))
+    """Interfaces of each type, in row order; one without a name shows as ``?``."""
+    known = type_names(md).select("file_id", F.col("table").alias("Interface_table"), F.col("rid").alias("Interface_rid"), F.col("name").alias("known"))
+    named = view(md, 9).join(known, ["file_id", "Interface_table", "Interface_rid"], "left").withColumn("name", N.clean_generic(F.coalesce("known", F.lit("?"))))
+    return named.groupBy("file_id", F.col("Class").cast("int").alias("rid")).agg(F.sort_array(F.collect_list(F.struct("rid", "name")))["name"].alias("interfaces"))
+
+
+def base_types(md: DataFrame) -> DataFrame:
+    """file_id, rid, base: the name of the type each type extends, if it extends one other than ``Object``."""
+    known = type_names(md).select("file_id", F.col("table").alias("Extends_table"), F.col("rid").alias("Extends_rid"), "namespace", "name")
+    rows = view(md, 2).filter(F.col("Extends_rid").isNotNull()).select("file_id", "rid", "Extends_table", "Extends_rid").join(known, ["file_id", "Extends_table", "Extends_rid"], "left")
+    root = (F.col("namespace") == "System") & (F.col("name") == "Object")
+    return rows.filter(~F.coalesce(root, F.lit(False))).select("file_id", "rid", N.clean_generic(F.coalesce("name", F.lit("?"))).alias("base"))
+
+
+def parameters(md: DataFrame) -> DataFrame:
+    """file_id, rid, params: each method's parameters as they stand in source, in order.
+
+    Names, directions and defaults come from the parameter table by number; one without a row is ``argN``. A parameter of the last
+    number that has the attribute of open argument lists is ``params``.
+    """
+    rows, defs = view(md, 8), view(md, 6)
+    types = render_types(md, defs, "Signature", "method").filter("i > 0")
+    owner = owned(defs, "ParamList", rows)
+    fixed = constants(md).filter("table = 8").select("file_id", "rid", "literal")
+    many = custom_attributes(md).filter("Parent_table = 8").groupBy("file_id", F.col("Parent_rid").alias("rid")).agg(F.bool_or(F.col("attribute") == "System.ParamArrayAttribute").alias("many"))
+    facts = rows.join(owner, ["file_id", "rid"]).join(fixed, ["file_id", "rid"], "left").join(many, ["file_id", "rid"], "left")
+    facts = facts.select("file_id", F.col("owner").alias("rid"), F.col("Sequence").cast("int").alias("i"), F.col("Flags").alias("flags"), F.col("Name").alias("name"), "literal", "many")
+    joined = types.join(facts, ["file_id", "rid", "i"], "left")
+    out = (F.col("flags").bitwiseAND(3) == 2) & F.col("text").startswith("ref ")
+    shown = F.concat(
+        F.when(F.col("many"), "params ").otherwise(""), F.when(out, F.concat(F.lit("out "), F.substring("text", F.lit(5), F.length("text")))).otherwise(F.col("text")),
+        F.lit(" "), F.coalesce(F.when(F.col("name") != "", F.col("name")), F.concat(F.lit("arg"), (F.col("i") - 1).cast("string"))),
+        F.when(F.col("flags").bitwiseAND(0x1000) != 0, F.coalesce(F.concat(F.lit(" = "), "literal"), F.lit(""))).otherwise(""),
+    )
+    return joined.groupBy("file_id", "rid").agg(F.sort_array(F.collect_list(F.struct("i", shown.alias("p"))))["p"].alias("shown"))
 
 
 def pinvokes(md: DataFrame) -> DataFrame:
@@ -282,7 +364,7 @@ def events(md: DataFrame) -> DataFrame:
     owner = owned(maps, "EventList", rows).join(maps.select("file_id", F.col("rid").alias("owner"), F.col("Parent").cast("int").alias("type_rid")), ["file_id", "owner"]).drop("owner")
     role = lambda bit: F.max_by(F.when(F.col("Semantics").bitwiseAND(bit) != 0, F.col("Method").cast("int")), F.when(F.col("Semantics").bitwiseAND(bit) != 0, F.col("rid")))
     access = sem.groupBy("file_id", "Association_rid").agg(role(8).alias("adder"), role(16).alias("remover")).withColumnRenamed("Association_rid", "rid")
-    known = type_names(md).select("file_id", F.col("table").alias("EventType_table"), F.col("rid").alias("EventType_rid"), F.col("name").alias("type"))
+    known = type_names(md).select("file_id", F.col("table").alias("EventType_table"), F.col("rid").alias("EventType_rid"), N.clean_generic(F.col("name")).alias("type"))
     return rows.join(owner, ["file_id", "rid"]).join(access, ["file_id", "rid"], "left").join(known, ["file_id", "EventType_table", "EventType_rid"], "left").select("file_id", "rid", F.col("Name").alias("name"), "type", "type_rid", "adder", "remover")
 
 
@@ -310,20 +392,23 @@ def source_methods(md: DataFrame) -> DataFrame:
 
 
 def nested_paths(md: DataFrame) -> DataFrame:
-    """file_id, rid, top, rids: of every defined type its outermost type, and the rows below that one down to its own, outer ones first.
+    """file_id, rid, top, rids, ring: of every defined type its outermost type, and the rows below that one down to its own, outer ones first.
 
-    Parents are followed by doubling, so a chain of n levels takes log2(n) joins. Row numbers have 24 bits, which ends chains
-    that damaged files close to a ring.
+    Parents are followed by doubling, so a chain of n levels takes log2(n) rounds, each written before the next. In a damaged file types may lie in a
+    ring: once a type's path meets a row again, it leaves the rounds with ``ring`` true and neither top nor rows.
     """
-    step = nested_in(md).select("file_id", "rid", F.col("parent").alias("top"), F.array("rid").alias("rids"))
-    for _ in range(24):
-        up = step.select("file_id", F.col("rid").alias("top"), F.col("top").alias("above"), F.col("rids").alias("more"))
+    step = kept(nested_in(md).select("file_id", "rid", F.col("parent").alias("top"), F.array("rid").alias("rids"), F.lit(False).alias("ring"), F.lit(True).alias("moved")), "nested")
+    while not step.filter("moved").isEmpty():
+        up = step.select("file_id", F.col("rid").alias("top"), F.col("top").alias("above"), F.col("rids").alias("more"), F.col("ring").alias("into"))
         joined = step.join(up, ["file_id", "top"], "left")
-        if joined.filter("above is not null").isEmpty():
-            break
-        step = joined.select("file_id", "rid", F.coalesce("above", "top").alias("top"), F.concat(F.coalesce("more", F.array().cast("array<int>")), "rids").alias("rids"))
-    own = view(md, 2).select("file_id", "rid").join(step, ["file_id", "rid"], "left")
-    return own.select("file_id", "rid", F.coalesce("top", "rid").alias("top"), F.coalesce("rids", F.array().cast("array<int>")).alias("rids"))
+        rids = F.concat(F.coalesce("more", F.array().cast("array<int>")), "rids")
+        ring = F.col("ring") | F.coalesce("into", F.lit(False)) | (F.size(F.array_distinct(rids)) < F.size(rids))
+        after = joined.select("file_id", "rid", F.when(~ring, F.coalesce("above", "top")).alias("top"), F.when(ring, F.array().cast("array<int>")).otherwise(rids).alias("rids"), ring.alias("ring"), (F.col("above").isNotNull() & ~ring).alias("moved"))
+        after = kept(after, "nested")
+        drop(step)
+        step = after
+    own = view(md, 2).select("file_id", "rid").join(step.drop("moved"), ["file_id", "rid"], "left").withColumn("ring", F.coalesce("ring", F.lit(False)))
+    return own.select("file_id", "rid", F.when(~F.col("ring"), F.coalesce("top", "rid")).alias("top"), F.coalesce("rids", F.array().cast("array<int>")).alias("rids"), "ring")
 
 
 def property_types(md: DataFrame) -> DataFrame:
@@ -341,16 +426,20 @@ def _word(flags: Column, words: dict[int, str], other: str) -> Column:
 
 
 def _generic_lists(md: DataFrame, table: int, name: str) -> DataFrame:
-    return generic_params(md).filter(F.col("table") == table).select("file_id", "rid", F.concat(F.lit("<"), F.array_join("params", ", "), F.lit(">")).alias(name))
+    return generic_params(md).filter(F.col("table") == table).select("file_id", "rid", F.concat(F.lit("<"), F.array_join("params", ", "), F.lit(">")).alias(name), F.col("params").alias(f"{name}_names"))
 
 
 def _member_lines(md: DataFrame, types: DataFrame) -> DataFrame:
-    """file_id, owner, o, m, table, text: a declaration for each field, property, event and method a listing shows."""
+    """file_id, owner, o, m, table, text: a declaration for each field, property, event and method a listing shows.
+
+    ``types`` has file_id, owner, kind, type_name and type_params, the names of the type's generic parameters.
+    """
     set_ = lambda bit: F.col("flags").bitwiseAND(bit) != 0
     word = lambda bit, text: F.when(set_(bit), text).otherwise("")
     access = _word(F.col("flags"), MEMBER_ACCESS, "private ")
     literal = constants(md)
     line = lambda rows, o, table, text: rows.select("file_id", "owner", F.lit(o).alias("o"), F.col("rid").alias("m"), F.lit(table).alias("table"), text.alias("text"))
+    own = lambda c: in_context(F.col(c), F.col("type_params"))
 
     value = literal.filter("table = 4").select("file_id", "rid", "literal")
     f = source_fields(md).join(value, ["file_id", "rid"], "left").join(types, ["file_id", "owner"])
@@ -358,61 +447,72 @@ def _member_lines(md: DataFrame, types: DataFrame) -> DataFrame:
     f = f.filter((F.col("kind") != "enum") | set_(0x10))
     how = F.when(set_(0x40), "const ").otherwise(F.concat(word(0x10, "static "), word(0x20, "readonly ")))
     fixed = F.coalesce(F.concat(F.lit(" = "), "literal"), F.lit(""))
-    f_text = F.when(F.col("kind") == "enum", F.concat("name", fixed, F.lit(","))).otherwise(F.concat(access, how, "type", F.lit(" "), "name", fixed, F.lit(";")))
+    f_text = F.when(F.col("kind") == "enum", F.concat("name", fixed, F.lit(","))).otherwise(F.concat(access, how, own("type"), F.lit(" "), "name", fixed, F.lit(";")))
 
     m0 = view(md, 6).select("file_id", "rid", F.col("Flags").alias("flags"))
-    by = lambda rows, *c: rows.withColumn("own", F.coalesce(*c)).join(m0.withColumnRenamed("rid", "own"), ["file_id", "own"], "left").withColumnRenamed("type_rid", "owner")
+    by = lambda rows, *c: rows.withColumn("own", F.coalesce(*c)).join(m0.withColumnRenamed("rid", "own"), ["file_id", "own"], "left").withColumnRenamed("type_rid", "owner").join(types, ["file_id", "owner"])
     p = by(properties(md).join(property_types(md), ["file_id", "rid"]), "getter", "setter")
     half = lambda c, text: F.when(F.col(c).isNotNull(), text).otherwise("")
-    p_text = F.concat(access, word(0x10, "static "), "type", F.lit(" "), "name", F.lit(" { "), half("getter", "get; "), half("setter", "set; "), F.lit("}"))
+    p_text = F.concat(access, word(0x10, "static "), own("type"), F.lit(" "), "name", F.lit(" { "), half("getter", "get; "), half("setter", "set; "), F.lit("}"))
     e = by(events(md), "adder", "remover")
-    e_text = F.concat(access, word(0x10, "static "), F.lit("event "), F.coalesce("type", F.lit("?")), F.lit(" "), "name", F.lit(";"))
+    e_text = F.concat(access, word(0x10, "static "), F.lit("event "), F.coalesce(own("type"), F.lit("?")), F.lit(" "), "name", F.lit(";"))
 
     native = pinvokes(md).select("file_id", "rid", F.format_string('[DllImport("%s", EntryPoint = "%s")] ', "library", "import_name").alias("native"))
-    m = source_methods(md).join(types, ["file_id", "owner"]).join(native, ["file_id", "rid"], "left").join(_generic_lists(md, 6, "generic"), ["file_id", "rid"], "left")
+    m = source_methods(md).join(types, ["file_id", "owner"]).join(native, ["file_id", "rid"], "left").join(_generic_lists(md, 6, "generic"), ["file_id", "rid"], "left").join(parameters(md), ["file_id", "rid"], "left")
     m = m.filter("kind <> 'delegate'")
-    args = F.concat(F.lit("("), F.array_join("params", ", "), F.lit(");"))
+    both = lambda c: in_context(c, F.col("type_params"), F.col("generic_names"))
+    args = F.concat(F.lit("("), both(F.array_join(F.coalesce("shown", F.array().cast("array<string>")), ", ")), F.lit(");"))
     explicit = F.col("name").contains(".") & ~F.col("name").startswith(".")
-    how = F.concat(word(0x10, "static "), F.when(set_(0x400) & (F.col("kind") != "interface"), "abstract ").otherwise(""), F.when(F.col("native").isNotNull(), "extern ").otherwise(""))
+    virtual = F.when(set_(0x440) & (F.col("flags").bitwiseAND(0x440) == 0x40) & (F.col("kind") != "interface"), F.when(set_(0x100), "virtual ").otherwise("override ")).otherwise("")
+    how = F.concat(word(0x10, "static "), F.when(set_(0x400) & (F.col("kind") != "interface"), "abstract ").otherwise(""), virtual, F.when(F.col("native").isNotNull(), "extern ").otherwise(""))
     m_text = (
         F.when(F.col("name") == ".cctor", F.concat(F.lit("static "), "type_name", F.lit("();"))).when(F.col("name") == ".ctor", F.concat(access, "type_name", args))
-        .otherwise(F.concat(F.coalesce("native", F.lit("")), F.when(explicit, "").otherwise(F.concat(access, how)), "return_type", F.lit(" "), "name", F.coalesce("generic", F.lit("")), args))
+        .otherwise(F.concat(F.coalesce("native", F.lit("")), F.when(explicit, "").otherwise(F.concat(access, how)), both(F.col("return_type")), F.lit(" "), "name", F.coalesce("generic", F.lit("")), args))
     )
     return line(f, 1, 4, f_text).unionByName(line(p, 2, 23, p_text)).unionByName(line(e, 3, 20, e_text)).unionByName(line(m, 4, 6, m_text))
 
 
 def declarations(md: DataFrame) -> DataFrame:
-    """file_id, rid, file_name, source: each top-level type's declaration with its members and nested types, bodies left out.
+    """file_id, rid, file_name, source, error: each top-level type's declaration with its members and nested types, bodies left out.
 
     Every line has a key of row numbers, by which the lines of a top-level type are sorted: a nested type's key starts with its
-    outer type's.
+    outer type's. A file whose nested types form a ring has a row with ``error`` instead of these types; all others are written.
     """
     kind = kinds(md).select("file_id", F.col("rid").alias("owner"), "kind", "is_static")
     names_ = view(md, 2).filter(F.col("Name") != MODULE_TYPE).select("file_id", F.col("rid").alias("owner"), "Name", "Namespace", "Flags", N.clean_generic(F.col("Name")).alias("type_name"))
-    paths = nested_paths(md).withColumnRenamed("rid", "owner")
+    reached = nested_paths(md).withColumnRenamed("rid", "owner")
+    paths = reached.filter(~F.col("ring")).drop("ring")
     types = names_.join(kind, ["file_id", "owner"]).join(paths, ["file_id", "owner"])
     prefix = F.flatten(F.transform("rids", lambda r: F.array(F.lit(3), r)))
     key = lambda *more: F.concat(prefix, F.array(*(F.lit(x) if isinstance(x, int) else x for x in more)))
     depth = lambda more: F.repeat(F.lit("    "), F.size("rids") + more)
     line = lambda rows, k, text: rows.select("file_id", F.col("top").alias("rid"), F.struct(k.alias("k"), text.alias("text")).alias("l"))
 
-    signature = methods(md, "Invoke").groupBy("file_id", "owner").agg(F.min_by(F.struct("return_type", "params"), "rid").alias("invoke"))
+    invoked = methods(md, "Invoke").join(parameters(md), ["file_id", "rid"], "left")
+    signature = invoked.groupBy("file_id", "owner").agg(F.min_by(F.struct("return_type", F.coalesce("shown", F.array().cast("array<string>")).alias("params")), "rid").alias("invoke"))
+    stored = view(md, 4).filter("Name = 'value__'")
+    value = render_types(md, stored, "Signature", "field").join(owned(view(md, 2), "FieldList", view(md, 4)), ["file_id", "rid"]).groupBy("file_id", "owner").agg(F.min("text").alias("stored"))
+    of_type = lambda rows: rows.withColumnRenamed("rid", "owner")
     heads = (
-        types.join(interfaces(md).withColumnRenamed("rid", "owner"), ["file_id", "owner"], "left").join(_generic_lists(md, 2, "generic").withColumnRenamed("rid", "owner"), ["file_id", "owner"], "left")
-        .join(signature, ["file_id", "owner"], "left")
+        types.join(of_type(interfaces(md)), ["file_id", "owner"], "left").join(of_type(_generic_lists(md, 2, "generic")), ["file_id", "owner"], "left").join(of_type(base_types(md)), ["file_id", "owner"], "left")
+        .join(signature, ["file_id", "owner"], "left").join(value, ["file_id", "owner"], "left")
     )
     access = F.when(F.size("rids") > 0, _word(F.col("Flags"), NESTED_ACCESS, "private ")).otherwise(F.when(F.col("Flags").bitwiseAND(7) == 1, "public ").otherwise("internal "))
     named = F.concat("type_name", F.coalesce("generic", F.lit("")))
-    bases = F.coalesce(F.concat(F.lit(" : "), F.array_join("interfaces", ", ")), F.lit(""))
+    extended = F.when((F.col("kind") == "class") & F.col("base").isNotNull(), F.array("base")).when(F.col("kind") == "enum", F.array(F.coalesce("stored", F.lit("int")))).otherwise(F.array().cast("array<string>"))
+    above = F.concat(extended, F.coalesce("interfaces", F.array().cast("array<string>")))
+    bases = F.when(F.size(above) > 0, F.concat(F.lit(" : "), in_context(F.array_join(above, ", "), F.col("generic_names")))).otherwise("")
+    flag = lambda bit, text, *but: F.when((F.col("Flags").bitwiseAND(bit) != 0) & ~F.col("kind").isin(*but) & ~F.col("is_static"), text).otherwise("")
+    how = F.concat(F.when(F.col("is_static"), "static ").otherwise(""), flag(0x80, "abstract ", "interface", "struct", "delegate"), flag(0x100, "sealed ", "interface", "struct", "enum", "delegate"))
     delegate = F.col("kind") == "delegate"
-    head = F.when(delegate & F.col("invoke").isNotNull(), F.concat(access, F.lit("delegate "), "invoke.return_type", F.lit(" "), named, F.lit("("), F.array_join("invoke.params", ", "), F.lit(");"))).otherwise(
-        F.concat(access, F.when(F.col("is_static"), "static ").otherwise(""), "kind", F.lit(" "), named, bases, F.lit("\n"), depth(0), F.lit("{"))
+    head = F.when(delegate & F.col("invoke").isNotNull(), F.concat(access, F.lit("delegate "), in_context(F.col("invoke.return_type"), F.col("generic_names")), F.lit(" "), named, F.lit("("), in_context(F.array_join("invoke.params", ", "), F.col("generic_names")), F.lit(");"))).otherwise(
+        F.concat(access, how, "kind", F.lit(" "), named, bases, F.lit("\n"), depth(0), F.lit("{"))
     )
     spaces = heads.filter((F.size("rids") == 0) & (F.col("Namespace") != ""))
     lines = line(spaces, key(-1), F.concat(F.lit("namespace "), "Namespace", F.lit(";\n")))
     lines = lines.unionByName(line(heads, key(0, 1), F.concat(depth(0), head)))
     lines = lines.unionByName(line(heads.filter(~(delegate & F.col("invoke").isNotNull())), key(4), F.concat(depth(0), F.lit("}"))))
-    members = _member_lines(md, types.select("file_id", "owner", "kind", "type_name"))
+    members = _member_lines(md, heads.select("file_id", "owner", "kind", "type_name", F.col("generic_names").alias("type_params")))
     tagged = attribute_lines(md).groupBy("file_id", F.col("Parent_table").alias("table"), F.col("Parent_rid").alias("m")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("rid", "line")))["line"], " ").alias("tags"))
     placed = members.join(types.select("file_id", "owner", "top", "rids"), ["file_id", "owner"]).join(tagged, ["file_id", "table", "m"], "left")
     lines = lines.unionByName(line(placed, key(1, F.col("o"), F.col("m")), F.concat(depth(1), F.coalesce(F.concat("tags", F.lit(" ")), F.lit("")), "text")))
@@ -420,7 +520,10 @@ def declarations(md: DataFrame) -> DataFrame:
     lines = lines.unionByName(line(of_types, key(0, 0), F.concat(depth(0), "tags")))
     text = lines.groupBy("file_id", "rid").agg(F.concat(F.array_join(F.sort_array(F.collect_list("l"))["text"], "\n"), F.lit("\n")).alias("source"))
     tops = names_.withColumnRenamed("owner", "rid")
-    return tops.join(text, ["file_id", "rid"]).select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), "source")
+    written = tops.join(text, ["file_id", "rid"]).select("file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".cs").alias("file_name"), "source", F.lit(None).cast("string").alias("error"))
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    rings = reached.filter("ring").select("file_id").distinct().select("file_id", none("int", "rid"), none("string", "file_name"), none("string", "source"), F.lit("nested types form a ring").alias("error"))
+    return written.unionByName(rings)
 
 
 def constants(md: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from bytelode.operators import dotnet
 from bytelode.session import table
 from bytelode.sources import binaries, encode, pe
 
-OBJECT, DISPOSABLE, CLONEABLE, HANDLER, OBSOLETE = 1, 2, 3, 4, 5
+OBJECT, DISPOSABLE, CLONEABLE, HANDLER, OBSOLETE, LIST, COMPONENT = 1, 2, 3, 4, 5, 6, 7
 
 
 def _supplier_image(nation: str, keys: list[int]) -> bytes:
@@ -26,20 +26,27 @@ def _supplier_image(nation: str, keys: list[int]) -> bytes:
     a.add(35, 8, 0, 0, 0, 0, b"", "System.Runtime", "", b"")
     for name in ("Object", "IDisposable", "ICloneable", "EventHandler", "ObsoleteAttribute"):
         a.add(1, (35, 1), name, "System")
+    a.add(1, (35, 1), "List`1", "System.Collections.Generic")
+    a.add(1, (35, 1), "Component", "System.ComponentModel")
+    a.add(27, b"\x15\x12" + pe.compressed(LIST << 2 | 1) + b"\x01\x0e")
     a.add(10, (1, OBSOLETE), ".ctor", b"\x20\x01\x01\x0e")
     a.add(10, (1, DISPOSABLE), "Dispose", b"\x20\x00\x01")
     a.add(17, b"\x07\x02\x08\x0e")
     a.add(26, f"lib{nation}")
     a.add(2, 0, "<Module>", "", 0, 1, 1)
-    fields = methods = properties = events = 0
+    fields = methods = properties = events = params = 0
 
-    def method(flags: int, name: str, signature: bytes, body: int) -> int:
-        nonlocal methods
-        methods = a.add(6, body, 0, flags, name, signature, 1)
+    def method(flags: int, name: str, signature: bytes, body: int, *names: str) -> int:
+        nonlocal methods, params
+        methods = a.add(6, body, 0, flags, name, signature, params + 1)
+        for i, n in enumerate(names, 1):
+            params = a.add(8, 0, i, n)
         return methods
 
     for k in keys:
-        own = a.add(2, 1, f"S{k}" + ("`2" if k % 7 == 0 else ""), "Supply", (1, OBJECT), fields + 1, methods + 1)
+        flags = 1 | (0x80 if k % 10 == 2 else 0x100 if k % 10 == 3 else 0)
+        base = (27, 1) if k % 11 == 0 else (1, COMPONENT if k % 11 == 1 else OBJECT)
+        own = a.add(2, flags, f"S{k}" + ("`2" if k % 7 == 0 else ""), "Supply", base, fields + 1, methods + 1)
         fields = a.add(4, 0x8056, f"C{k}", b"\x06\x08")
         a.add(11, 8, (4, fields), struct.pack("<i", k))
         fields = a.add(4, 1, f"<P{k}>k__BackingField", b"\x06\x0e")
@@ -57,7 +64,7 @@ def _supplier_image(nation: str, keys: list[int]) -> bytes:
                 a.add(24, bit, method(0x806, f"{role}_E{k}", b"\x20\x01\x01\x12" + pe.compressed(HANDLER << 2 | 1), a.body(b"\x2a")), (20, events))
         method(0x16, f"Run{k}", b"\x00\x00\x01", a.body(b"\x14\x28" + struct.pack("<I", 0x06000000 | getter) + b"\x26\x2a", 1))
         if k % 6 == 0:
-            a.add(28, 0, (6, method(0x2016, f"Native{k}", b"\x00\x01\x08\x08", 0)), f"fn{k}", 1)
+            a.add(28, 0, (6, method(0x2016, f"Native{k}", b"\x00\x01\x08\x08", 0, "count")), f"fn{k}", 1)
         if k % 3 == 0:
             a.add(9, own, (1, DISPOSABLE))
             a.add(25, own, (6, method(0x1E1, "System.IDisposable.Dispose", b"\x20\x00\x01", a.body(b"\x2a"))), (10, 2))
@@ -93,7 +100,7 @@ def supplier_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pe.decode_images(supplier_images(spark, sf_dir)).persist()  # several relations are cut from it
+    return pe.stored_images(supplier_images(spark, sf_dir))
 
 
 def _types(md: DataFrame) -> DataFrame:

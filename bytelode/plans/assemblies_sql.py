@@ -34,12 +34,13 @@ SELECT file_id, 'Supply.' || type_name AS name FROM s WHERE type_name IN ('S1',
     + r"""
 SELECT file_id, 'Supply_S' || k || CASE WHEN k % 7 = 0 THEN '_2' ELSE '' END || '.cs' AS file_name, concat_ws(chr(10), 'namespace Supply;', '',
   CASE WHEN k % 5 = 0 THEN '[Obsolete("use \"' || nation || '\"")]' END,
-  'public class S' || k || CASE WHEN k % 7 = 0 THEN '<T, U>' ELSE '' END || CASE WHEN k % 9 = 0 THEN ' : IDisposable, ICloneable' WHEN k % 3 = 0 THEN ' : IDisposable' ELSE '' END, '{',
+  'public ' || CASE k % 10 WHEN 2 THEN 'abstract ' WHEN 3 THEN 'sealed ' ELSE '' END || 'class S' || k || CASE WHEN k % 7 = 0 THEN '<T, U>' ELSE '' END
+  || coalesce(' : ' || nullif(concat_ws(', ', CASE k % 11 WHEN 0 THEN 'List<string>' WHEN 1 THEN 'Component' END, CASE WHEN k % 3 = 0 THEN 'IDisposable' END, CASE WHEN k % 9 = 0 THEN 'ICloneable' END), ''), ''), '{',
   '    public const int C' || k || ' = ' || k || ';',
   '    public string P' || k || ' { get; ' || CASE WHEN k % 2 = 0 THEN 'set; ' ELSE '' END || '}',
   CASE WHEN k % 4 = 0 THEN '    public event EventHandler E' || k || ';' END,
   '    public static void Run' || k || '();',
-  CASE WHEN k % 6 = 0 THEN '    [DllImport("lib' || nation || '", EntryPoint = "fn' || k || '")] public static extern int Native' || k || '(int);' END,
+  CASE WHEN k % 6 = 0 THEN '    [DllImport("lib' || nation || '", EntryPoint = "fn' || k || '")] public static extern int Native' || k || '(int count);' END,
   CASE WHEN k % 3 = 0 THEN '    void System.IDisposable.Dispose();' END,
   CASE WHEN k % 8 = 7 THEN concat_ws(chr(10), '    public class Inner' || k, '    {', '        private class Deep' || k, '        {', '            public bool Dive' || k || '();', '        }', '    }') END,
   '}', '') AS source FROM s""",

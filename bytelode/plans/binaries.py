@@ -221,7 +221,7 @@ def region_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pe.decode_images(region_images(spark, sf_dir)).persist()  # several relations are cut from it
+    return pe.stored_images(region_images(spark, sf_dir))
 
 
 def pe_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelode.rounds import kept
+
 #: Fixed values (ECMA-335 II.24.2.6): the tables each kind of coded index can point to, in tag order; -1 is unused.
 CODED = {
     "TypeDefOrRef": (2, 1, 27), "HasConstant": (4, 8, 23), "HasFieldMarshal": (4, 8), "HasDeclSecurity": (2, 6, 32),
@@ -245,6 +247,11 @@ def decode_images(files: DataFrame) -> DataFrame:
     return files.filter("kind = 'pe'").select("file_id", "content").mapInArrow(run, MD)
 
 
+def stored_images(files: DataFrame) -> DataFrame:
+    """``decode_images``, decoded once and cut by metadata table, for uses that take several relations from it: each reads its tables only."""
+    return kept(decode_images(files), "metadata", "table")
+
+
 def view(md: DataFrame, table: int) -> DataFrame:
     """One metadata table with its columns by name; a coded index becomes ``X_table`` and ``X_rid`` (null for none)."""
     cols: list[Column] = [F.col("file_id"), F.col("rid")]
