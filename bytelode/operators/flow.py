@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bytelode.rounds import drop, kept
+
 GOTO = r"^(goto|goto_w|br|br\.s|leave|leave\.s)$"
 SWITCH = r"^(tableswitch|lookupswitch|switch)$"
 #: Instructions after which control never goes on to the next one.
-ENDS = r"^([ilfda]?return|athrow|ret|throw|rethrow|endfinally|jmp)$"
+ENDS = r"^([ilfda]?return|athrow|ret|throw|rethrow|endfinally|endfilter|jmp)$"
 
 
 def _is(pattern: str) -> Column:
@@ -155,3 +157,41 @@ def switch_arms(instr: DataFrame, keys: list[str]) -> DataFrame:
 def unreferenced_labels(instr: DataFrame, keys: list[str], labels: DataFrame) -> DataFrame:
     """``labels`` (keys, offset) that no jump goes to."""
     return labels.join(jumps(instr, keys).select(*keys, F.col("target").alias("offset")).distinct(), [*keys, "offset"], "left_anti")
+
+
+def threaded_jumps(instr: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, kind, target, final, hops, ring: every jump with the place it ends at once gotos that only go to a goto are skipped.
+
+    Chains of gotos are halved each round, so a chain of n takes log2(n) rounds. Gotos that only lead round to one another have no end: a jump to them is a ``ring``
+    and keeps its target.
+    """
+    j = jumps(instr, keys)
+    links = j.filter("kind = 'goto'").select(*keys, "source", "target")
+    at = links.select(*keys, F.col("source").alias("target"), F.col("target").alias("further"))
+    step = kept(links.join(at, [*keys, "target"]).select(*keys, F.col("source").alias("at"), F.col("target").alias("end"), F.lit(1).alias("hops"), F.lit(True).alias("moved")), "gotos")
+    # ``at`` is a goto that goes to a goto; ``end`` is the last goto known behind it
+    size = links.groupBy(*keys).agg(F.count("*").alias("n"))
+    while not step.filter("moved").isEmpty():
+        up = step.select(*keys, F.col("at").alias("end"), F.col("end").alias("beyond"), F.col("hops").alias("more"))
+        joined = step.join(up, [*keys, "end"], "left").join(size, keys)
+        hops = F.col("hops") + F.coalesce("more", F.lit(0))
+        ring = hops > F.col("n")
+        after = kept(joined.select(*keys, "at", F.coalesce("beyond", "end").alias("end"), F.when(ring, F.col("n") + 1).otherwise(hops).cast("int").alias("hops"), (F.col("beyond").isNotNull() & ~ring).alias("moved")), "gotos")
+        drop(step)
+        step = after
+    ends = step.join(size, keys).join(links.select(*keys, F.col("source").alias("end"), F.col("target").alias("last")), [*keys, "end"])
+    ends = ends.select(*keys, F.col("at").alias("target"), "last", "hops", (F.col("hops") > F.col("n")).alias("ring"))
+    # the first goto a jump meets may go to no further one
+    single = links.join(ends.select(*keys, F.col("target").alias("source")), [*keys, "source"], "left_anti").select(*keys, F.col("source").alias("target"), F.col("target").alias("last"), F.lit(0).alias("hops"), F.lit(False).alias("ring"))
+    out = j.join(ends.unionByName(single), [*keys, "target"], "left")
+    met = F.col("last").isNotNull() & ~F.coalesce("ring", F.lit(False))
+    return out.select(*keys, "source", "kind", "target", F.when(met, F.col("last")).otherwise(F.col("target")).alias("final"), F.when(met, F.col("hops") + 1).otherwise(0).alias("hops"), F.coalesce("ring", F.lit(False)).alias("ring"))
+
+
+def dropped_labels(instr: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, offset, kind of what jump threading leaves over: ``label`` where no jump ends any more, ``goto`` that only goes to the next instruction."""
+    t = threaded_jumps(instr, keys)
+    gone = t.select(*keys, F.col("target").alias("offset")).distinct().join(t.select(*keys, F.col("final").alias("offset")).distinct(), [*keys, "offset"], "left_anti")
+    after = instr.select(*keys, F.col("offset").alias("source"), (F.col("offset") + F.col("size")).alias("behind"))
+    idle = t.filter("kind = 'goto'").join(after, [*keys, "source"]).filter("final = behind and not ring").select(*keys, F.col("source").alias("offset"), F.lit("goto").alias("kind"))
+    return gone.withColumn("kind", F.lit("label")).unionByName(idle)

@@ -238,3 +238,26 @@ def declarations(named: DataFrame, rows: DataFrame) -> DataFrame:
     return named.join(body, "class_id", "left").select(
         "class_id", N.file_name(package, F.translate(F.regexp_extract("this_name", "([^/]*)$", 1), "$", "_"), ".java").alias("file_name"), F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source")
     )
+
+
+def concatenations(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """class_id, ord, offset, text: string concatenations behind dynamic calls, as the source has them, with ``argN`` for the Nth value on the stack.
+
+    A call site names a bootstrap method and its arguments. Where that is the recipe form, U+0001 in the recipe stands for the next value, U+0002 for the next
+    constant; where it is the plain form, all values are joined. Other bootstraps give no row. All references lie in the row's own pool, so nothing is shuffled for them.
+    """
+    sites = F.transform(F.filter("pool", lambda c: c["tag"] == 18), lambda c: F.struct(c["idx"].cast("long").alias("ref"), F.get(F.col("bootstraps"), c["a"]).alias("b"), _string(_entry(c["b"], 12)["b"]).alias("descriptor")))
+    each = _aligned(classes.filter("error is null")).select("class_id", "at", F.inline(sites))
+    handle = _entry(_entry(F.col("b.ref"), 15)["b"], *METHOD_TAGS)
+    named = each.withColumn("owner", _class(handle["a"])).withColumn("made", _string(_entry(handle["b"], 12)["a"])).filter("owner = 'java/lang/invoke/StringConcatFactory'")
+    quoted = lambda t: F.concat(F.lit('"'), _escaped(t), F.lit('"'))
+    const = lambda i: F.coalesce(F.when(_entry(i, 8).isNotNull(), quoted(_string(_entry(i, 8)["a"]))), _class(i), _entry(i, 3, 4, 5, 6)["num"], F.lit("?"))
+    tokens = F.regexp_extract_all(_string(_entry(F.get("b.args", F.lit(0)), 8)["a"]), F.lit("([\x01\x02]|[^\x01\x02]+)"), F.lit(1))
+    named = named.withColumn("tokens", tokens).withColumn("constants", F.transform(F.slice("b.args", 2, F.size("b.args")), const)).withColumn("n", F.size(N.parameter_texts(F.col("descriptor"))))
+    nth = lambda mark, i: F.size(F.filter(F.slice("tokens", 1, i + 1), lambda t: t == mark)) - 1
+    part = lambda t, i: F.when(t == "\x01", F.concat(F.lit("arg"), nth("\x01", i).cast("string"))).when(t == "\x02", F.coalesce(F.get("constants", nth("\x02", i)), F.lit("?"))).otherwise(quoted(t))
+    plain = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("arg"), i.cast("string")))
+    parts = F.when(F.col("made") == "makeConcatWithConstants", F.transform("tokens", part)).when((F.col("made") == "makeConcat") & (F.col("n") > 0), plain)
+    shown = named.select("class_id", "ref", F.array_join(parts, " + ").alias("text")).filter("text is not null")
+    calls = method_instructions(rows).filter("name = 'invokedynamic'").select("class_id", "ord", "offset", "ref")
+    return calls.join(shown, ["class_id", "ref"]).select("class_id", "ord", "offset", "text")

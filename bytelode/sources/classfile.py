@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from bytelode.rounds import kept
+
 #: Constant pool tags with their layout after the tag byte.
 POOL = {3: ">i", 4: ">f", 5: ">q", 6: ">d", 7: ">H", 8: ">H", 9: ">HH", 10: ">HH", 11: ">HH", 12: ">HH", 15: ">BH", 16: ">H", 17: ">HH", 18: ">HH", 19: ">H", 20: ">H"}
 
@@ -151,3 +153,8 @@ def decode_classes(blobs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, arrow)
 
     return blobs.select("class_id", "bytes", "error").mapInArrow(run, CLASS)
+
+
+def stored_classes(blobs: DataFrame) -> DataFrame:
+    """``decode_classes``, decoded once and written, for uses that take several relations from it."""
+    return kept(decode_classes(blobs), "classes")

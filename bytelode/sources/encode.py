@@ -5,8 +5,45 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+from bytelode.functions.opcodes import cil_opcodes, jvm_opcodes
 from bytelode.sources.pe import CODED, SCHEMAS, compressed, widths
 
+_NUMBERS = {"byte": "b", "short": "h", "cp1": "B", "local": "B", "atype": "B", "u1": "B", "u2": "H", "i1": "b", "i4": "i", "i8": "q", "r4": "f", "r8": "d", "token": "I"}
+
+
+def assemble(lines: list, machine: str) -> tuple[list, dict[str, int]]:
+    """The code of ``lines``, as bytes and references, and the offset of each label.
+
+    A line is a label, or a tuple of a mnemonic and its operands: numbers, labels of jumps (all in their long forms), and references as ``Member`` takes them.
+    """
+    table = jvm_opcodes() if machine == "jvm" else cil_opcodes()
+    codes = {name: (op, kind) for op, (name, kind) in table.items()}
+    order, start = (">", 0) if machine == "jvm" else ("<", 1)
+    parts, at, places, waiting = [], 0, {}, []
+    for line in lines:
+        if isinstance(line, str):
+            places[line] = at
+            continue
+        name, *operands = line
+        op, kind = codes[name]
+        head = bytes([0xFE, op & 0xFF]) if op > 0xFF else bytes([op])
+        if kind in ("branch2", "branch4"):
+            size = len(head) + int(kind[-1])
+            waiting.append((len(parts), head, "h" if kind == "branch2" else "i", operands[0], at + size * start))
+            parts.append(b"")
+        elif kind in ("cp2", "cp2x2"):
+            parts += [head, operands[0], *([bytes(operands[1:] or (0, 0))] if kind == "cp2x2" else [])]
+            size = 3 + 2 * (kind == "cp2x2")
+        else:
+            fmt = "Bb" if kind == "iinc" else _NUMBERS.get(kind, "")
+            raw = head + struct.pack(order + fmt, *operands)
+            parts.append(raw)
+            size = len(raw)
+        at += size
+    for i, head, fmt, label, base in waiting:
+        parts[i] = head + struct.pack(order + fmt, places[label] - base)
+    return parts, places
+
 
 class Pool:
     """A constant pool that numbers each entry once."""
@@ -33,6 +70,15 @@ class Pool:
         nat = self._put(struct.pack(">BHH", 12, self.utf8(name), self.utf8(descriptor)))
         return self._put(struct.pack(">BHH", tag, self.one(7, owner), nat))
 
+    def dynamic(self, bootstrap: int, name: str, descriptor: str) -> int:
+        return self._put(struct.pack(">BHH", 18, bootstrap, self._put(struct.pack(">BHH", 12, self.utf8(name), self.utf8(descriptor)))))
+
+    def bootstrap(self, owner: str, name: str, descriptor: str, constants: tuple) -> bytes:
+        """An entry of the bootstrap table: a static method and its arguments."""
+        handle = self._put(struct.pack(">BBH", 15, 6, self.reference(10, owner, name, descriptor)))
+        args = [self.integer(c) if isinstance(c, int) else self.one(8, c) for c in constants]
+        return struct.pack(f">{len(args) + 2}H", handle, len(args), *args)
+
     def bytes(self) -> bytes:
         return struct.pack(">H", len(self.at) + 1) + b"".join(self.at)
 
@@ -43,7 +89,7 @@ class Member:
     descriptor: str
     access: int = 1
     constant: int | None = None
-    code: list | None = None  # bytes, or (tag, owner, name, descriptor) for the index of a reference
+    code: list | None = None  # bytes, or (tag, owner, name, descriptor) for the index of a reference, (18, bootstrap, name, descriptor) for one of a dynamic call
     stack: int = 2
     locals: int = 4
     handlers: list[tuple] = field(default_factory=list)  # start, stop, handler, and 0 or the caught class's name
@@ -51,7 +97,7 @@ class Member:
     throws: tuple[str, ...] = ()
 
 
-def class_bytes(name: str, fields: list[Member], methods: list[Member], super_name: str = "java/lang/Object", access: int = 0x21, interfaces: tuple[str, ...] = (), signature: str | None = None, source: str | None = None) -> bytes:
+def class_bytes(name: str, fields: list[Member], methods: list[Member], super_name: str = "java/lang/Object", access: int = 0x21, interfaces: tuple[str, ...] = (), signature: str | None = None, source: str | None = None, bootstraps: tuple[tuple, ...] = ()) -> bytes:
     pool = Pool()
     attr = lambda k, raw: struct.pack(">HI", pool.utf8(k), len(raw)) + raw
 
@@ -60,7 +106,7 @@ def class_bytes(name: str, fields: list[Member], methods: list[Member], super_na
         if m.constant is not None:
             attrs.append(attr("ConstantValue", struct.pack(">H", pool.integer(m.constant))))
         if m.code is not None:
-            code = b"".join(c if isinstance(c, bytes) else struct.pack(">H", pool.reference(*c)) for c in m.code)
+            code = b"".join(c if isinstance(c, bytes) else struct.pack(">H", pool.one(*c) if len(c) == 2 else pool.dynamic(*c[1:]) if c[0] == 18 else pool.reference(*c)) for c in m.code)
             table = struct.pack(">H", len(m.handlers)) + b"".join(struct.pack(">4H", *h[:3], pool.one(7, h[3]) if h[3] else 0) for h in m.handlers)
             attrs.append(attr("Code", struct.pack(">HHI", m.stack, m.locals, len(code)) + code + table + b"\0\0"))
         if m.signature:
@@ -72,6 +118,8 @@ def class_bytes(name: str, fields: list[Member], methods: list[Member], super_na
     ids = struct.pack(">3H", access, pool.one(7, name), pool.one(7, super_name)) + struct.pack(">H", len(interfaces)) + b"".join(struct.pack(">H", pool.one(7, i)) for i in interfaces)
     body = b"".join(struct.pack(">H", len(ms)) + b"".join(map(one, ms)) for ms in (fields, methods))
     own = [attr(k, struct.pack(">H", pool.utf8(v))) for k, v in (("Signature", signature), ("SourceFile", source)) if v]
+    if bootstraps:
+        own.append(attr("BootstrapMethods", struct.pack(">H", len(bootstraps)) + b"".join(pool.bootstrap(*b) for b in bootstraps)))
     return struct.pack(">IHH", 0xCAFEBABE, 0, 61) + pool.bytes() + ids + body + struct.pack(">H", len(own)) + b"".join(own)
 
 
@@ -119,13 +167,21 @@ class Assembly:
         self.rows.setdefault(table, []).append(row)
         return len(self.rows[table])
 
-    def body(self, code: bytes, locals_row: int = 0) -> int:
-        """Place of a method body; the section starts at 0x2000. ``locals_row`` is the row of its local variables' signature."""
+    def body(self, code: bytes, locals_row: int = 0, handlers: tuple[tuple, ...] = ()) -> int:
+        """Place of a method body; the section starts at 0x2000. ``locals_row`` is the row of its local variables' signature.
+
+        ``handlers`` are clauses: flags, try start and length, start and length, and a type's token or the filter's place.
+        """
         while len(self.code) % 4:
             self.code.append(0)
         at = 0x2000 + 72 + len(self.code)
-        self.code += bytes([len(code) << 2 | 2]) if len(code) < 64 and not locals_row else struct.pack("<HHII", 0x3003, 8, len(code), locals_row and 0x11000000 | locals_row)
+        tiny = len(code) < 64 and not locals_row and not handlers
+        self.code += bytes([len(code) << 2 | 2]) if tiny else struct.pack("<HHII", 0x300B if handlers else 0x3003, 8, len(code), locals_row and 0x11000000 | locals_row)
         self.code += code
+        if handlers:
+            while len(self.code) % 4:
+                self.code.append(0)
+            self.code += b"\x41" + (4 + 24 * len(handlers)).to_bytes(3, "little") + b"".join(struct.pack("<6I", *h) for h in handlers)
         return at
 
     def bytes(self) -> bytes:
