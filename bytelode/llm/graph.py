@@ -71,12 +71,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round first contracts the edges that lie together in a task, as a map-side combine that shortens paths, and then points all neighbours of a node at its smallest neighbour, first the larger ones, then the smaller ones;
     the edge set becomes a set of stars in a number of rounds that grows with the logarithm of the longest path. Minima
     combine before the shuffle and joins split hot nodes, so no node's neighbours are gathered in one place. Every round
-    is written to the shared folder.
+    is written to the shared folder. Once one task can hold what is left (``CHUNK`` edges), its contraction is the result.
     """
     down = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(down(edges), "edges")
     state = None
     while True:
+        sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sums == state or sums[0] <= CHUNK:
+            found = now if sums == state else _contract(now.coalesce(1))
+            ends = found.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(found.select(F.col("b").alias("id"), F.col("b").alias("root")))
+            roots = materialize(ends.distinct(), "roots")
+            discard(now)
+            return roots
+        state = sums
         near = _contract(now)
         both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -88,10 +96,14 @@ def components(edges: DataFrame) -> DataFrame:
         )
         discard(now)
         now = after
-        sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if sums == state:
-            ends = now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")))
-            roots = materialize(ends.distinct(), "roots")
-            discard(now)
-            return roots
-        state = sums
+
+
+def united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (id, root) with further ``links`` (a, b): only the links between different roots are searched."""
+    by = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    named = links.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    more = components(named)
+    moved = roots.join(more.select(F.col("id").alias("root"), F.col("root").alias("further")), "root", "left").select("id", F.coalesce("further", "root").alias("root"))
+    out = materialize(moved.unionByName(more.join(roots, "id", "left_anti").select("id", "root")), "roots")
+    discard(more, roots)
+    return out

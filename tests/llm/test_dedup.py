@@ -96,7 +96,9 @@ def test_minhash_edges(spark):
     ]
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("chunk", [4, 1 << 20])
+def test_components_of_paths_and_stars(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.id: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}}
