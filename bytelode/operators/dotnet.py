@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from bytelode.functions import names as N
 from bytelode.functions.bytecode import instructions
 from bytelode.functions.literals import argument_literals, constant_literal
+from bytelode.functions.search import names_missing_in
 from bytelode.functions.signatures import signature_parts
 from bytelode.rounds import drop, kept
 from bytelode.sources.pe import USER_STRINGS, view
@@ -346,9 +347,11 @@ def verify(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
     if exact:
         words = sources.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"(?U)([\w$]+)"), F.lit(1)))).alias("name"))
         return wanted.join(words, ["file_id", "name"], "left_anti")
-    # one text a file: the join is on the file, the search on the joined row
+    # a row a file: its text is searched once for all its names
     texts = sources.groupBy("file_id").agg(F.array_join(F.collect_list("source"), "\n").alias("source"))
-    return wanted.join(texts, "file_id", "left").filter(~F.coalesce(F.col("source").contains(F.col("name")), F.lit(False))).select("file_id", "category", "name")
+    names = wanted.groupBy("file_id").agg(F.collect_set("name").alias("names"))
+    missing = names.join(texts, "file_id", "left").select("file_id", F.explode(names_missing_in(F.col("source"), F.col("names"))).alias("name"))
+    return wanted.join(missing, ["file_id", "name"]).select("file_id", "category", "name")
 
 
 def verify_summary(md: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:

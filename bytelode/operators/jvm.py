@@ -104,6 +104,13 @@ def source_members(rows: DataFrame) -> DataFrame:
     return rows.filter(field | ((F.col("kind") == "method") & ~bit(0x1000) & ~bit(0x40)))
 
 
+def enum_utilities() -> Column:
+    """Whether a member of an enum is the compiler's own: ``values``, ``valueOf``, ``$values`` and the constructor of name and number."""
+    name, descriptor = F.col("name"), F.col("descriptor")
+    made = ((name == "values") & descriptor.startswith("()[L")) | ((name == "valueOf") & descriptor.startswith("(Ljava/lang/String;)L")) | (name == "$values")
+    return (F.col("kind") == "method") & (made | ((name == "<init>") & descriptor.startswith("(Ljava/lang/String;I)")))
+
+
 def method_instructions(rows: DataFrame) -> DataFrame:
     return instructions(rows.filter("kind = 'method'"), ["class_id", "ord"], "jvm")
 
@@ -202,7 +209,10 @@ def switch_sizes(instr: DataFrame) -> DataFrame:
 
 
 def declarations(named: DataFrame, rows: DataFrame) -> DataFrame:
-    """class_id, file_name, source: each class's declaration with the members a listing shows, bodies left out; generic types where there are any."""
+    """class_id, file_name, source: each class's declaration with the members a listing shows, bodies left out; generic types where there are any.
+
+    An enum begins with its constants, which are no fields, and the compiler's own members of enums are left out.
+    """
     rows = rows.withColumn("g", generic_signature(F.col("signature")))
     last = F.get("g.types", F.size("g.types") - 1)
     own_params = F.when(F.size("g.params") > 0, F.concat(F.lit("<"), F.array_join("g.params", ", "), F.lit("> "))).otherwise("")
@@ -220,7 +230,12 @@ def declarations(named: DataFrame, rows: DataFrame) -> DataFrame:
         .when(F.col("name") == "<clinit>", F.lit("{ }"))
         .otherwise(F.concat("own_params", "type", F.lit(" "), "name", F.lit("("), F.array_join("params", ", "), F.lit(")"), thrown, F.lit(";"))),
     )
-    lines = source_members(rows).join(named.select("class_id", "this_name"), "class_id").select("class_id", F.struct((~is_field).alias("o"), "ord", line.alias("line")).alias("l"))
+    of_enum = F.col("class_access").bitwiseAND(0x4000) != 0
+    constant_ = of_enum & is_field & (F.col("access").bitwiseAND(0x4000) != 0)
+    shown = source_members(rows).join(named.select("class_id", "this_name", F.col("access").alias("class_access")), "class_id").filter(~(of_enum & enum_utilities()))
+    first = shown.filter(constant_).groupBy("class_id").agg(F.concat(F.lit("    "), F.array_join(F.sort_array(F.collect_list(F.struct("ord", "name")))["name"], ", "), F.lit(";")).alias("line"))
+    lines = shown.filter(~constant_).select("class_id", F.struct(F.when(is_field, 1).otherwise(2).alias("o"), "ord", line.alias("line")).alias("l"))
+    lines = lines.unionByName(first.select("class_id", F.struct(F.lit(0).alias("o"), F.lit(0).alias("ord"), "line").alias("l")))
     body = lines.groupBy("class_id").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("body"))
     bit = lambda m: F.col("access").bitwiseAND(m) != 0
     kind = F.when(bit(0x2000), "@interface").when(bit(0x200), "interface").when(bit(0x4000), "enum").otherwise("class")

@@ -227,3 +227,43 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "m int, offset int, height int")
     assert frames.stack_heights(instr, ["m"], none).count() == 0 and flow.threaded_jumps(instr, ["m"]).count() == 0
     assert dotnet.spec_names(metadata(spark, [])).count() == 0 and dotnet.nested_paths(metadata(spark, [])).count() == 0
+
+
+def test_units_are_files_of_their_names(spark, tmp_path):
+    from bytelode.sources import units
+
+    units.register(spark)
+    rows = [("f", 1, "A.cs", "one\n"), ("f", 2, "a.cs", "two"), ("g", 1, "A.cs", None), ("g", 2, "B_é.cs", "ü"), ("g", 3, None, "no name"), ("g", 4, "bare", "x"), ("h", 4, "bare", "y")]
+    df = spark.createDataFrame(rows, "file_id string, rid int, file_name string, source string").repartition(4)
+    out = tmp_path / "out"
+    units.with_own_names(df).write.format("units").mode("append").save(str(out))
+    assert {p.name: p.read_text() for p in out.iterdir()} == {"A.cs": "one\n", "a_2.cs": "two", "A_3.cs": "", "B_é.cs": "ü", "bare": "x", "bare_2": "y"}
+    # a job that fails leaves nothing, and what was there stays
+    bad = df.select(F.when(F.col("rid") == 4, "a/b").otherwise(F.concat("file_name", F.col("rid").cast("string"), "file_id")).alias("file_name"), "source").filter("file_name is not null")
+    with pytest.raises(Exception, match="not a file name"):
+        bad.write.format("units").mode("append").save(str(out))
+    assert len([p for p in out.iterdir() if not p.name.startswith("_")]) == 6
+    units.with_own_names(df.filter("rid = 2")).write.format("units").mode("overwrite").save(str(out))
+    assert {p.name for p in out.iterdir() if not p.name.startswith("_")} == {"a.cs", "B_é.cs"}
+
+
+def test_a_retried_task_leaves_no_twin(tmp_path):
+    from bytelode.sources.units import UnitsWriter
+
+    w = UnitsWriter(str(tmp_path / "out"), False)
+    first, again, other = w.write([("A.cs", "lost")]), w.write([("A.cs", "kept")]), w.write([])
+    assert not (tmp_path / "out" / "A.cs").exists()
+    w.commit([again, other])
+    assert first.folder != again.folder and {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"A.cs": "kept"}
+
+
+def test_many_names_in_one_text(spark):
+    from bytelode.functions import search
+
+    rng = random.Random(2)
+    for _ in range(200):
+        words = list({"".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 9))})
+        text = "".join(rng.choices("abc", k=rng.randint(0, 12)))
+        assert search.missing(text, words) == [w for w in words if w not in text]
+    df = spark.createDataFrame([("xay", ["a", "b"]), (None, ["a"]), ("a", None)], "t string, n array<string>")
+    assert [r[0] for r in df.select(search.names_missing_in(F.col("t"), F.col("n"))).collect()] == [["b"], ["a"], []]
