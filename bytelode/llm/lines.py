@@ -244,12 +244,15 @@ def drop_repeated_lines(docs: DataFrame, least: int = MIN_KEY, broadcast_bits: i
     table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    cut = "_cut"
+    while cut in (c.lower() for c in docs.columns):
+        cut += "_"
     cuts = (
         repeated_lines(docs.select("doc_id", "text").filter("doc_id is not null"), least, broadcast_bits)
         .groupBy("doc_id")
-        .agg(F.collect_list("h").alias("_cut"))
+        .agg(F.collect_list("h").alias(cut))
     )
-    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cut")
+    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, cut)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = [*docs.columns, "n_lines", "n_dropped"]
     at = names.index("text")

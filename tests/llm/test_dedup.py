@@ -145,6 +145,10 @@ def test_lines_edges(spark):
     assert lines.drop_repeated_lines(spark.createDataFrame([], schema)).count() == 0
     got = lines.drop_repeated_lines(spark.createDataFrame([(None, "a long enough line"), (None, "a long enough line")], schema)).collect()
     assert [(r.n_lines, r.n_dropped) for r in got] == [(1, 0), (1, 0)]
+    # columns that are called as the operator's own
+    rows = [(1, "a long enough line", 5, "x", 9), (2, "own text\na long enough line", 6, "y", 9)]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, _cut int, _CUT_ string, n_lines int")).collect()
+    assert sorted((r.doc_id, r.text, r["_cut"], r["_CUT_"], r.n_lines, r.n_dropped) for r in got) == [(1, "a long enough line", 5, "x", 1, 0), (2, "own text", 6, "y", 2, 1)]
 
 
 def test_suffixes_equal_brute_force(spark):
