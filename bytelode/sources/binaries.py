@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("dll", "exe", "class", "jar")
@@ -19,15 +19,18 @@ def inputs(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSI
     contents are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    wanted = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*extensions)
-    return classified(files.filter(wanted).select(F.sha2("path", 256).alias("file_id"), "path", "length", "content"))
+    return classified(files.filter(_named(extensions)).select(F.sha2("path", 256).alias("file_id"), "path", "length", "content"))
 
 
-def input_stream(spark: SparkSession, path: str) -> DataFrame:
+def _named(extensions: tuple[str, ...]) -> Column:
+    return F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*extensions)
+
+
+def input_stream(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """The same rows for files that arrive in ``path``, as a stream; later stages are stateless and apply as they are."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
-    return classified(files.select(F.sha2("path", 256).alias("file_id"), "path", "length", "content"))
+    return classified(files.filter(_named(extensions)).select(F.sha2("path", 256).alias("file_id"), "path", "length", "content"))
 
 
 def classified(files: DataFrame) -> DataFrame:

@@ -267,3 +267,47 @@ def test_many_names_in_one_text(spark):
         assert search.missing(text, words) == [w for w in words if w not in text]
     df = spark.createDataFrame([("xay", ["a", "b"]), (None, ["a"]), ("a", None)], "t string, n array<string>")
     assert [r[0] for r in df.select(search.names_missing_in(F.col("t"), F.col("n"))).collect()] == [["b"], ["a"], []]
+
+
+@pytest.fixture(scope="module")
+def binaries_dir(tmp_path_factory):
+    import zipfile
+
+    from bytelode.plans import shapes
+
+    out = tmp_path_factory.mktemp("binaries")
+    classes = {f"p{i}/C{i}": encode.class_bytes(f"p{i}/C{i}", [], [encode.Member(f"m{j}", "()V", 1, code=[b"\xb1"]) for j in range(50)]) for i in range(6)}
+    (out / "sub").mkdir()
+    for name, data in list(classes.items())[:3]:
+        (out / "sub" / f"{name.split('/')[1]}.CLASS").write_bytes(data)
+    with zipfile.ZipFile(out / "all.jar", "w") as z:
+        for name, data in list(classes.items())[3:]:
+            z.writestr(f"{name}.class", data)
+        z.writestr("damaged.class", b"\xca\xfe\xba\xbe\0\0")
+        z.writestr("readme.txt", "text")
+    (out / "image.dll").write_bytes(shapes._image_of(list(range(20))))
+    (out / "broken.dll").write_bytes(b"MZ")
+    (out / "notes.txt").write_text("not read")
+    return str(out)
+
+
+def test_names_are_filtered_in_the_scan(spark, binaries_dir):
+    from bytelode.operators import jvm
+    from bytelode.sources import binaries, classfile, scan
+
+    types_ = scan.register(spark).read.format("binary_types").load(binaries_dir)
+    every = types_.collect()
+    assert {r.name for r in every if not r.error} == {*(f"p{i}.C{i}" for i in range(6)), "Shape.Shapes"} and sum(bool(r.error) for r in every) == 2
+    assert all(r.decoded < len(r.content) for r in every if not r.error)
+    one = types_.filter("simple = 'C4'")
+    got = one.collect()
+    assert [r.name for r in got] == ["p4.C4"] and sum(len(r.content) for r in got) * 5 < sum(len(r.content or b"") for r in every)
+    assert types_.filter("name in ('p1.C1', 'Shape.Shapes', 'none')").count() == 2 and types_.filter("kind = 'pe' and error is null").count() == 1
+    assert types_.filter("simple = 'C4' and simple = 'C3'").count() == 0 and types_.filter("length(name) = 5").count() == 6
+    # what is left decodes as before
+    named = jvm.class_names(classfile.decode_classes(scan.class_blobs(one)))
+    assert [r.this_name for r in named.collect()] == ["p4/C4"]
+    assert {r.name for r in dotnet.list_types(pe.decode_images(scan.images(types_))).collect()} == {"Shape.Shapes"}
+    # files have the same ids as when they are read whole
+    assert {r.file_id for r in every} == {r.file_id for r in binaries.inputs(spark, binaries_dir).collect()}
+    assert all(r.content is None for r in spark.read.format("binary_types").option("content", "false").load(binaries_dir).collect())
