@@ -331,6 +331,32 @@ def disassemble(md: DataFrame) -> DataFrame:
     return whole.select("file_id", "rid", F.concat(head, stack, held, "body").alias("listing"))
 
 
+def il_units(md: DataFrame) -> DataFrame:
+    """file_id, rid, file_name, source: each defined type's IL, a class head with what it extends and implements, its fields, and its methods.
+
+    Nested types are units of their own, as every type is here. Methods without a body say so.
+    """
+    defs = view(md, 2).filter(F.col("Name") != MODULE_TYPE).select("file_id", "rid", "Name", "Namespace", "Flags")
+    bit = lambda c, n, text: F.when(F.col(c).bitwiseAND(n) != 0, text).otherwise("")
+    seen = F.when(F.col("Flags").bitwiseAND(7).isin(1, 2), "public ").otherwise("private ")
+    above = F.coalesce(F.concat(F.lit(" extends "), "base"), F.lit(""))
+    sides = F.coalesce(F.concat(F.lit(" implements "), F.array_join("interfaces", ", ")), F.lit(""))
+    heads = defs.join(base_types(md), ["file_id", "rid"], "left").join(interfaces(md), ["file_id", "rid"], "left").join(_generic_lists(md, 2, "generic"), ["file_id", "rid"], "left")
+    name = N.qualified(F.col("Namespace"), N.clean_generic(F.col("Name")))
+    head = F.concat(F.lit(".class "), bit("Flags", 0x20, "interface "), seen, bit("Flags", 0x80, "abstract "), bit("Flags", 0x100, "sealed "), name, F.coalesce("generic", F.lit("")), above, sides, F.lit("\n{"))
+    line = lambda rows, o, text: rows.select("file_id", F.col("owner").alias("rid"), F.struct(F.lit(o).alias("o"), F.col("rid").alias("m"), text.alias("text")).alias("l"))
+    how = F.concat(_word(F.col("flags"), MEMBER_ACCESS, "private "), bit("flags", 0x10, "static "), bit("flags", 0x20, "initonly "), bit("flags", 0x40, "literal "))
+    lines = line(fields(md), 1, F.concat(F.lit("  .field "), how, "type", F.lit(" "), "name"))
+    owner = type_names(md).filter("table = 2").select("file_id", F.col("rid").alias("owner"), F.col("name").alias("owner_name"))
+    bare = F.concat("return_type", F.lit(" "), "owner_name", F.lit("::"), "name", F.lit("("), F.array_join("params", ", "), F.lit(")\n  // no body"))
+    shown = methods(md).join(owner, ["file_id", "owner"]).join(disassemble(md), ["file_id", "rid"], "left").withColumn("text", F.concat(F.lit(".method "), F.coalesce("listing", bare)))
+    lines = lines.unionByName(line(shown, 2, F.regexp_replace("text", "(?m)^", "  ")))
+    body = lines.groupBy("file_id", "rid").agg(F.array_join(F.sort_array(F.collect_list("l"))["text"], "\n").alias("body"))
+    return heads.join(body, ["file_id", "rid"], "left").select(
+        "file_id", "rid", N.file_name(F.col("Namespace"), F.col("Name"), ".il").alias("file_name"), F.concat(head, F.lit("\n"), F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("}\n")).alias("source")
+    )
+
+
 def _wanted_names(md: DataFrame) -> DataFrame:
     """file_id, category, name a source should hold: not accessors, constructors, delegate methods, dotted names and compiler fields."""
     skip = F.col("name").rlike(r"^(get_|set_|add_|remove_)|^(Invoke|BeginInvoke|EndInvoke|value__)$|\.|k__BackingField")

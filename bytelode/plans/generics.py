@@ -128,3 +128,8 @@ def pe_generic_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pe_part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 without bodies, R2: bases, abstract and sealed types, enum bases, virtual and overriding methods, parameters by name, direction and default."""
     return dotnet.declarations(_md(spark, sf_dir)).select("file_id", "file_name", "source")
+
+
+def pe_il_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IL of types with their class heads, fields and methods."""
+    return dotnet.il_units(_md(spark, sf_dir)).select("file_id", "file_name", "source")

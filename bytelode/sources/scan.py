@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from bytelode.session import ship_package
 from bytelode.sources import pe
 from bytelode.sources.binaries import EXTENSIONS
 from bytelode.sources.classfile import POOL
@@ -168,7 +169,7 @@ class BinaryTypes(DataSource):
 
 def register(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(BinaryTypes)
+    ship_package(spark).dataSource.register(BinaryTypes)
     return spark
 
 

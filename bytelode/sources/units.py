@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from bytelode.session import ship_package
+
 STAGING = "_staging"
 
 
@@ -94,7 +96,7 @@ class Units(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
-    spark.dataSource.register(Units)
+    ship_package(spark).dataSource.register(Units)
     return spark
 
 
