@@ -49,7 +49,8 @@ def edges(instr: DataFrame, keys: list[str]) -> DataFrame:
     order = W.partitionBy(*keys).orderBy("pos")
     lasts = instr.join(b.select(*keys, "start", "stop"), keys).filter((F.col("offset") >= F.col("start")) & (F.col("offset") + F.col("size") == F.col("stop")))
     jumped = lasts.select(*keys, "start", F.col("offset").alias("source")).join(jumps(instr, keys), [*keys, "source"]).select(*keys, F.col("start").alias("source"), "target", "kind")
-    goes_on = ~(_is(GOTO) | _is(SWITCH) | _is(ENDS))
+    # one machine's switch goes on behind itself
+    goes_on = ~(_is(GOTO) | _is("^(table|lookup)switch$") | _is(ENDS))
     following = instr.withColumn("next", F.lead("offset").over(order)).filter(goes_on & F.col("next").isNotNull())
     fall = lasts.select(*keys, "start", "pos").join(following.select(*keys, "pos", "next"), [*keys, "pos"]).select(*keys, F.col("start").alias("source"), F.col("next").alias("target"), F.lit("fall").alias("kind"))
     return jumped.unionByName(fall).distinct()
@@ -195,3 +196,67 @@ def dropped_labels(instr: DataFrame, keys: list[str]) -> DataFrame:
     after = instr.select(*keys, F.col("offset").alias("source"), (F.col("offset") + F.col("size")).alias("behind"))
     idle = t.filter("kind = 'goto'").join(after, [*keys, "source"]).filter("final = behind and not ring").select(*keys, F.col("source").alias("offset"), F.lit("goto").alias("kind"))
     return gone.withColumn("kind", F.lit("label")).unionByName(idle)
+
+
+def dominators(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, block, dom: of each block that the first one reaches by ``steps`` (keys, source, target; the first block has the smallest number) the blocks on all ways to it.
+
+    A block's dominators are itself and what those of all blocks before it share, as far as they are known. Each round takes this one step on; methods
+    that a round leaves as they were are done and take no part in the next, so late rounds hold only the longest methods.
+    """
+    steps = kept(steps.select(*keys, "source", "target").distinct(), "steps")
+    first = steps.groupBy(*keys).agg(F.least(F.min("source"), F.min("target")).alias("block"))
+    now = kept(first.select(*keys, "block", F.array("block").alias("dom")), "dominators")
+    done, active = [], steps
+    while True:
+        told = active.join(now.withColumnRenamed("block", "source"), [*keys, "source"]).groupBy(*keys, F.col("target").alias("block")).agg(F.collect_list("dom").alias("doms"))
+        shared = F.aggregate(F.slice("doms", 2, F.size("doms")), F.get("doms", F.lit(0)), F.array_intersect)
+        met = told.join(first, [*keys, "block"], "left_anti").select(*keys, "block", F.sort_array(F.array_union(shared, F.array("block"))).alias("dom"))
+        after = met.unionByName(first.select(*keys, "block", F.array("block").alias("dom")).join(now.select(*keys).distinct(), keys, "left_semi"))
+        was = now.withColumnRenamed("dom", "was")
+        state = kept(after.join(was, [*keys, "block"], "left").select(*keys, "block", "dom", (~F.col("dom").eqNullSafe(F.col("was"))).alias("moved")), "dominators")
+        moving = state.filter("moved").select(*keys).distinct()
+        done.append(kept(state.join(moving, keys, "left_anti").select(*keys, "block", "dom"), "dominators"))
+        more = kept(state.join(moving, keys, "left_semi").select(*keys, "block", "dom"), "dominators")
+        drop(now, state)
+        now = more
+        if now.isEmpty():
+            break
+        rest = kept(active.join(now.select(*keys).distinct(), keys, "left_semi"), "steps")
+        if active is not steps:
+            drop(active)
+        active = rest
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def natural_loops(instr: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, header, n_back, n_blocks, stop, depth, parent: loops by dominance, whatever their layout.
+
+    A step to a block on all ways to its source closes a loop; its body are the blocks that reach the step without the header. Steps to one header, such as those of
+    ``continue``, are one loop. ``depth`` counts the loops around and with it, ``parent`` is the header of the next one around, and ``stop`` the end of
+    its last block. Rings with two entries have no header and give no row.
+    """
+    steps = edges(instr, keys).select(*keys, "source", "target").distinct()
+    b = blocks(instr, keys).select(*keys, F.col("start").alias("block"), F.col("stop").alias("block_stop"))
+    steps = kept(steps, "steps")
+    dom = dominators(steps, keys)
+    back = steps.join(dom.withColumnRenamed("block", "source"), [*keys, "source"]).filter(F.array_contains("dom", F.col("target"))).select(*keys, F.col("target").alias("header"), F.col("source").alias("block"))
+    back = kept(back, "back")
+    body = kept(back.unionByName(back.select(*keys, "header", F.col("header").alias("block"))).distinct(), "body")
+    edge = kept(back.filter("block <> header").distinct(), "front")
+    while not edge.isEmpty():
+        came = edge.join(steps.withColumnRenamed("target", "block"), [*keys, "block"]).select(*keys, "header", F.col("source").alias("block")).distinct()
+        fresh = kept(came.join(body, [*keys, "header", "block"], "left_anti"), "front")
+        grown = kept(body.unionByName(fresh), "body")
+        drop(edge, body)
+        edge, body = fresh, grown
+    size = body.join(b, [*keys, "block"]).groupBy(*keys, "header").agg(F.count("*").cast("int").alias("n_blocks"), F.max("block_stop").alias("stop"))
+    n_back = back.groupBy(*keys, "header").agg(F.count("*").cast("int").alias("n_back"))
+    around = body.withColumnRenamed("header", "outer").withColumnRenamed("block", "header").join(size.select(*keys, F.col("header").alias("outer"), "n_blocks"), [*keys, "outer"])
+    heads = n_back.select(*keys, "header").join(around, [*keys, "header"]).groupBy(*keys, "header").agg(
+        F.count("*").cast("int").alias("depth"), F.min(F.when(F.col("outer") != F.col("header"), F.struct("n_blocks", "outer")))["outer"].alias("parent")
+    )
+    return n_back.join(size, [*keys, "header"]).join(heads, [*keys, "header"]).select(*keys, "header", "n_back", "n_blocks", "stop", "depth", "parent")

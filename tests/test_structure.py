@@ -311,3 +311,34 @@ def test_names_are_filtered_in_the_scan(spark, binaries_dir):
     # files have the same ids as when they are read whole
     assert {r.file_id for r in every} == {r.file_id for r in binaries.inputs(spark, binaries_dir).collect()}
     assert all(r.content is None for r in spark.read.format("binary_types").option("content", "false").load(binaries_dir).collect())
+
+
+def plain_dominators(steps):
+    """block -> dominators of those that the first block reaches: without a dominator a block is out of reach."""
+    nodes = {n for e in steps for n in e}
+    first = min(nodes)
+
+    def reached(without):
+        seen, work = set(), [first] if first != without else []
+        while work:
+            n = work.pop()
+            if n not in seen:
+                seen.add(n)
+                work += [t for s, t in steps if s == n and t != without]
+        return seen
+
+    every = reached(None)
+    gone = {d: every - reached(d) for d in every}
+    return {n: sorted(d for d in every if n in gone[d]) for n in every}
+
+
+def test_dominators_equal_removal_of_blocks(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for m in range(60):
+        n = rng.randint(2, 10)
+        steps = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))}
+        rows += [(m, *e) for e in steps]
+        want |= {(m, k): v for k, v in plain_dominators(steps).items()}
+    df = spark.createDataFrame(rows, "m int, source int, target int").repartition(5)
+    assert {(r.m, r.block): r.dom for r in flow.dominators(df, ["m"]).collect()} == want
