@@ -42,7 +42,7 @@ def supplier_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jvm_natural_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W2 to W6, nested: loops by dominance, with those around them."""
+    """W2 to W6, nested: loops by dominance, with those around them; -1 for none."""
     rows = jvm.members(classfile.stored_classes(supplier_classes(spark, sf_dir)))
     found = flow.natural_loops(jvm.method_instructions(rows), KEYS)
-    return found.join(rows.filter("kind = 'method'").select(*KEYS, F.col("name").alias("method")), KEYS).drop(*KEYS)
+    return found.join(rows.filter("kind = 'method'").select(*KEYS, F.col("name").alias("method")), KEYS).drop(*KEYS).fillna(-1, ["parent"])

@@ -138,12 +138,17 @@ def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pe.stored_images(customer_images(spark, sf_dir))
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    """``found`` with -1 for numbers that there are none of."""
+    return found.fillna(-1, [c for c in ("parent_start", "height", "item") if c in found.columns])
+
+
 def _jvm_named(found: DataFrame, rows: DataFrame) -> DataFrame:
-    return found.join(rows.filter("kind = 'method'").select(*KEYS, F.col("name").alias("method")), KEYS).drop(*KEYS)
+    return _shown(found).join(rows.filter("kind = 'method'").select(*KEYS, F.col("name").alias("method")), KEYS).drop(*KEYS)
 
 
 def _net_named(found: DataFrame, md: DataFrame) -> DataFrame:
-    return found.join(pe.view(md, 6).select(*NET, F.col("Name").alias("method")), NET).drop(*NET)
+    return _shown(found).join(pe.view(md, 6).select(*NET, F.col("Name").alias("method")), NET).drop(*NET)
 
 
 def jvm_handler_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,16 +9,16 @@ def _shaped(method: str, n: int, columns: str, rows: str) -> str:
 
 _REGION = "kind, type, start, stop, depth, parent_kind, parent_start, crosses"
 _HEIGHT = "start, height, n_before, conflict, temps"
-_FINALLY = lambda m, a, h, e: f"({m}, 'try', NULL, {a}, {h}, 0, NULL, NULL, false), ({m}, 'finally', NULL, {h}, {e}, 0, NULL, NULL, false)"
-_HIGH = lambda m, *rows: ", ".join(f"({m}, {s}, {'NULL' if h is None else h}, {n}, {str(c).lower()}, '{t}')" for s, h, n, c, t in rows)
+_FINALLY = lambda m, a, h, e: f"({m}, 'try', NULL, {a}, {h}, 0, NULL, -1, false), ({m}, 'finally', NULL, {h}, {e}, 0, NULL, -1, false)"
+_HIGH = lambda m, *rows: ", ".join(f"({m}, {s}, {-1 if h is None else h}, {n}, {str(c).lower()}, '{t}')" for s, h, n, c, t in rows)
 _DISPOSED = lambda h, z: [(h, 0, 0, False, ""), (h + 6, 0, 1, False, ""), (z, 0, 2, False, "")]
 
 SQL = {
     "jvm_handler_regions": _shaped("jvm", 7, _REGION, """
-(0, 'try', NULL, 0, 10, 0, NULL, NULL, false), (0, 'try', NULL, 1, 3, 1, 'try', 0, false), (0, 'catch', 'java.io.IOException', 6, 10, 1, 'try', 0, false), (0, 'finally', NULL, 11, 14, 0, NULL, NULL, false)"""),
+(0, 'try', NULL, 0, 10, 0, NULL, -1, false), (0, 'try', NULL, 1, 3, 1, 'try', 0, false), (0, 'catch', 'java.io.IOException', 6, 10, 1, 'try', 0, false), (0, 'finally', NULL, 11, 14, 0, NULL, -1, false)"""),
     "pe_handler_regions": _shaped("net", 6, _REGION, f"""
-(0, 'try', NULL, 0, 28, 0, NULL, NULL, false), (0, 'try', NULL, 1, 7, 1, 'try', 0, false), (0, 'catch', 'System.Exception', 7, 13, 1, 'try', 0, false), (0, 'when', NULL, 13, 17, 1, 'try', 0, false),
-(0, 'filter', NULL, 17, 23, 1, 'try', 0, false), (0, 'finally', NULL, 28, 30, 0, NULL, NULL, false), {_FINALLY(1, 5, 20, 34)}, {_FINALLY(2, 2, 8, 21)}, {_FINALLY(3, 7, 36, 49)}, {_FINALLY(5, 2, 8, 21)}"""),
+(0, 'try', NULL, 0, 28, 0, NULL, -1, false), (0, 'try', NULL, 1, 7, 1, 'try', 0, false), (0, 'catch', 'System.Exception', 7, 13, 1, 'try', 0, false), (0, 'when', NULL, 13, 17, 1, 'try', 0, false),
+(0, 'filter', NULL, 17, 23, 1, 'try', 0, false), (0, 'finally', NULL, 28, 30, 0, NULL, -1, false), {_FINALLY(1, 5, 20, 34)}, {_FINALLY(2, 2, 8, 21)}, {_FINALLY(3, 7, 36, 49)}, {_FINALLY(5, 2, 8, 21)}"""),
     "jvm_stack_heights": _shaped("jvm", 7, _HEIGHT, ", ".join((
         _HIGH(0, (0, 0, 0, False, ""), (6, 1, 0, False, ""), (7, 0, 2, False, ""), (11, 1, 0, False, "")),
         _HIGH(1, (0, 0, 0, False, ""), (10, 1, 0, False, ""), (15, 0, 1, False, "")),
@@ -37,7 +37,7 @@ SQL = {
         _HIGH(5, (0, 0, 0, False, ""), *_DISPOSED(8, 20), (21, 0, 1, False, ""), (27, 0, 1, False, ""), (33, 0, 1, False, ""), (34, None, 2, True, "")),
     ))),
     "jvm_statements": _shaped("jvm", 7, "kind, variable, item, start, stop", "(3, 'foreach', 4::BIGINT, 3::BIGINT, 6, 35)"),
-    "pe_statements": _shaped("net", 6, "kind, variable, item, start, stop", "(1, 'lock', 7::BIGINT, NULL::BIGINT, 5, 20), (2, 'using', 1, NULL, 2, 8), (3, 'foreach', 1, 2, 7, 36)"),
+    "pe_statements": _shaped("net", 6, "kind, variable, item, start, stop", "(1, 'lock', 7::BIGINT, -1::BIGINT, 5, 20), (2, 'using', 1, -1, 2, 8), (3, 'foreach', 1, 2, 7, 36)"),
     "jvm_concatenations": _C + r"""SELECT jvm AS method, 2 AS "offset", '"' || nation || '=" + arg0 + ", " + "a\"b" + ":" + arg1 + "."' AS text FROM c WHERE k % 7 = 4 UNION ALL SELECT jvm, 2, 'arg0 + arg1' FROM c WHERE k % 7 = 6""",
     "jvm_threaded_jumps": _shaped("jvm", 7, "source, kind, target, final, hops, ring", """
 (0, 3, 'goto', 7, 7, 0, false), (1, 7, 'goto', 15, 15, 0, false), (2, 1, 'branch', 8, 8, 0, false), (2, 5, 'goto', 9, 9, 0, false), (3, 15, 'branch', 35, 35, 0, false), (3, 32, 'goto', 8, 8, 0, false),
