@@ -532,7 +532,7 @@ def declarations(md: DataFrame) -> DataFrame:
     above = F.concat(extended, F.coalesce("interfaces", F.array().cast("array<string>")))
     bases = F.when(F.size(above) > 0, F.concat(F.lit(" : "), in_context(F.array_join(above, ", "), F.col("generic_names")))).otherwise("")
     flag = lambda bit, text, *but: F.when((F.col("Flags").bitwiseAND(bit) != 0) & ~F.col("kind").isin(*but) & ~F.col("is_static"), text).otherwise("")
-    how = F.concat(F.when(F.col("is_static"), "static ").otherwise(""), flag(0x80, "abstract ", "interface", "struct", "delegate"), flag(0x100, "sealed ", "interface", "struct", "enum", "delegate"))
+    how = F.concat(F.when(F.col("is_static"), "static ").otherwise(""), flag(0x80, "abstract ", "interface", "struct", "enum", "delegate"), flag(0x100, "sealed ", "interface", "struct", "enum", "delegate"))
     delegate = F.col("kind") == "delegate"
     head = F.when(delegate & F.col("invoke").isNotNull(), F.concat(access, F.lit("delegate "), in_context(F.col("invoke.return_type"), F.col("generic_names")), F.lit(" "), named, F.lit("("), in_context(F.array_join("invoke.params", ", "), F.col("generic_names")), F.lit(");"))).otherwise(
         F.concat(access, how, "kind", F.lit(" "), named, bases, F.lit("\n"), depth(0), F.lit("{"))

@@ -103,9 +103,9 @@ SELECT file_id, CASE WHEN k % 2 = 0 THEN 'void ' || nm || '::M' || k || '(int, s
 , t2 AS (SELECT *, CASE WHEN n_nationkey % 11 = 3 THEN 'interface ' WHEN n_nationkey % 6 = 0 THEN 'enum ' WHEN n_nationkey % 7 = 0 THEN 'static class ' ELSE 'class ' END AS kind,
   CASE WHEN nested THEN '    ' ELSE '' END AS d FROM t),
 l AS (SELECT s.file_id, s.n_nationkey, 1 AS o, k, d || '    private ' || ['int[]', 'string', s.nm][k % 3 + 1] || ' S' || k || ';' AS line FROM s JOIN t2 USING (file_id, n_nationkey) WHERE kind <> 'enum '
-UNION ALL SELECT c.file_id, c.n_nationkey, 2, k, d || '    public ' || ['void M' || k || '(int, string[]);', 'int M' || k || '();'][k % 2 + 1] FROM c JOIN t2 USING (file_id, n_nationkey)),
+UNION ALL SELECT c.file_id, c.n_nationkey, 2, k, d || '    public ' || ['void M' || k || '(int arg0, string[] arg1);', 'int M' || k || '();'][k % 2 + 1] FROM c JOIN t2 USING (file_id, n_nationkey)),
 b AS (SELECT file_id, n_nationkey, string_agg(line, chr(10) ORDER BY o, k) || chr(10) AS body FROM l GROUP BY ALL),
-x AS (SELECT file_id, n_nationkey, ns0, nm, nested, parent_key, d || CASE WHEN nested THEN 'private ' ELSE 'public ' END || kind || nm || chr(10) || d || '{' || chr(10) || coalesce(body, '') AS opened, d || '}' || chr(10) AS closed
+x AS (SELECT file_id, n_nationkey, ns0, nm, nested, parent_key, d || CASE WHEN nested THEN 'private ' ELSE 'public ' END || kind || nm || CASE WHEN kind = 'enum ' THEN ' : int' ELSE '' END || chr(10) || d || '{' || chr(10) || coalesce(body, '') AS opened, d || '}' || chr(10) AS closed
   FROM t2 LEFT JOIN b USING (file_id, n_nationkey)),
 inner_ AS (SELECT file_id, parent_key AS n_nationkey, string_agg(opened || closed, '' ORDER BY n_nationkey) AS nested_text FROM x WHERE nested GROUP BY ALL)
 SELECT file_id, ns0 || '_' || nm || '.cs' AS file_name, 'namespace ' || ns0 || ';' || chr(10) || chr(10) || opened || coalesce(nested_text, '') || closed AS source
