@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import dotnet, jvm
+from bytelode.rounds import kept
 from bytelode.sources import binaries, classfile, pe
 
 #: Questions that only assemblies can answer.
@@ -23,8 +22,7 @@ def analyze(spark: SparkSession, path: str, mode: str, wanted: str | None = None
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    # the mark keeps what is cached here from being taken for the files of a later call
-    files = binaries.inputs(spark, path).withColumn("run", F.lit(uuid.uuid4().hex))
+    files = binaries.inputs(spark, path)
     if mode in ASSEMBLY_ONLY and files.filter("kind = 'pe'").isEmpty():
         raise ValueError(f"{mode} needs .NET assemblies")
     md = pe.stored_images(files)
@@ -34,8 +32,8 @@ def analyze(spark: SparkSession, path: str, mode: str, wanted: str | None = None
         return dotnet.obfuscation(md).select("file_id", F.concat_ws("/", "severity", "category").alias("name"), F.col("message").alias("text"))
     if mode == "verify":
         return dotnet.verify(md, dotnet.declarations(md), exact=True).select("file_id", "name", F.col("category").alias("text"))
-    blobs = binaries.class_blobs(files)
-    classes = classfile.decode_classes(blobs).persist()
+    blobs = kept(binaries.class_blobs(files), "blobs")  # archives are inflated once
+    classes = classfile.stored_classes(blobs)
     resolved = jvm.resolved_constants(classes)
     named = jvm.class_names(classes)
     named = jvm.filter_types(named, wanted) if wanted else named

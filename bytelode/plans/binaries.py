@@ -53,7 +53,7 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str):
-    classes = classfile.decode_classes(part_classes(spark, sf_dir)).persist()  # several relations are cut from it
+    classes = classfile.stored_classes(part_classes(spark, sf_dir))
     resolved = jvm.resolved_constants(classes)
     return classes, resolved, jvm.class_names(classes)
 

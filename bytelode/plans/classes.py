@@ -60,7 +60,7 @@ def supplier_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    classes = classfile.decode_classes(supplier_classes(spark, sf_dir)).persist()  # several relations are cut from it
+    classes = classfile.stored_classes(supplier_classes(spark, sf_dir))
     return classes, jvm.members(classes)
 
 
