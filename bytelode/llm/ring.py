@@ -1,10 +1,14 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Every row has a place on a ring of ``cells`` equal arcs; every shard owns ``vnodes`` points on it. A cell prefers the
-shard of the first point clockwise, then the next different shard, and so on. Cells are placed from the heaviest to the
-lightest, ties in a fixed pseudo-random order; a cell that would fill its shard beyond the capacity continues clockwise to the
-first shard that has room for it. Capacity is ``(1 + slack) * total / shards``. A cell with room nowhere goes to the lightest
-shard; being one of the last it is light, so shards end within a light cell of the capacity.
+shard of the first point clockwise, then the next different shard, and so on. Cells are placed in a fixed pseudo-random order that
+neither loads nor the number of shards change; only cells heavier than ``HEAVY`` of the capacity come before them, the heaviest
+first. A cell that would fill its shard beyond the capacity continues clockwise to the first shard that has room for it. Capacity is
+``(1 + slack) * total / shards``. A cell with room nowhere goes to the lightest shard; unless all cells are heavy it is lighter than
+``HEAVY`` of the capacity, so shards end within that share of it.
+
+Two things keep movement low when a shard is added: the order is the same before and after, so that mostly the same cells of a shard
+overflow; and with ``vnodes`` points the shares of the ring differ by about 1 / sqrt(vnodes), which is what has to overflow at all.
 
 The placement works on one aggregated row per cell, so its size is bounded by ``cells``, whatever the input: this is the
 bound that makes the broadcast of the cell table safe. Everything is DataFrame expressions.
@@ -19,7 +23,9 @@ from pyspark.sql import Window as W
 from bytelode.llm._shared import materialize, table
 
 CELLS = 16384
-VNODES = 128
+VNODES = 512
+#: Share of the capacity beyond which a cell is placed before the others.
+HEAVY = 0.005
 
 
 def _preferences(spark: SparkSession, used: DataFrame, shards: int, cells: int, vnodes: int) -> DataFrame:
@@ -47,16 +53,17 @@ def place_cells(loads: DataFrame, shards: int, slack: float, cells: int = CELLS,
     """``loads`` (cell int, load long, n long) -> cell, shard, first_choice, slot_base."""
     spark = loads.sparkSession
     prefs = _preferences(spark, loads.select("cell"), shards, cells, vnodes)
+    row = F.struct(F.xxhash64(F.lit("order"), "cell").alias("o"), "cell", "load", "n", "prefs")
+
+    def ranked(c):
+        heavy = F.when(c["load"] > F.col("cap") * HEAVY, -c["load"]).otherwise(0)
+        return F.struct(heavy.alias("weight"), *(c[n].alias(n) for n in ("o", "cell", "load", "n", "prefs")))
+
     line = (
         loads.join(prefs, "cell")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct((-F.col("load")).alias("weight"), F.xxhash64(F.lit("order"), "cell").alias("o"), "cell", "load", "n", "prefs"))
-            ).alias("line"),
-            F.sum("load").alias("total"),
-        )
-        .filter("total is not null")
-        .withColumn("cap", F.ceil(F.col("total") * (1.0 + slack) / shards))
+        .agg(F.collect_list(row).alias("cells"), F.ceil(F.sum("load") * (1.0 + slack) / shards).alias("cap"))
+        .filter("cap is not null")
+        .select("cap", F.sort_array(F.transform("cells", ranked)).alias("line"))
     )
     start = F.struct(
         F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("at")

@@ -86,6 +86,41 @@ def test_ring_follows_the_sequential_algorithm(spark):
         assert p == list(dict.fromkeys(walk))
 
 
+def test_ring_keeps_its_order_for_light_cells(spark):
+    """Cells beyond ``HEAVY`` of the capacity first, the heaviest before; all others in the fixed order of their numbers' hashes."""
+    rows = [(c, 4000 if c in (7, 90) else 9000 if c == 400 else (c * 37) % 50 + 1, 1) for c in range(1000)]
+    loads = spark.createDataFrame(rows, "cell int, load long, n long")
+    prefs = {r.cell: r.prefs for r in ring._preferences(spark, loads.select("cell"), 4, 1024, 16).collect()}
+    from pyspark.sql import functions as F
+
+    order = [r.cell for r in loads.orderBy(F.xxhash64(F.lit("order"), "cell")).collect()]
+    size = {c: n for c, n, _ in rows}
+    cap = -(-sum(size.values()) // 4)
+    first = sorted((c for c in order if size[c] > cap * ring.HEAVY), key=lambda c: (-size[c], order.index(c)))
+    assert first[0] == 400 and len(first) == 3
+    at, want = [0] * 4, {}
+    for c in first + [c for c in order if c not in first]:
+        s = next((s for s in prefs[c] if at[s] + size[c] <= cap), at.index(min(at)))
+        at[s] += size[c]
+        want[c] = s
+    assert {r.cell: r.shard for r in ring.place_cells(loads, 4, 0.0, 1024, 16).collect()} == want
+    assert max(at) <= cap * (1 + ring.HEAVY)
+
+
+def test_ring_moves_little_at_the_parameters_of_the_query(spark):
+    """Sizes with a long tail; a ninth shard would take 11.1 % of everything in a ring without bounds."""
+    rng = random.Random(9)
+    rows = [(i, int(rng.lognormvariate(6, 1.2)) + 1) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k long, size long")
+    places = [{r.k: r.shard for r in ring.shard_rows(df, ["k"], "size", n).select("k", "shard").collect()} for n in (8, 9)]
+    total = sum(s for _, s in rows)
+    for n, at in zip((8, 9), places, strict=True):
+        loads = [sum(s for k, s in rows if at[k] == i) for i in range(n)]
+        assert all(abs(x * n / total - 1) < ring.HEAVY for x in loads)
+    moved = [(k, s) for k, s in rows if places[0][k] != places[1][k]]
+    assert len(moved) < 0.135 * len(rows) and sum(s for _, s in moved) < 0.135 * total
+
+
 def test_ring_query_holds_its_contract(spark, sf_dir):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = ring.op4_hash_ring(spark, sf_dir).collect()
