@@ -99,3 +99,28 @@ def repeated(texts, length=200):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((sum(gone), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g)))
     return out
+
+
+def proximity(docs, items, slop, share=0.8):
+    """{(doc_id, item_id): [(start, stop, n_terms)]}: every window of (1 + slop) * n words, those that overlap as one place."""
+    out = {}
+    for item_id, text in items:
+        w = bench_words(text)
+        span, need = len(w) * (1 + slop), -(-len(set(w)) * round(share * 100) // 100)
+        for doc_id, body in docs:
+            d = bench_words(body) if w else []
+            at = [p for p, x in enumerate(d) if x in set(w)]
+            places = []
+            for p in at:
+                inside = [q for q in at if p <= q < p + span]
+                n = len({d[q] for q in inside})
+                if n < need:
+                    continue
+                if places and p < places[-1][3] + span:
+                    a, stop, m, _ = places[-1]
+                    places[-1] = (a, max(stop, inside[-1] + 1), max(m, n), p)
+                else:
+                    places.append((p, inside[-1] + 1, n, p))
+            if places:
+                out[doc_id, item_id] = [x[:3] for x in places]
+    return out

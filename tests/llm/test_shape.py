@@ -187,6 +187,36 @@ def test_proximity(spark):
     assert got == [(1, 9, 1, 6, 3)]
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(60)] + ["the", "of", "É"]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(text(n))) for i, n in enumerate([1, 2, 3, 5, 8, 13, 20, 20, 30, 200])]
+    items += [(20, None), (21, "..."), (22, "the the the"), (23, "nowhere at all")]
+    docs = []
+    for i in range(50):
+        body = text(rng.randrange(0, 120))
+        for _ in range(rng.randrange(3)):
+            part = rng.choice(items)[1]
+            part = (part or "").split()
+            rng.shuffle(part)
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = [x for w in part[rng.randrange(2) :] for x in [w, *text(rng.randrange(2))]]
+        docs.append((i, " ".join(body)))
+    docs += [(100, None), (101, ""), (102, "the " * 4000), (103, " ".join(text(3000)))]
+    terms = decontaminate.item_terms(spark.createDataFrame(items, "item_id long, text string"))
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string"), terms.select("term"))
+    ids = {r["row"]: r.doc_id for r in index.filter("term = ''").collect()}
+    for slop in (0, 1, 3):
+        got = {}
+        for r in decontaminate.proximity_matches(index, terms, slop).collect():
+            got.setdefault((ids[r["row"]], r.item_id), []).append((r.start, r.stop, r.n_terms))
+        want = brute.proximity(docs, items, slop)
+        assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 50
+    none = decontaminate.item_terms(spark.createDataFrame([], "item_id long, text string"))
+    assert decontaminate.proximity_matches(index, none).count() == 0
+
+
 def check_pieces(got, window):
     by_doc, by_seq = {}, {}
     for r in got:
