@@ -1,10 +1,10 @@
 """Mixture-controlled packing of tokenized documents into fixed windows.
 
-Every source is a queue of documents, and deficit round-robin serves the queues. A packet is a document, or each window's worth of a longer
-one. In a round a queue's deficit grows by its quantum, its target share of a window; while the packet at its head is not longer than
+Every source is a queue of documents, and deficit round-robin serves the queues. A packet is a document, or each ``packet`` tokens of a longer
+one, a small part of a window, so that a window has room for packets of many sources. In a round a queue's deficit grows by its quantum, its target share of a window; while the packet at its head is not longer than
 the deficit, it is served and the deficit shrinks by its length. What is left of the deficit is carried to the next round. The packets in
-the order of their service are one stream of tokens, cut into windows: a document is cut at window borders only, and at any time a queue
-has been served its target share to within one packet.
+the order of their service are one stream of tokens, cut into windows: a document is cut between its packets and at window borders only,
+what adjoins stays one piece, and at any time a queue has been served its target share to within one packet.
 
 A deficit that is carried is the quantum times the rounds so far less the tokens served, so a packet that ends the first ``C`` tokens of its queue leaves in
 round ``ceil(C / quantum)``. ``C`` needs the tokens of a queue in the partitions before: these carry over by a prefix sum over one row a partition and
@@ -37,11 +37,15 @@ from pyspark.sql import Window as W
 from bytelode.llm._shared import by_bytes, materialize, table
 
 WINDOW = 2048
+#: Packets in a window.
+PACKETS = 12
 END_ID = 1
 #: Characters that ``str.split`` takes for white space and the tokenizer doesn't.
 SEPARATORS = "[\x1c-\x1f]"
 CACHED_WORDS = 2_000_000
 REST = "\0rest"
+#: Last round; only weights below about 1e-10 of the others reach it.
+LAST = 1 << 62
 
 
 def default_tokenizer() -> str:
@@ -300,14 +304,14 @@ def lanes_of(tokens: DataFrame, window: int, weights: dict[str, float] | None) -
 def quanta(totals: dict[str, int], window: int, weights: dict[str, float] | None = None) -> dict[str, Fraction]:
     """Tokens a lane may be served a round: its share of a window, 0 for a lane that waits for all others."""
     if weights and any(weights.get(k, 0) for k in totals):
-        w = {k: Fraction(weights.get(k, 0)).limit_denominator(10**6) for k in totals}
+        w = {k: Fraction(weights.get(k, 0)) for k in totals}
     else:
         w = {k: Fraction(n) for k, n in totals.items()}
     total = sum(w.values())
     return {k: window * x / total for k, x in w.items()}
 
 
-def _packets(rows: DataFrame, totals: dict[str, int], window: int, weights: dict[str, float] | None) -> DataFrame:
+def _packets(rows: DataFrame, totals: dict[str, int], window: int, weights: dict[str, float] | None, packet: int) -> DataFrame:
     """``rows`` (part, row, lane, x0, n) -> part, row, k, size, lane, round, stop: the packets, and the round each is served in."""
     each = quanta(totals, window, weights)
     last = max((-(-totals[k] * q.denominator // q.numerator) for k, q in each.items() if q), default=0)
@@ -319,10 +323,10 @@ def _packets(rows: DataFrame, totals: dict[str, int], window: int, weights: dict
             out: list[list[int]] = [[] for _ in range(7)]
             for part, row, lane, x0, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 i, top, bottom, first = plan[lane]
-                for k, at in enumerate(range(0, n, window)):
-                    size = min(window, n - at)
+                for k, at in enumerate(range(0, n, packet)):
+                    size = min(packet, n - at)
                     stop = x0 + at + size
-                    for c, v in zip(out, (part, row, k, size, i, first + -(-stop * bottom // top), stop), strict=True):
+                    for c, v in zip(out, (part, row, k, size, i, min(first + -(-stop * bottom // top), LAST), stop), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["part", "row", "k", "size", "lane", "round", "stop"])
 
@@ -350,19 +354,22 @@ def _stream(packets: DataFrame) -> DataFrame:
     return placed.groupBy("part", "row").agg(F.sort_array(F.collect_list("p"))["place"].alias("places"))
 
 
-def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = True, packet: int | None = None) -> DataFrame:
     """Pieces of ``docs`` (doc_id, source, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Each row's ids and ``end_id`` are cut into pieces that fill sequences of ``window`` tokens without gaps; only the last
     sequence is shorter. A null text has only ``end_id``; null and empty sources are one queue; repeated rows are packed
     again, rows without doc_id too; other columns are ignored; no rows give no pieces. With ``weights``, sources without a weight
-    share the rest queue, which is served after all others. ``ids`` holds little-endian unsigned 32-bit ids.
+    share the rest queue, which is served after all others. ``ids`` holds little-endian unsigned 32-bit ids. ``packet`` is the most tokens a
+    source is served at a time, by default a window's ``PACKETS``-th part: smaller ones bring each window nearer to its targets and cut
+    documents into more pieces.
     """
+    packet = packet or max(1, window // PACKETS)
     tokens = tokenize(docs, tokenizer, end_id)
     offsets, totals = lanes_of(tokens, window, weights)
     size = 4 if _wide(tokenizer) else 2
     rows = tokens.select("part", "row", "queue", "at", "n").join(offsets, ["part", "queue"]).select("part", "row", "lane", (F.col("base") + F.col("at")).alias("x0"), "n")
-    places = _stream(_packets(rows, totals, window, weights))
+    places = _stream(_packets(rows, totals, window, weights, packet))
 
     def cut(batches):
         for b in by_bytes(batches, "ids", 2 << 20):
@@ -370,7 +377,7 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] | None
             blobs = b.column(3)
             for i, (doc, n, at) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
                 ids = np.frombuffer(blobs[i].as_buffer(), f"<u{size}").astype("<u4").tobytes()
-                for x, g, length in pieces_of(at, n, window):
+                for x, g, length in pieces_of(at, n, window, packet):
                     piece = ids[4 * x : 4 * (x + length)]
                     for c, v in zip(out, (doc, x, length, zlib.crc32(piece), n, g // window, g % window, piece if with_ids else None), strict=True):
                         c.append(v)
@@ -379,12 +386,13 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] | None
     return tokens.join(places, ["part", "row"]).select("doc_id", "n", "places", "ids").mapInArrow(cut, PIECES)
 
 
-def pieces_of(places: list[int], n: int, window: int) -> Iterator[tuple[int, int, int]]:
+def pieces_of(places: list[int], n: int, window: int, packet: int | None = None) -> Iterator[tuple[int, int, int]]:
     """(start in the document, place in the stream, length) of its packets, cut at window borders; what adjoins stays one piece."""
+    packet = packet or window
     start = place = length = 0
     for k, g in enumerate(places):
-        size = min(window, n - k * window)
-        at = k * window
+        size = min(packet, n - k * packet)
+        at = k * packet
         if length and (g != place + length or g % window == 0):
             yield start, place, length
             length = 0

@@ -263,14 +263,15 @@ def round_robin(queues, quanta):
     return order + [(q, i) for q in sorted(queues) for i in range(heads[q], len(queues[q]))]
 
 
+@pytest.mark.parametrize("packet", [64, 10])
 @pytest.mark.parametrize("weights", [None, {"a": 1, "b": 3}])
-def test_packing(spark, weights):
+def test_packing(spark, weights, packet):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     docs = packing_docs()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, source string, text string, start long").repartition(3)
-    got = packing.pack(df, window=64, weights=weights).collect()
+    got = packing.pack(df, window=64, weights=weights, packet=packet).collect()
     by_doc, by_seq = check_pieces(got, 64)
     tok = Tokenizer.from_file(packing.default_tokenizer())
     assert set(by_doc) == {d for d, _, _ in docs}
@@ -279,7 +280,7 @@ def test_packing(spark, weights):
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         assert b"".join(bytes(r.ids) for r in by_doc[d]) == raw
         assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in by_doc[d])
-        assert len(by_doc[d]) <= 2 * (len(ids) // 64 + 1)
+        assert len(by_doc[d]) <= 2 * (len(ids) // packet + 1)
     # the order within a queue is that of the rows; the order of service is that of the sequential algorithm
     source = {d: s or "" for d, s, _ in docs}
     total = sum(r.length for r in got)
@@ -292,10 +293,10 @@ def test_packing(spark, weights):
         lanes = {q: least if lane == packing.REST else lane for q, lane in lanes.items()}
     packets = {}
     for d, rs in by_doc.items():
-        for x in range(0, rs[0].doc_tokens, 64):
+        for x in range(0, rs[0].doc_tokens, packet):
             piece = max((r for r in rs if r.start <= x), key=lambda r: r.start)
             g = piece.sequence_id * 64 + piece.offset + x - piece.start
-            packets.setdefault(lanes[source[d]], []).append((g, min(64, rs[0].doc_tokens - x)))
+            packets.setdefault(lanes[source[d]], []).append((g, min(packet, rs[0].doc_tokens - x)))
     queues = {q: [n for _, n in sorted(p)] for q, p in packets.items()}
     quanta = packing.quanta({q: sum(n) for q, n in queues.items()}, 64, weights)
     want, at = {q: [] for q in queues}, 0
@@ -326,6 +327,21 @@ def test_other_tokenizers_encode_whole_texts(spark):
         assert b"".join(bytes(r.ids) for r in by_doc[d]) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_windows_hold_the_mixture(spark):
+    """Eight sources of equal weight: each window is near the targets, at no more pieces than its packets."""
+    pytest.importorskip("public_tokenizers")
+    docs = [(i, f"s{i % 8}", "some words of a text " * (20 + i % 60)) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, source string, text string"), weights={f"s{i}": 1 for i in range(8)}).collect()
+    windows = {}
+    for r in got:
+        mix = windows.setdefault(r.sequence_id, dict.fromkeys(range(8), 0))
+        mix[r.doc_id % 8] += r.length
+    full = [m for _, m in sorted(windows.items())][: len(windows) // 2]
+    apart = [sum(abs(n / packing.WINDOW - 1 / 8) for n in m.values()) / 2 for m in full]
+    assert len(full) > 10 and sum(apart) / len(apart) < 0.25
+    assert len(got) <= sum(-(-r.doc_tokens // (packing.WINDOW // packing.PACKETS)) for r in got if not r.start) + len(windows)
+
+
 def test_packing_of_nothing(spark):
     pytest.importorskip("public_tokenizers")
     assert packing.pack(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
