@@ -185,7 +185,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) ->
         .agg(F.max("toxic").alias("toxic"))
     )
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    learned = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return learned.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[Term, ...]:
@@ -246,11 +247,12 @@ def learn_lexicon(rows: DataFrame) -> tuple[Term, ...]:
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> ToxicityModel:
     """Lexicon and weights. Without rows of both classes every score is next to 0.
 
-    A doc_id with several labels counts as toxic if one of them says so; of several rows of a doc_id one is learned from.
+    A doc_id with several labels counts as toxic if one of them says so; of several rows of a doc_id the one with the smallest text is learned from.
     """
     rows = training_rows(docs, labels, bound).cache()
     terms = learn_lexicon(rows)
     if not terms:
+        rows.unpersist()
         return ToxicityModel((), (-20.0, *[0.0] * (N_FEATURES - 1)))
 
     def extract(batches):
@@ -262,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> Toxicity
     schema = ", ".join(f"f{i} double" for i in range(N_FEATURES)) + ", y double"
     m = rows.select("text", (F.col("toxic") > 0).cast("double").alias("y")).mapInArrow(extract, schema).toPandas().to_numpy()
     rows.unpersist()
+    m = m[np.lexsort(m.T)]  # sums in one order whatever the partitions
     return ToxicityModel(terms, tuple(fit_logistic(m[:, :-1], m[:, -1]).tolist()))
 
 

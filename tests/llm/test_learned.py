@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 from bytelode.llm import language, toxicity
 
@@ -145,3 +148,84 @@ def test_language_sample_counts_a_repeated_text_once(spark):
     few = language.training_texts(docs, 500).collect()
     assert len(few) == len(set(few)) and 400 < sum(r.lang == "en" for r in few) <= 500
     assert 180 < sum(r.lang == "fr" for r in few) <= 300
+
+
+def test_toxicity_of_repeated_ids_learns_from_the_smallest_text(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in (f"b {i}", f"a {i}", None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(40) for y in (0, i % 2)], "doc_id long, toxic int")
+    for n in (1, 5):
+        got = {(r.doc_id, r.text, r.toxic) for r in toxicity.training_rows(docs.repartition(n), labels).collect()}
+        assert got == {(i, f"a {i}", i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Every token against every term by edit distance, its context read anew, then the weighted sum."""
+    words = {"idiot": 1, "morons": 1, "scum": 0}
+    model = toxicity.ToxicityModel(tuple(toxicity.Term(w, False) for w in words), (-2.0, 1.5, 0.7, -0.4, 0.9, 0.3, 0.02, -0.1))
+
+    def within_one(a, b):
+        edits = {b} | {b[:i] + b[i + 1 :] for i in range(len(b))}
+        return a in edits or b in {a[:i] + a[i + 1 :] for i in range(len(a))} or len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+
+    def want(text):
+        low = (text or "").lower()
+        places = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[\w@$*]+", low)]
+        kind = [0 if w in words else 1 if any(k and within_one(w, t) for t, k in words.items()) else -1 for _, _, w in places]
+        counts = dict.fromkeys(("exact", "fuzzy", "quoted", "addressed"), 0)
+        for i, k in enumerate(kind):
+            if k < 0:
+                continue
+            left = low[places[max(0, i - 6)][0] : places[i][0]]
+            right = low[places[i][1] : places[min(len(places) - 1, i + 6)][1] + 1]
+            opened = sum(left.count(q) for q in "\"“”„«‹»'‘") % 2 == 1
+            closed = any(q in right for q in "\"”“«»›'’")
+            counts["quoted" if opened and closed else ("exact", "fuzzy")[k]] += 1
+            other = [j for j, o in enumerate(kind) if o >= 0 and j != i and abs(j - i) <= 6]
+            counts["addressed"] += bool(other) or "!" in right
+        some = any(k >= 0 for k in kind)
+        share = 100 * (counts["exact"] + counts["fuzzy"]) / len(places) if some else 0
+        x = [1, *(math.log1p(counts[c]) for c in counts), counts["exact"] > 1, share, math.log1p(len(places))]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    rng = random.Random(8)
+    pool = ["idiot", "idot", "idi0t", "ixiox", "morons", "moron", "scum", "scom", "you", "are", "he", "said", "!", '"', "“", "”", "'", "don't", "été", ".", "IDIOT"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(200)] + [None, "", "!!!", "idiot", "you " * 20_000 + "scum!"]
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert all(abs(r.score - want(texts[r.doc_id])) < 1e-9 for r in rows) and len(rows) == len(texts)
+
+
+def test_language_equals_nearest_centroid_by_brute_force(spark):
+    """N-grams counted one by one, cosines in exact order of the centroids."""
+    rng = random.Random(3)
+    words = {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["ein", "zwei", "drei", "über"], "zz": ["один", "два", "три", "пять"]}
+    texts = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(3, 30))), lang) for i, lang in enumerate(list(words) * 40)]
+    texts += [(900, None, None), (901, "", None), (902, "12 34", None), (903, "alpha " * 30_000 + "zwei", None), (904, "beta два", None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language.train(df)
+
+    def grams(text):
+        raw = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in text.encode())
+        x = b" " + re.sub(b" +", b" ", raw) + b" "
+        mask, found = (1 << 32) - 1, {}
+        for i in range(len(x)):
+            two = (x[i] * 0x9E3779B1 + x[i + 1] * 0x85EBCA77) & mask if i + 1 < len(x) else None
+            three = (two * 0xC2B2AE3D + x[i + 2] * 0x27D4EB2F) & mask if i + 2 < len(x) else None
+            for h in (x[i] * 0x165667B1 & mask, two, three):
+                if h is not None:
+                    found[h >> 20] = found.get(h >> 20, 0) + 1
+        return found
+
+    for r in language.predict(df, model).collect():
+        text = dict((d, t) for d, t, _ in texts)[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        v = {h: math.log1p(n) * float(model.idf[h]) for h, n in grams(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[h]) for h, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda j: (cosines[j], -j))
+        assert abs(r.score - min(1, max(0, cosines[best]))) < 1e-4
+        near = {model.languages[j] for j, c in enumerate(cosines) if c > cosines[best] - 1e-5}
+        assert r.lang_pred in near
+        if abs(cosines[best] - model.reach[best]) > 1e-4 and len(near) == 1:
+            assert r.rejected == (cosines[best] < model.reach[best])
