@@ -16,6 +16,9 @@ shard's string is its sequence of phrases. A phrase's symbol is a hash of its by
 * Strings of ``length`` bytes inside a proven prefix repeat. At the ends of repeated intervals, where a string reaches into phrases that
   differ, and where a string holds no phrase or a row is still open after ``ROUNDS``, candidates are compared by fingerprints of all their
   bytes, 64 bits within buckets that a second hash names.
+* A proven string needs no answer, but a place elsewhere may ask for the same bytes: where what stands around them differs there, nothing is proven.
+  Each round also counts the rows of a block. Where the places that share the phrases inside a string are as many as those that share the phrases around
+  it, the string is proven everywhere and nobody asks; all other proven strings are sent too.
 
 Shards are rows of a table bucketed by shard in the shared folder, so texts are written once and never shuffled. Each merge sends
 a pair once a shard, so a string of many copies costs no more than the number of shards; the merges' buckets follow from the counted phrases.
@@ -161,27 +164,28 @@ KEYS = "bucket long, shard long, a binary, b binary, many binary"
 
 
 def _sent(shard: int, bucket: np.ndarray, a: np.ndarray, b: np.ndarray | None, many: np.ndarray):
-    """One row for each bucket of a shard's list, which is in the order of the buckets."""
+    """One row for each bucket of a shard's list, which is in the order of the buckets; ``many`` as bits if it is boolean, else as numbers of rows."""
     at, size = _runs_of(bucket)
     if len(at):
         cut = lambda x: pa.array([x[i : i + k].tobytes() for i, k in zip(at, size, strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[at]), pa.array(np.full(len(at), shard)), cut(a.astype("<u8")), cut(b.astype("<u8")) if b is not None else pa.nulls(len(at), pa.binary()),
-                pa.array([np.packbits(many[i : i + k]).tobytes() for i, k in zip(at, size, strict=True)], pa.binary()),
+                pa.array([np.packbits(many[i : i + k]).tobytes() for i, k in zip(at, size, strict=True)], pa.binary()) if many.dtype == bool else cut(many.astype("<u4")),
             ],
             ["bucket", "shard", "a", "b", "many"],
         )
 
 
 def merge(lists: DataFrame, named: bool = True) -> DataFrame:
-    """``lists`` (``KEYS``) -> (shard, replies): by bucket, a bit for each pair that several rows have, and the ranks of these."""
+    """``lists`` (``KEYS``) -> (shard, replies): by bucket, a bit for each pair that several rows have, and if ``named`` the ranks and rows of these."""
 
     def run(batches):
         for t in runs(batches, ["bucket"]):
             a = [np.frombuffer(x, "<u8") for x in t.column("a").to_pylist()]
             sizes = [len(x) for x in a]
-            many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t.column("many").to_pylist(), sizes, strict=True)])
+            many = t.column("many").to_pylist()
+            own = np.frombuffer(b"".join(many), "<u4").astype(np.int64) if named else np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(many, sizes, strict=True)]).astype(np.int64) + 1
             a = np.concatenate(a)
             if t.column("b").null_count:
                 order = np.argsort(a, kind="stable")
@@ -192,25 +196,29 @@ def merge(lists: DataFrame, named: bool = True) -> DataFrame:
                 at, size = _runs_of(a[order], b[order])
             rank = np.empty(len(a), "<u4")
             rank[order] = np.repeat(np.arange(len(at)), size)
-            rows = np.add.reduceat(many[order].astype(np.int64) + 1, at)
-            open_ = rows[rank] > 1
+            rows = np.add.reduceat(own[order], at)[rank]
+            open_ = rows > 1
             ends = np.cumsum(sizes)
             bits = [np.packbits(open_[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
             ranks = [rank[e - n : e][open_[e - n : e]].tobytes() if named else b"" for e, n in zip(ends, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(bits, pa.binary()), pa.array(ranks, pa.binary())], ["shard", "bucket", "bits", "ranks"])
+            counts = [rows[e - n : e][open_[e - n : e]].astype("<u4").tobytes() if named else b"" for e, n in zip(ends, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), *(pa.array(x, pa.binary()) for x in (bits, ranks, counts))], ["shard", "bucket", "bits", "ranks", "counts"]
+            )
 
-    got = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard long, bucket long, bits binary, ranks binary")
-    return got.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits", "ranks")).alias("replies"))
+    got = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard long, bucket long, bits binary, ranks binary, counts binary")
+    return got.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits", "ranks", "counts")).alias("replies"))
 
 
-def _answer(bucket: np.ndarray, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """For a shard's list: which pairs are open, and the names of the open ones."""
+def _answer(bucket: np.ndarray, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a shard's list: which pairs are open, and the names and rows of the open ones."""
     count = dict(zip(*(x.tolist() for x in np.unique(bucket, return_counts=True)), strict=True))
-    bits, names = [np.zeros(0, bool)], [np.zeros(0, np.uint64)]
+    bits, names, rows = [np.zeros(0, bool)], [np.zeros(0, np.uint64)], [np.zeros(0, "<u4")]
     for r in sorted(replies or (), key=lambda r: r["bucket"]):
         bits.append(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=count[r["bucket"]]).astype(bool))
         names.append((np.frombuffer(r["ranks"], "<u4").astype(np.uint64) + _U(1)) | _U(r["bucket"] << 32))
-    return np.concatenate(bits), np.concatenate(names)
+        rows.append(np.frombuffer(r["counts"], "<u4"))
+    return np.concatenate(bits), np.concatenate(names), np.concatenate(rows)
 
 
 def first_list(bwt: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,9 +241,13 @@ def _needed(at: np.ndarray, sym: np.ndarray, pos: np.ndarray, length: int, round
 
 
 class Rows:
-    """A shard's rows of repeated intervals, in the order of its suffixes; arrays as stored between rounds."""
+    """A shard's rows of repeated intervals, in the order of its suffixes; arrays as stored between rounds.
+
+    ``held`` and ``before`` are the rows of all shards in a row's block in its last round and the one before. Bit h of ``same`` says that those that share h
+    phrases with the row are as many as those that share the h - 2 phrases behind its first.
+    """
 
-    FIELDS = (("pos", "<u4"), ("sym", "<u8"), ("succ", "<i4"), ("need", "u1"), ("name", "<u8"), ("reach", "u1"))
+    FIELDS = (("pos", "<u4"), ("sym", "<u8"), ("succ", "<i4"), ("need", "u1"), ("name", "<u8"), ("reach", "u1"), ("held", "<u4"), ("before", "<u4"), ("same", "<u2"))
 
     def __init__(self, blobs):
         for (f, kind), x in zip(self.FIELDS, blobs, strict=True):
@@ -316,19 +328,20 @@ def refine(shards: DataFrame, tables: int, buckets: int, length: int, rounds: in
         for b in batches:
             for shard, bwt, order in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 _, _, size, sym = first_list(np.frombuffer(bwt, "<u8"), np.frombuffer(order, "<u4").astype(np.int64))
-                yield from _sent(shard, _bucket(sym, buckets), sym, None, size > 1)
+                yield from _sent(shard, _bucket(sym, buckets), sym, None, size)
 
     def close_first(batches):
         for b in batches:
             for shard, bwt, order, gaps, replies in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 bwt, order = np.frombuffer(bwt, "<u8"), np.frombuffer(order, "<u4").astype(np.int64)
                 skip, _, size, keys = first_list(bwt, order)
-                open_, names = _answer(_bucket(keys, buckets), replies)
+                open_, names, counts = _answer(_bucket(keys, buckets), replies)
                 sym, pos = symbols(bwt, order), order[skip:][np.repeat(open_, size)]
                 inverse = np.full(len(sym) + 1, -1)
                 inverse[pos] = np.arange(len(pos))
                 need = _needed(_places(gaps), sym, pos, length, rounds)
-                yield Rows((pos, sym[pos], inverse[pos + 1], need, np.repeat(names, size[open_]), np.ones(len(pos)))).stored(shard, 1)
+                names, counts = (np.repeat(x, size[open_]) for x in (names, counts))
+                yield Rows((pos, sym[pos], inverse[pos + 1], need, names, np.ones(len(pos)), counts, np.zeros(len(pos)), np.zeros(len(pos)))).stored(shard, 1)
 
     listed = merge(shards.select("shard", "bwt", "places").mapInArrow(ask_first, KEYS))
     given = shards.select("shard", "bwt", "places", "gaps").join(listed, "shard", "left").select("shard", "bwt", "places", "gaps", "replies")
@@ -349,15 +362,17 @@ def _round(state: DataFrame, h: int, buckets: int, tables: int, fields: list[str
                 rows = Rows(blobs)
                 at, first, size = rows.asked(h)
                 sym = rows.sym[at][first]
-                yield from _sent(shard, _bucket(sym, buckets), sym, rows.name[rows.succ[at]][first], size > 1)
+                yield from _sent(shard, _bucket(sym, buckets), sym, rows.name[rows.succ[at]][first], size)
 
     def close(batches):
         for b in batches:
             for shard, *blobs, replies in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows = Rows(blobs)
                 at, first, size = rows.asked(h)
-                open_, names = _answer(_bucket(rows.sym[at][first], buckets), replies)
-                stay = at[np.repeat(open_, size)]
+                open_, names, counts = _answer(_bucket(rows.sym[at][first], buckets), replies)
+                stay, counts = at[np.repeat(open_, size)], np.repeat(counts, size[open_])
+                rows.same[stay] |= ((rows.before[rows.succ[stay]] == counts).astype(np.uint16) << np.uint16(h)).astype(np.uint16)
+                rows.before[stay], rows.held[stay] = rows.held[stay], counts
                 rows.reach[stay] = h
                 rows.name[stay] = np.repeat(names, size[open_])
                 yield rows.stored(shard, h)
@@ -378,8 +393,11 @@ def _marked(starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def strings(at: np.ndarray, ends: np.ndarray, pos: np.ndarray, need: np.ndarray, reach: np.ndarray, length: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Which bytes start a string that is proven to repeat, and where strings start that only their bytes can tell."""
+def strings(
+    at: np.ndarray, ends: np.ndarray, pos: np.ndarray, need: np.ndarray, reach: np.ndarray, same: np.ndarray, length: int, rounds: int = ROUNDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes start a string that is proven to repeat, and where strings start that are compared: those that only their bytes can tell, and proven
+    ones whose bytes may stand elsewhere unproven."""
     n, size = len(at), int(ends[-1]) if len(ends) else 0
     begin = np.concatenate([[0], ends[:-1]])
     prefix = np.zeros(n, np.int64)
@@ -404,7 +422,15 @@ def strings(at: np.ndarray, ends: np.ndarray, pos: np.ndarray, need: np.ndarray,
         lo, hi = np.concatenate([lo, rest]), np.concatenate([hi, ends - length])
     else:
         lo, hi = begin, ends - length
-    return sure, np.flatnonzero(_marked(lo, hi + 1, size) & ~sure)
+    known = np.flatnonzero(sure)
+    alike = np.zeros(n + 1, np.int64)
+    alike[pos] = same
+    before = np.searchsorted(at, known) - 1  # the phrase start before a string; none is the last place, which has no bits
+    apart = np.searchsorted(at, known + (length - GRAM)) - before  # phrases from there to behind the string
+    alone = (alike[before] >> np.minimum(apart, rounds + 1)) & 1 == 1
+    asked = _marked(lo, hi + 1, size)
+    asked[known] = ~alone
+    return sure, np.flatnonzero(asked)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -430,9 +456,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(1, -(-(shards.agg(F.sum("n")).first()[0] or 0) // BUCKET_KEYS))
     rows = refine(shards, tables, buckets, length)
 
-    def listed(text: bytes, ends: list[int], gaps: bytes, pos: bytes, need: bytes, reach: bytes):
+    def listed(text: bytes, ends: list[int], gaps: bytes, pos: bytes, need: bytes, reach: bytes, same: bytes):
         """Proven starts, candidates, and the candidates' buckets and fingerprints in the order they are sent in."""
-        kinds = [np.frombuffer(x, k).astype(np.int64) for x, k in ((pos, "<u4"), (need, "u1"), (reach, "u1"))]
+        kinds = [np.frombuffer(x, k).astype(np.int64) for x, k in ((pos, "<u4"), (need, "u1"), (reach, "u1"), (same, "<u2"))]
         sure, at = strings(_places(gaps), np.array(ends, np.int64), *kinds, length)
         buf = np.frombuffer(text, np.uint8)
         key = _fingerprints(_prefix(buf), at, at + length)
@@ -455,7 +481,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ends, size = args[0], len(text)
                 sure, at, bucket, key = listed(text, *args)
                 first, n = _runs_of(bucket, key)
-                open_, _ = _answer(bucket[first], replies)
+                open_, *_ = _answer(bucket[first], replies)
                 sure[at[np.repeat(open_, n)]] = True
                 starts = np.flatnonzero(sure)
                 gone = _marked(starts, starts + length, size)
@@ -472,8 +498,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["doc_id", "n_bytes", "starts", "stops", "kept"],
                 )
 
-    fields = ["shard", "text", "ends", "gaps", "pos", "need", "reach"]
-    before = shards.select("shard", "text", "ends", "gaps", "ids", "whole").join(rows.select("shard", "pos", "need", "reach"), "shard")
+    fields = ["shard", "text", "ends", "gaps", "pos", "need", "reach", "same"]
+    before = shards.select("shard", "text", "ends", "gaps", "ids", "whole").join(rows.select("shard", "pos", "need", "reach", "same"), "shard")
     shared = merge(before.select(*fields).mapInArrow(ask, KEYS), named=False)
     done = before.join(shared, "shard", "left").select(*fields, "replies", "ids", "whole")
     found = done.mapInArrow(cut, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept binary")

@@ -166,6 +166,19 @@ def test_suffixes_equal_brute_force(spark):
     assert got == dict(enumerate(brute.repeated(docs)))
 
 
+def test_suffixes_of_excerpts_from_copied_texts(spark):
+    """An excerpt asks for strings that are proven where two other texts share them with all that stands around."""
+    rng = random.Random(5)
+    shared = [prose(rng, n) for n in (120, 200, 300)]
+    docs = []
+    for s in shared:
+        docs += ["before " + s + " behind", "Before " + s + " Behind"]
+        docs += [prose(rng, 3) + s[at : at + n] + prose(rng, 3) for at in range(7, 400, 31) for n in (200, 203, 260, 420)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes - len(r.kept), len(r.starts), bytes(r.kept)) for r in suffixes.repeated_spans(df).collect()}
+    assert got == dict(enumerate(brute.repeated(docs)))
+
+
 def test_suffix_order_and_transform():
     rng = random.Random(4)
     for _ in range(20):
