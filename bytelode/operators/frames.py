@@ -58,6 +58,7 @@ def stack_heights(instr: DataFrame, keys: list[str], entries: DataFrame) -> Data
     different heights is a conflict. ``n_before`` counts the blocks that go on to it, and ``temps`` names what lies on the stack where several meet.
     """
     order = W.partitionBy(*keys).orderBy("pos")
+    instr = kept(instr.select(*keys, "pos", "offset", "name", "targets", "delta"), "changes")
     j = jumps(instr, keys)
     led = j.select(*keys, F.col("target").alias("offset")).unionByName(entries.select(*keys, "offset")).distinct().withColumn("led", F.lit(True))
     name = F.col("name")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bytelode.operators import dotnet, regions
 from bytelode.operators.flow import GOTO
+from bytelode.rounds import kept
 
 #: Digits behind a symbol.
 DIGITS = 6
@@ -78,7 +79,7 @@ def clr_statements(md: DataFrame) -> DataFrame:
     * ``foreach``: as ``using``, of an enumerator just got, and the range asks the same local for its current value, which it stores in ``item``, and for the next one.
     """
     keys = ["file_id", "rid"]
-    marked = symbols(dotnet.method_instructions(md), dotnet.token_names(md), CLR_CALLS, ["file_id"])
+    marked = kept(symbols(dotnet.method_instructions(md), dotnet.token_names(md), CLR_CALLS, ["file_id"]), "symbols")
     last = regions.clr_clauses(md).filter("kind = 'finally'").select(*keys, "try_start", "try_stop", F.col("start").alias("handler"), "stop")
     # handlers: a lock may test a flag first
     exits = captured(matches(marked, keys, "(?:LB)?LXZ"), marked, keys, first=0, monitor=-3, end=-1)
@@ -109,7 +110,7 @@ def jvm_statements(instr: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     keys = ["class_id", "ord"]
     callee = resolved.select("class_id", F.col("idx").cast("long").alias("ref"), "text")
-    marked = symbols(instr, callee, JVM_CALLS, ["class_id"])
+    marked = kept(symbols(instr, callee, JVM_CALLS, ["class_id"]), "symbols")
     found = captured(matches(marked, keys, "ISLHBLT(?:.)?S"), marked, keys, kept=1, asked=2, leaves=4, of=5, item=-1)
     back = instr.filter(F.col("name").rlike(GOTO)).select(*keys, F.get("targets", F.lit(0)).alias("head"), (F.col("offset") + F.col("size")).alias("behind"))
     same = found.filter("kept.var = asked.var and kept.var = of.var").withColumn("head", F.col("asked.offset")).withColumn("behind", F.col("leaves.target"))

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import dotnet, flow, jvm
+from bytelode.rounds import kept
 from bytelode.sources import binaries, classfile, encode, pe
-from bytelode.session import table
+from bytelode.session import dealt, sliced, table
 
 
 def _class_of(brand: str, chunk: int, parts: list[tuple[int, int]]) -> bytes:
@@ -44,11 +45,11 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = p.groupBy("p_brand", F.floor(F.col("p_partkey") / 4096).cast("int").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_class_of(g["p_brand"], g["chunk"], [(x["p_partkey"], x["p_size"]) for x in g["parts"]]) for g in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["p_brand", "chunk", "bytes"])
 
-    made = groups.mapInArrow(build, "p_brand string, chunk int, bytes binary")
+    made = dealt(groups, p.count()).mapInArrow(build, "p_brand string, chunk int, bytes binary")
     return made.select(F.xxhash64("p_brand", "chunk").alias("class_id"), "bytes", F.lit(None).cast("string").alias("error"), "p_brand", "chunk")
 
 
@@ -127,7 +128,7 @@ def jvm_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jvm_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source constructs that jumps stand for."""
     classes, resolved, _ = _decoded(spark, sf_dir)
-    found = flow.constructs(jvm.method_instructions(jvm.members(classes)), ["class_id", "ord"])
+    found = flow.constructs(kept(jvm.method_instructions(jvm.members(classes)), "instructions"), ["class_id", "ord"])
     return found.groupBy("kind", "start", "stop").agg(F.count("*").alias("n"))
 
 
@@ -150,7 +151,7 @@ def jar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     jars = classes.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("chunk", "bytes"))).alias("cs"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for brand, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = io.BytesIO()
@@ -163,7 +164,7 @@ def jar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(raw.getvalue().replace(b"damaged entry", b"dAmaged entry"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["file_id", "content"])
 
-    files = binaries.classified(jars.mapInArrow(build, "file_id string, content binary"))
+    files = binaries.classified(dealt(jars, table(spark, sf_dir, "part").count()).mapInArrow(build, "file_id string, content binary"))
     got = binaries.archive_entries(files, ".class")
     return got.select("file_id", "name", F.col("error").isNull().alias("ok"), F.hex(F.substring("bytes", 1, 4)).alias("magic"))
 
@@ -213,11 +214,11 @@ def region_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(one)).alias("nations"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_image_of(x.split("#")[0], ns) for x, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["file_id", "content"])
 
-    return binaries.classified(nations.mapInArrow(build, "file_id string, content binary"))
+    return binaries.classified(dealt(nations, s.count() + c.count()).mapInArrow(build, "file_id string, content binary"))
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import dotnet
-from bytelode.session import table
+from bytelode.session import dealt, sliced, table
 from bytelode.sources import binaries, encode, pe
 
 NAMES = (
@@ -93,11 +93,11 @@ def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(one)).alias("parts"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_part_image(x["parts"]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["file_id", "content"])
 
-    return binaries.classified(groups.mapInArrow(build, "file_id string, content binary"))
+    return binaries.classified(dealt(groups, rows.count()).mapInArrow(build, "file_id string, content binary"))
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import flow, frames, jvm, patterns, regions
-from bytelode.session import table
+from bytelode.rounds import kept
+from bytelode.session import dealt, sliced, table
 from bytelode.sources import binaries, classfile, encode, pe
 
 KEYS, NET = ["class_id", "ord"], ["file_id", "rid"]
@@ -101,14 +102,14 @@ def _image_of(keys: list[int]) -> bytes:
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("chunk", F.floor(F.col("c_custkey") / 512).cast("int"))
-    return rows.groupBy("n_name", "chunk").agg(F.sort_array(F.collect_list("c_custkey")).alias("keys"))
+    return dealt(rows.groupBy("n_name", "chunk").agg(F.sort_array(F.collect_list("c_custkey")).alias("keys")), c.count())
 
 
 def customer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """class_id, bytes, error."""
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_class_of(x["n_name"], x["chunk"], x["keys"]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["n_name", "chunk", "bytes"])
 
@@ -120,7 +121,7 @@ def customer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id (the nation and a span of keys), kind, content."""
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_image_of(x["keys"]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["file_id", "content"])
 
@@ -131,7 +132,7 @@ def customer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = classfile.stored_classes(customer_classes(spark, sf_dir))
     rows = jvm.members(classes)
-    return classes, rows, jvm.method_instructions(rows)
+    return classes, rows, kept(jvm.method_instructions(rows), "instructions")
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +195,8 @@ def pe_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jvm_concatenations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String concatenations behind dynamic calls."""
-    classes, rows, _ = _classes(spark, sf_dir)
+    classes = classfile.stored_classes(customer_classes(spark, sf_dir))
+    rows = jvm.members(classes)
     return _jvm_named(jvm.concatenations(classes, rows), rows)
 
 

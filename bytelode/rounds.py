@@ -25,7 +25,8 @@ def kept(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` written once and read back; with ``by``, cut by a column of few values, so that a filter on it reads only its part."""
     path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+    # such tables pack to few bytes for many rows, so a choice by size would build tables of all of them on the driver to broadcast them
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns).hint("merge")
     out._bytelode_round = path
     return out
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task makes files of.
+TASK_ROWS = 20_000
+
+
+def dealt(groups: DataFrame, rows: int) -> DataFrame:
+    """``groups`` of ``rows`` table rows over as many tasks as these need. Groups are small when packed, so they would be left to a few tasks otherwise."""
+    return groups.repartition(max(1, -(-rows // TASK_ROWS)))
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 8) -> Iterator[pa.RecordBatch]:
+    """Slices of a few rows, each of which becomes a file, so that a task holds the objects of these alone."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Give the Python workers this package (once a context), for drivers that only have it on their own path."""
     sc = spark.sparkContext
