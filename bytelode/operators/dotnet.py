@@ -139,6 +139,13 @@ def render_types(md: DataFrame, rows: DataFrame, blob: str, kind: str) -> DataFr
     return flat.join(known, ["file_id", "table", "ref"], "left").groupBy("file_id", "rid", "i").agg(F.array_join(F.sort_array(F.collect_list(F.struct("k", text.alias("t"))))["t"], "").alias("text"))
 
 
+def method_types(md: DataFrame) -> DataFrame:
+    """``render_types`` of all methods' signatures, worked out once a frame of metadata and written, as several relations use it."""
+    if not hasattr(md, "_bytelode_method_types"):
+        md._bytelode_method_types = kept(render_types(md, view(md, 6), "Signature", "method"), "signatures")
+    return md._bytelode_method_types
+
+
 def fields(md: DataFrame) -> DataFrame:
     """file_id, owner, rid, name, type, flags, and the raw constant if there is one."""
     defs, rows = view(md, 2), view(md, 4)
@@ -152,8 +159,7 @@ def methods(md: DataFrame, named: str | None = None) -> DataFrame:
     """file_id, owner, rid, name, return_type, params (array of type texts), flags, code and its figures; only those ``named`` so, if given."""
     defs, every = view(md, 2), view(md, 6)
     rows = every.filter(F.col("Name") == named) if named else every
-    t = render_types(md, rows, "Signature", "method")
-    sig = t.groupBy("file_id", "rid").agg(F.max(F.when(F.col("i") == 0, F.col("text"))).alias("return_type"), F.sort_array(F.collect_list(F.when(F.col("i") > 0, F.struct("i", "text"))))["text"].alias("params"))
+    sig = method_types(md).groupBy("file_id", "rid").agg(F.max(F.when(F.col("i") == 0, F.col("text"))).alias("return_type"), F.sort_array(F.collect_list(F.when(F.col("i") > 0, F.struct("i", "text"))))["text"].alias("params"))
     base = rows.select("file_id", "rid", F.col("Name").alias("name"), F.col("Flags").alias("flags"), "code", "max_stack")
     return base.join(owned(defs, "MethodList", every), ["file_id", "rid"]).join(sig, ["file_id", "rid"])
 
@@ -186,7 +192,7 @@ def parameters(md: DataFrame) -> DataFrame:
     number that has the attribute of open argument lists is ``params``.
     """
     rows, defs = view(md, 8), view(md, 6)
-    types = render_types(md, defs, "Signature", "method").filter("i > 0")
+    types = method_types(md).filter("i > 0")
     owner = owned(defs, "ParamList", rows)
     fixed = constants(md).filter("table = 8").select("file_id", "rid", "literal")
     many = custom_attributes(md).filter("Parent_table = 8").groupBy("file_id", F.col("Parent_rid").alias("rid")).agg(F.bool_or(F.col("attribute") == "System.ParamArrayAttribute").alias("many"))
