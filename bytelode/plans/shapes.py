@@ -6,6 +6,8 @@ only the binaries; their SQL computes the same from the table.
 
 from __future__ import annotations
 
+from functools import cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +45,18 @@ JVM_SHAPES: list[tuple[list, list]] = [
 ]
 
 
+@cache
+def _jvm_code(shape: int) -> tuple[list, list]:
+    lines, handlers = JVM_SHAPES[shape]
+    code, at = encode.assemble(lines, "jvm")
+    return code, [(at[a], at[b], at[h], t) for a, b, h, t in handlers]
+
+
 def _class_of(nation: str, chunk: int, keys: list[int]) -> bytes:
     methods = []
     for k in keys:
-        lines, handlers = JVM_SHAPES[k % len(JVM_SHAPES)]
-        code, at = encode.assemble(lines, "jvm")
-        methods.append(encode.Member(f"run{k}", "(ILjava/util/List;)V", 1, code=code, stack=4, locals=5, handlers=[(at[a], at[b], at[h], t) for a, b, h, t in handlers]))
+        code, handlers = _jvm_code(k % len(JVM_SHAPES))
+        methods.append(encode.Member(f"run{k}", "(ILjava/util/List;)V", 1, code=code, stack=4, locals=5, handlers=handlers))
     recipe = f"{nation}=\1, \2:\1."
     return encode.class_bytes(f"shape/{nation.replace(' ', '_')}{chunk}", [], methods, bootstraps=((*CONCAT, (recipe, "a\"b")), (*PLAIN, ())))
 
@@ -81,6 +89,13 @@ NET_SHAPES: list[tuple[list, list]] = [
 ]
 
 
+@cache
+def _net_code(shape: int) -> tuple[bytes, tuple]:
+    lines, clauses = NET_SHAPES[shape]
+    parts, at = encode.assemble(lines, "cil")
+    return b"".join(parts), tuple((f, at[t], at[u] - at[t], at[h], at[s] - at[h], at[x] if isinstance(x, str) else x) for f, t, u, h, s, x in clauses)
+
+
 def _image_of(keys: list[int]) -> bytes:
     a = encode.Assembly()
     a.add(0, 0, "image", 1, 0, 0)
@@ -92,10 +107,8 @@ def _image_of(keys: list[int]) -> bytes:
     a.add(2, 0, "<Module>", "", 0, 1, 1)
     a.add(2, 1, "Shapes", "Shape", (1, 1), 1, 1)
     for k in keys:
-        lines, clauses = NET_SHAPES[k % len(NET_SHAPES)]
-        parts, at = encode.assemble(lines, "cil")
-        handlers = tuple((f, at[t], at[u] - at[t], at[h], at[s] - at[h], at[x] if isinstance(x, str) else x) for f, t, u, h, s, x in clauses)
-        a.add(6, a.body(b"".join(parts), 0, handlers), 0, 0x16, f"Run{k}", b"\x00\x01\x01\x1c", 1)
+        code, handlers = _net_code(k % len(NET_SHAPES))
+        a.add(6, a.body(code, 0, handlers), 0, 0x16, f"Run{k}", b"\x00\x01\x01\x1c", 1)
     return a.bytes()
 
 
