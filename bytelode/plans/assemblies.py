@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import dotnet
-from bytelode.session import table
+from bytelode.session import dealt, sliced, table
 from bytelode.sources import binaries, encode, pe
 
 OBJECT, DISPOSABLE, CLONEABLE, HANDLER, OBSOLETE, LIST, COMPONENT = 1, 2, 3, 4, 5, 6, 7
@@ -92,11 +92,11 @@ def supplier_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = named.groupBy("file_id").agg(F.min("n_name").alias("nation"), F.sort_array(F.collect_list("s_suppkey")).alias("keys"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_supplier_image(x["nation"], x["keys"]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["file_id", "content"])
 
-    return binaries.classified(groups.mapInArrow(build, "file_id string, content binary"))
+    return binaries.classified(dealt(groups, s.count()).mapInArrow(build, "file_id string, content binary"))
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:

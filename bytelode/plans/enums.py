@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import jvm
-from bytelode.session import table
+from bytelode.session import dealt, sliced, table
 from bytelode.sources import classfile, encode
 
 
@@ -29,11 +29,12 @@ def part_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = rows.groupBy("name").agg(F.sort_array(F.collect_list("p_partkey")).alias("keys"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = [_enum_of(x["name"], x["keys"]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["name", "bytes"])
 
-    return groups.mapInArrow(build, "name string, bytes binary").select(F.xxhash64("name").alias("class_id"), "bytes", F.lit(None).cast("string").alias("error"))
+    made = dealt(groups, rows.count()).mapInArrow(build, "name string, bytes binary")
+    return made.select(F.xxhash64("name").alias("class_id"), "bytes", F.lit(None).cast("string").alias("error"))
 
 
 def jvm_enum_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.operators import flow, jvm
-from bytelode.session import table
+from bytelode.session import dealt, sliced, table
 from bytelode.sources import classfile, encode
 
 KEYS = ["class_id", "ord"]
@@ -31,14 +31,15 @@ def supplier_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = rows.groupBy("chunk").agg(F.sort_array(F.collect_list("s_suppkey")).alias("keys"))
 
     def build(batches):
-        for b in batches:
+        for b in sliced(batches):
             raw = []
             for x in b.to_pylist():
                 methods = [encode.Member(f"loop{k}", "(I)V", 1, code=encode.assemble(LAYOUTS[k % len(LAYOUTS)], "jvm")[0]) for k in x["keys"]]
                 raw.append(encode.class_bytes(f"loops/C{x['chunk']}", [], methods))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["chunk", "bytes"])
 
-    return groups.mapInArrow(build, "chunk int, bytes binary").select(F.xxhash64("chunk").alias("class_id"), "bytes", F.lit(None).cast("string").alias("error"))
+    made = dealt(groups, rows.count()).mapInArrow(build, "chunk int, bytes binary")
+    return made.select(F.xxhash64("chunk").alias("class_id"), "bytes", F.lit(None).cast("string").alias("error"))
 
 
 def jvm_natural_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
